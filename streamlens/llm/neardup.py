@@ -79,7 +79,7 @@ def dart_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
         c = np.arange(len(of)) - np.repeat(np.cumsum(columns) - columns, columns)
         part = np.minimum(1.0, w[of] - c)
         d, e = d[of], tx.mix(e[of] + (c.astype(np.uint64) + np.uint64(1)) * _COLUMN)
-        limit = (factor * k * (np.log(k) + 4) / total)[d]
+        limit = (factor * k * (np.log(k) + 4) / np.maximum(total, 1e-300))[d]
         rank, first, chunk = np.zeros(len(d)), 1, 1
         best = np.full(n * k, np.inf)
         hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
