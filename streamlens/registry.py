@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "burst_arcs"
-MODULES: list[str] = ["signals", "retrieval", "spans"]
+MODULES: list[str] = ["signals", "retrieval", "spans", "clips"]
 
 
 def _modules():
