@@ -97,13 +97,15 @@ def _gif(b: bytes, at: int) -> int:
 
 def _jpeg(b: bytes, at: int) -> int:
     p, frames = at + 2, 0
-    while p + 4 <= len(b) and b[p] == 0xFF:
+    while p + 2 <= len(b) and b[p] == 0xFF:
         marker = b[p + 1]
         if marker == 0xD9:
             return p + 2 - at if frames else 0
         if marker == 0xFF:
             p += 1
             continue
+        if p + 4 > len(b):
+            return 0
         size = struct.unpack_from(">H", b, p + 2)[0]
         if size < 2 or marker < 0xC0:
             return 0

@@ -13,10 +13,11 @@ coordinate throws again up to twice the rank.
 
 Joining. BANDS bands of ROWS coordinates: a pair at 0.8 shares no band with probability
 (1 - 0.8**6) ** 36 < 2e-5. Texts with equal words are one representative from the start.
-Round 1 compares all members of a bucket with its smallest. Round 2 takes the buckets whose
-members are still in different classes and compares members of different classes; pairs within a class need
-no comparison. So copies are never expanded into all pairs, and no colliding pair
-between different classes is left out. A pair is first held against the weights' ratio and the
+Round 1 compares all members of a bucket with its leader. Round 2 takes the documents of
+buckets whose members are still in different classes and finds, by an exact prefix-filter join over their shingles, the pairs
+of different classes that can reach the similarity; pairs within a class need no comparison. So copies are never
+expanded into all pairs, families of near copies do not meet each other pair by pair, and no link between
+different classes of a bucket is lost. A pair is first held against the weights' ratio and the
 agreement of one-byte sketches of the signatures (six standard deviations below 0.8; chance of
 refusing a true pair below 1e-8), then verified exactly on the whole texts.
 
@@ -44,6 +45,8 @@ BANDS, ROWS = 36, 6
 COORDINATES = BANDS * ROWS
 #: Document ids (8 bytes each) that select texts for verification are broadcast up to this number, else joined by shuffling.
 BROADCAST_IDS = 1_000_000
+#: Cells of the table of shingle frequencies (4 bytes each, sent with the code).
+FREQUENCIES = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _COLUMN = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -197,20 +200,71 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return signed.select("doc_id", "k1", "k2").join(root, ["k1", "k2"]).select("doc_id", "copy_of", "class_id")
 
 
+def prefix_pairs(docs: DataFrame, open_: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Pairs a < b of documents of different classes that can reach the threshold: a prefix-filter join, exact for any order of shingles.
+
+    open_: doc_id and class, written. Shingles are ordered from rare to frequent; two documents that reach the threshold share a
+    shingle of their prefixes, the shingles that remain when those at the end weighing less than threshold * weight are left off. What
+    makes a family of texts alike is frequent and stands at the end, so families meet only in what few texts have.
+    The order needs no exact frequencies: they are counted in a table of FREQUENCIES cells.
+    """
+    few = open_.count() <= BROADCAST_IDS
+    texts = materialize(docs.join(F.broadcast(open_) if few else open_, "doc_id").select("doc_id", "class", "text"), "open-texts")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(FREQUENCIES, np.int64)
+        for batch in batches:
+            for part in tx.blocks(batch, "text"):
+                cells += np.bincount((shingles(part.column("text"))[1] % np.uint64(FREQUENCIES)).astype(np.int64), minlength=FREQUENCIES)
+        used = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(cells[used])], names=["cell", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(FREQUENCIES, np.uint32)
+    frequency[counted.column("cell").to_numpy()] = np.minimum(counted.column("n").to_numpy(), (1 << 32) - 1)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tx.blocks(batch, "text"):
+                doc, s, weight = shingles(part.column("text"))[:3]
+                order = np.lexsort((s, frequency[(s % np.uint64(FREQUENCIES)).astype(np.int64)], doc))
+                doc, s, weight = doc[order], s[order], weight[order].astype(np.float64)
+                total = np.bincount(doc, weights=weight, minlength=part.num_rows)
+                ends = np.cumsum(weight)
+                before = ends - weight - (np.cumsum(total) - total)[doc]
+                # what starts at this shingle weighs total - before; the prefix goes on while that reaches the threshold
+                keep = total[doc] - before >= threshold * total[doc] - 1e-9
+                columns = [pa.array(s[keep].view(np.int64)), *(part.column(c).take(pa.array(doc[keep])) for c in ("doc_id", "class"))]
+                columns += [pa.array((total[doc] - before)[keep]), pa.array(total[doc][keep])]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "doc_id", "class", "rest", "weight"])
+
+    rows = materialize(texts.mapInArrow(prefixes, "token long, doc_id long, class long, rest double, weight double"), "prefixes")
+    mixed = rows.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
+    shared = rows.join(mixed, "token", "left_semi")
+    # At its first shared shingle a pair shares at most what remains of either; in all it must share t / (1 + t) of both weights.
+    fits = (F.least("ra", "rb") >= threshold / (1 + threshold) * (F.col("wa") + F.col("wb")) - 1e-9) & (F.least("wa", "wb") >= threshold * F.greatest("wa", "wb"))
+    pairs = shared.toDF("token", "a", "ca", "ra", "wa").join(shared.toDF("token", "b", "cb", "rb", "wb"), "token").where(fits & F.expr("ca < cb"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_links(docs: DataFrame, reps: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links a, b between representatives, enough to connect every class; and node, root of the classes."""
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
-    members = materialize(rows.join(buckets.select("key", "least"), "key"), "buckets")
-    first = members.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(rows.join(buckets, "key"), "buckets")
+    # A bucket's leader is the member that meets most others over all its buckets: of a text and its variants, the text.
+    met = members.groupBy("doc_id").agg(F.sum("n").alias("met"))
+    ranked = members.join(met, "doc_id").select("key", "doc_id", F.struct("met", (-F.col("doc_id")).alias("id")).alias("place"))
+    lead = ranked.groupBy("key").agg((-F.max("place")["id"]).alias("lead"))
+    first = members.join(lead, "key").where("doc_id <> lead").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct()
+    first = materialize(first, "first-pairs")
     # a and b can share an id only if that id has rows with different words; such rows are copies by id, not by text
     links = materialize(_verified(materialize(_likely(first, reps, threshold), "pairs"), docs, threshold), "links")
     root = components(links)
     named = members.join(root, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("class"))
     mixed = named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-    open_ = materialize(named.join(mixed, "key", "left_semi"), "open-buckets")
-    x, y = open_.toDF("key", "a", "ca"), open_.toDF("key", "b", "cb")
-    second = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    open_ = materialize(named.join(mixed, "key", "left_semi").select("doc_id", "class").distinct(), "open-documents")
+    second = prefix_pairs(docs, open_, threshold).join(first, ["a", "b"], "left_anti")
     more = materialize(_verified(materialize(_likely(second, reps, threshold), "pairs"), docs, threshold), "links")
     links = links.unionByName(more)
     return links, components(links)
