@@ -23,10 +23,10 @@ def read_envelope(spark: SparkSession, path: str, record: str, kind: str, versio
 
 
 def write_envelope(rows: DataFrame, path: str, kind: str, version: int) -> None:
-    """One envelope per partition of rows, compressed; Spark commits the files together."""
+    """One envelope per partition of rows, compressed, each in a file of its own; Spark commits the files together."""
     columns = rows.columns
     grouped = rows.withColumn("__p", F.spark_partition_id()).groupBy("__p").agg(F.collect_list(F.struct(*columns)).alias("records"))
-    grouped.select(F.lit(kind).alias("format"), F.lit(version).alias("version"), "records").write.mode("overwrite").option("compression", "gzip").json(path)
+    grouped.select(F.lit(kind).alias("format"), F.lit(version).alias("version"), "records").write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", 1).json(path)
 
 
 def read_json_array(spark: SparkSession, path: str, record: str) -> DataFrame:

@@ -11,5 +11,6 @@ def spark():
     from streamlens.session import local_session
 
     s = local_session(4, 4, "tests")
+    s.conf.set("spark.sql.codegen.wholeStage", "false")  # compiling takes longer than running on so few rows
     yield s
     s.stop()
