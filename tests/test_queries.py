@@ -25,7 +25,7 @@ def _plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "null"
     if isinstance(v, (float, Decimal)):
-        return f"{v:.9g}"
+        return f"{float(v):.9g}"
     if isinstance(v, (list, tuple)):
         return str([_plain(x) for x in v])
     return str(v)
