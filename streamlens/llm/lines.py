@@ -356,8 +356,10 @@ def line_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     linked = materialize(components(found, "line-classes").join(degree, "node"), "line-roots")
     plain = every.where("NOT blank").join(linked, F.col("line") == F.col("node"), "left")
     plain = plain.select("doc_id", "line_no", "length", F.coalesce("root", "line").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    first = plain.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    plain = plain.join(first, "class").select("doc_id", "line_no", "length", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "n_links")
+    # Only classes of several lines need their first line looked up; written, so that adaptive execution can split the rows of a very common line.
+    first = materialize(plain.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first"), "line-firsts")
+    own = F.coalesce("first", F.struct("doc_id", "line_no"))
+    plain = plain.join(first, "class", "left").select("doc_id", "line_no", "length", own["doc_id"].alias("class_doc_id"), own["line_no"].alias("class_line_no"), "n_links")
     blank = every.where("blank").select("doc_id", "line_no", "length", F.col("doc_id").alias("class_doc_id"), F.col("line_no").alias("class_line_no"), F.lit(0).cast("long").alias("n_links"))
     return plain.unionByName(blank).withColumn("kept", (F.col("doc_id") == F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no")))
 
