@@ -1,3 +1,4 @@
+import functools
 import re
 
 import numpy as np
@@ -20,13 +21,18 @@ def test_words_are_runs_of_other_bytes(texts):
     assert got == [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
 
 
+@functools.cache
+def _whole(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXTS)
 def test_ids_equal_whole_text_encoding(texts):
-    from tokenizers import Tokenizer
-
     path = tokens.vocabulary_path()
-    whole = Tokenizer.from_file(path)
+    whole = _whole(path)
     flat, offset = tokens.tokenizer(path).ids(pa.array(texts, pa.string()))
     for i, t in enumerate(texts):
         assert flat[offset[i] : offset[i + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids
