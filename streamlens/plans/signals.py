@@ -14,13 +14,16 @@ from streamlens.plans.base import SECONDS, Plans, events
 
 P = Plans()
 HOUR = 3600.0
+#: Last hour in the SQL, which is written for the test tables' 30 days; the queries take their hours from the data.
 LAST = 719
 
 
 def _hourly(spark, sf_dir):
-    """Per user and hour, from 0 to LAST: events, their value and errors; 0 where there are none."""
+    """Per user and hour of the table's days, from its first to its last: events, their value and errors; 0 where there are none."""
     e = events(spark, sf_dir)
-    bounds = e.select("user_id").distinct().select("user_id", F.lit(0).alias("a"), F.lit(LAST).alias("b"))
+    day = F.floor(F.col("s") / (24 * HOUR))
+    span = e.agg((F.min(day) * 24).alias("a"), (F.max(day) * 24 + 23).alias("b"))
+    bounds = e.select("user_id").distinct().join(F.broadcast(span), F.lit(True))
     return tracks.dense_histogram(e, ["user_id"], F.col("s") / HOUR, bounds, "a", "b", n=F.count("*"), weight=F.sum("value"), errors=F.count_if(F.col("event_type") == "error"))
 
 
