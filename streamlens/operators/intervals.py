@@ -44,12 +44,18 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], l_span: tuple
     return a.join(b, [*keys, "__b"]).where(meets & (F.col("__b") == F.greatest("__b_first", "__c_first"))).drop("__b", "__b_first", "__c_first")
 
 
-def points_in(points: DataFrame, spans: DataFrame, keys: list[str], t: str, span: tuple[str, str], pad: float = 0.0, bucket: float = 60.0, closed: bool = True) -> DataFrame:
-    """Points with the spans that hold them: [start - pad, end + pad], or half-open at the end."""
+def points_in(points: DataFrame, spans: DataFrame, keys: list[str], t: str, span: tuple[str, str], pad: float = 0.0, bucket: float = 60.0, closed: bool = True, how: str = "inner") -> DataFrame:
+    """Points with the spans that hold them: [start - pad, end + pad], or half-open at the end. how: inner or left_semi (each point once, without spans)."""
     lo, hi = F.col(span[0]) - pad, F.col(span[1]) + pad
     b = _bucketed(spans, lo, hi, bucket, "__b").drop("__b_first")
     a = points.withColumn("__b", F.floor(F.col(t) / bucket))
     inside = (F.col(t) >= lo) & ((F.col(t) <= hi) if closed else (F.col(t) < hi))
+    if how == "left_semi":
+        same = F.col("__b") == F.col("__c")
+        for k in keys:
+            same = same & (F.col(k) == F.col(f"__{k}"))
+        b = b.select(*[F.col(k).alias(f"__{k}") for k in keys], *span, F.col("__b").alias("__c"))
+        return a.join(b, same & inside, "left_semi").drop("__b")
     return a.join(b, [*keys, "__b"]).where(inside).drop("__b")
 
 

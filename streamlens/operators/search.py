@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from streamlens.functions.strings import tokens
 K1, B = 1.2, 0.75
 RRF_K = 60
 FEATURES = 32768
+#: Code points of a phrase that phrases_in reads for its key, and of one key's piece of it.
+SHORTEST_PHRASE, _PIECE = 20, 12
 
 
 def _equals(word: str):
@@ -145,3 +149,39 @@ def neighbours(rows: DataFrame, keys: list[str], index: str, text: str, reach: i
 
 def excluding(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def piece_keys(text: str) -> np.ndarray:
+    """The distinct keys of a text: of every SHORTEST_PHRASE code points in a row, the smallest hash of a piece in them.
+
+    What a text holds is keyed the same in it and alone, so a phrase's key is among its text's. Shorter texts have none.
+    """
+    x = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    if len(x) < SHORTEST_PHRASE:
+        return np.zeros(0, np.int64)
+    h = np.zeros(len(x) - _PIECE + 1, np.uint64)
+    for i in range(_PIECE):
+        h = (h ^ x[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    low = np.lib.stride_tricks.sliding_window_view(h, SHORTEST_PHRASE - _PIECE + 1).min(axis=1)
+    return np.unique(low).view(np.int64)
+
+
+def phrases_in(df: DataFrame, id_column: str, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """id and hits: how many of the phrases, of SHORTEST_PHRASE code points at least, stand anywhere in its texts; ids without any are left out.
+
+    An equi-join of the texts' keys with the key of each phrase's beginning gives the pairs to
+    verify, so neither side has to fit into memory. A phrase counts as often as it is listed, a text as often as its id.
+    """
+
+    @F.pandas_udf("array<long>")
+    def keyed(column: pd.Series) -> pd.Series:
+        return pd.Series([piece_keys(t or "") for t in column], dtype=object)
+
+    p = phrases.where(F.length(phrase) >= SHORTEST_PHRASE).groupBy(F.col(phrase).alias("__p")).agg(F.count("*").alias("__n"))
+    p = p.select("__p", "__n", F.explode(keyed(F.left("__p", F.lit(SHORTEST_PHRASE)))).alias("__key"))
+    d = df.select(F.col(id_column).alias("__id"), F.col(text).alias("__text"))
+    pairs = d.select("__id", F.explode(keyed("__text")).alias("__key")).join(p, "__key").select("__id", "__p", "__n").distinct()
+    at = d.withColumnRenamed("__id", "__at")
+    hits = pairs.join(at, F.col("__id").eqNullSafe(F.col("__at"))).where(F.contains("__text", "__p"))
+    return hits.groupBy(F.col("__id").alias(id_column)).agg(F.sum("__n").alias("hits"))

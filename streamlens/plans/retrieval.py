@@ -177,9 +177,8 @@ def match_reason(spark, sf_dir):
 
 @P.add("""SELECT doc_id, count(*)::BIGINT AS hits FROM documents JOIN benchmark b ON contains(documents.text, string_split(b.text, '.')[1]) WHERE length(string_split(b.text, '.')[1]) >= 20 GROUP BY doc_id""")
 def phrase_hits(spark, sf_dir):
-    phrases = [r["p"] for r in table(spark, sf_dir, "benchmark").select(F.split("text", r"\.")[0].alias("p")).where(F.length("p") >= 20).limit(1000).collect()]
-    found = F.size(F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.col("text"), p)))
-    return table(spark, sf_dir, "documents").select("doc_id", found.cast("long").alias("hits")).where("hits > 0")
+    phrases = table(spark, sf_dir, "benchmark").select(F.split("text", r"\.")[0].alias("phrase")).where(F.length("phrase") >= search.SHORTEST_PHRASE)
+    return search.phrases_in(table(spark, sf_dir, "documents"), "doc_id", "text", phrases, "phrase")
 
 
 @P.add("""SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(url, '^[a-zA-Z]+://(www\\.)?', ''), '[?#].*$', ''), '/+$', '')) AS key FROM pages""")

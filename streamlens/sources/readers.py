@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamlens import schemas
+from streamlens.operators import intervals
 
 
 def read_envelope(spark: SparkSession, path: str, record: str, kind: str, version: int) -> DataFrame:
@@ -46,8 +47,7 @@ def read_chat_replay(spark: SparkSession, path: str, limit: int | None = None) -
 
 def chat_regions(chat: DataFrame, regions: DataFrame) -> DataFrame:
     """Messages inside any [start, end) region, each (millisecond, text) once."""
-    r = F.broadcast(regions.limit(10_000))
-    hit = chat.join(r, (F.col("timestamp") >= F.col("start")) & (F.col("timestamp") < F.col("end")), "left_semi")
+    hit = intervals.points_in(chat, regions, [], "timestamp", ("start", "end"), closed=False, how="left_semi")
     return hit.withColumn("__ms", F.bround(F.col("timestamp") * 1000).cast("long")).dropDuplicates(["__ms", "text"]).drop("__ms")
 
 
