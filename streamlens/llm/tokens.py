@@ -46,7 +46,8 @@ def pieces(column: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray,
         return b"", w.start, w.end, np.zeros(0, np.uint64), w.first
     letter = _LETTER[data]
     lead = (data[:-1] >= 0xC3) & (data[:-1] <= 0xC9) & (data[1:] >= 0x80) & (data[1:] < 0xC0)  # Latin letters of two bytes,
-    lead &= ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))  # but the signs for times and divided by
+    lead &= ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))  # but the signs for times and divided by,
+    lead &= ~((data[:-1] == 0xC4) & (data[1:] == 0xB0))  # and capital I with dot: its lower case ends in a mark, which joins what follows
     letter[:-1] |= lead
     letter[1:] |= lead
     plain = _PLAIN[data]

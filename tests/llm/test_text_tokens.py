@@ -1,5 +1,6 @@
 import functools
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,13 @@ def test_special_tokens_and_separators_stay_whole():
     assert [flat[a:b].tolist() for a, b in zip(offset[:-1], offset[1:], strict=True)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_dotted_capital_i_before_punctuation():
+    path = tokens.vocabulary_path()
+    texts = [t for p in string.punctuation for t in (f"\u0130{p}", f"KED\u0130{p}", f"{p}\u0130", f"\u0130{p}b\u0130{p}{p}")]
+    flat, offset = tokens.tokenizer(path).ids(pa.array(texts))
+    assert [flat[a:b].tolist() for a, b in zip(offset[:-1], offset[1:], strict=True)] == [_whole(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_substring_hash_depends_on_content_only():
     x = np.frombuffer(b"abcabcab", np.uint8).astype(np.uint16) + 1
     p = tx.rolling(x)
