@@ -132,16 +132,24 @@ def runs_where(df: DataFrame, keys: list[str], t: str, mask: Column, min_rows: i
 def thin(df: DataFrame, keys: list[str], t: str, min_gap: float) -> DataFrame:
     """Greedy thinning: keep a time if it is more than min_gap after the last kept one (keys and t).
 
-    The state is one number, folded over each group's sorted times.
+    A time more than min_gap after the one before it is kept whatever was kept before, so each run between
+    such gaps is folded by itself, over its sorted times.
     """
-    times = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(t).cast("double"))).alias("__ts"))
+    runs = sessions(df.select(*keys, F.col(t).cast("double").alias(t)), keys, t, min_gap, "__run")
+    times = runs.groupBy(*keys, "__run").agg(F.array_sort(F.collect_list(t)).alias("__ts"))
     kept = F.aggregate("__ts", F.array().cast("array<double>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) > min_gap), F.concat(acc, F.array(x))).otherwise(acc))
     return times.select(*keys, F.explode(kept).alias(t))
 
 
 def bounded_merge(df: DataFrame, keys: list[str], start: str, end: str, max_gap: float, max_span: float) -> DataFrame:
-    """Union with a gap, where a region that would grow beyond max_span is closed and a new one begun; in order of start."""
-    spans = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e")))).alias("__x"))
+    """Union with a gap, where a region that would grow beyond max_span is closed and a new one begun; in order of start.
+
+    No region reaches over a gap wider than max_gap after the furthest end so far: what lies between such gaps is folded by itself.
+    """
+    x = df.select(*keys, F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"))
+    reach = F.max("e").over(W.partitionBy(*keys).orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1))
+    runs = islands(x, keys, ["s", "e"], reach.isNull() | (F.col("s") - reach > max_gap), "__run")
+    spans = runs.groupBy(*keys, "__run").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("__x"))
     kind = "array<struct<s:double,e:double>>"
 
     def step(acc: Column, x: Column) -> Column:
