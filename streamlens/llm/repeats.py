@@ -1,16 +1,16 @@
 """Substring dedup: words covered by a window of WINDOW words that also starts earlier are taken out.
 
-Repeats of at least WINDOW words are the internal nodes of that depth in the suffix tree of all
-texts. The tree is built in memory-sized subtrees, grouped by prefixes of two lengths:
+Repeats of at least WINDOW words would be the internal nodes of that depth in the suffix tree of all
+texts. No tree is built: only the nodes of that one depth are found, in a number of groups fixed by the shuffle partitions:
 
 1. Anchors. In every window the run of SEED words with the smallest hash is its anchor; equal windows have equal
    anchors in equal places. Neighbouring windows share anchors, so there are about seven times fewer of
    them than windows. An anchor met only once in the corpus cannot lie in a repeat: its windows are leaves and go no further.
 2. Groups. The suffixes of the other windows travel in chunks: the windows of one anchor, with all their words. The
-   group is a hash of the anchor, a prefix of SEED words. An anchor met HEAVY times or more is given the longest prefix
-   instead: each of its windows is grouped by its own WINDOW words, so one phrase in very many documents
+   group is a hash of the anchor, SEED words anywhere in the window. An anchor met HEAVY times or more is given the whole
+   window instead: each of its windows is grouped by its own WINDOW words, so one phrase in very many documents
    is spread over the groups. Equal chunks in a task count once; the later ones are repeats already.
-3. Subtrees. A group ranks its suffixes by prefix doubling (1, 2, 4, 8, 16 words, then WINDOW): the classes
+3. Ranks. A group ranks its suffixes by prefix doubling (1, 2, 4, 8, 16 words, then WINDOW): the classes
    of equal rank are the nodes of that depth. In each node all suffixes but the first (smallest doc_id, then start) give
    windows to take out; neighbouring ones leave as intervals.
 4. The intervals meet their documents once, where the words that they cover are taken out.

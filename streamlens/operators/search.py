@@ -1,4 +1,4 @@
-"""Library search: facets, postings, BM25, boolean and phrase matching, vectors, rank fusion, dedupe."""
+"""Library search: facets, postings, BM25, boolean and phrase matching, vectors, rank fusion."""
 
 from __future__ import annotations
 

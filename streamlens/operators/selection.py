@@ -1,4 +1,4 @@
-"""Ordered greedy selection per recording: interval suppression, decks, montages, groups.
+"""Ordered greedy selection per recording: interval suppression, decks, groups.
 
 The greedy rules depend on what was chosen before, so each recording's candidates (some hundreds) are
 handled in order by one function over a pandas group; scores and gates come in as columns.
