@@ -9,15 +9,23 @@ Join. A line of length l with threshold t is split evenly into t + 1 segments; w
 one segment stays whole. Each line indexes its segments under (l, segment number, contents) and
 probes, for every length from its own down by at most t, the substrings that could be that segment: only the
 start positions allowed by the multi-match-aware window are tried. Keys are hashes of substrings taken from
-prefix sums, sorted and packed by target partition in the task that reads the documents; equal lines count once in
-a task. With each key travels a profile, the counts modulo 16 of 16 classes of code points: one edit moves it by
+prefix sums, sorted and packed by target group in the task that reads the documents; equal lines count once in
+a task, and the number of groups follows the number of lines. With each key travels a profile, the counts modulo 16 of 16 classes of code points: one edit moves it by
 2 at most, so lines that share a segment by accident go no further. Candidates are verified on their whole texts with banded bit-parallel edit distance,
 for all pairs of a batch at once.
 
+Hot keys. A segment shared by more than HOT lines is not compared pair by pair. Its lines are dealt again by the join
+itself: some shared segment of a linked pair has at most i edits before it and at most t - i after it (i: its number), so the longer
+of the two sides is split into one segment more than its own edits allow, and the lines meet again only under equal
+segments of that side; a side still shared by many is split once more, down to SHORTEST code points or LEVELS levels. A task that meets a
+hot key on its own sends the lines to groups by line, not to the key's group, so no group holds a hot key whole.
+
 Lines are told apart by 64-bit hashes of their contents (expected false merges: n**2 / 2**65 for n distinct lines).
 
-Defined cases: a null text has no line; a null doc_id takes no part; rows that repeat a doc_id
-repeat its lines, and kept lines are kept in each; other columns are not looked at.
+Defined cases: a null text has no line, an empty one has one blank line; a null doc_id takes no part (deduplicate_lines keeps its row
+as it is); rows that repeat a doc_id repeat its lines, and kept lines are kept in each; of equal lines the first by doc_id, then line
+number, is kept; very long lines and texts are handled whole, a text being the smallest unit of work; an empty table gives no rows; other
+columns are not looked at and may have any name.
 """
 
 from __future__ import annotations
@@ -35,9 +43,15 @@ from streamlens.llm.store import materialize
 
 MAX_EDITS = 2
 CHARS_PER_EDIT = 20
+#: Different lines under one key from which on the key is dealt again; the shortest side and the number of levels to which that goes.
+HOT, SHORTEST, LEVELS = 1024, 8, 12
+#: Entries that a task gathers before it sends them, and about as many as a group is meant to hold.
+FLUSH, GROUP = 1 << 18, 1 << 19
 #: Line hashes (8 bytes each) that select texts for verification are broadcast up to this number, else joined by shuffling.
 BROADCAST_LINES = 1_000_000
 _INDEX, _PROBE = 1, 2
+#: Bits above an entry's code: it goes on to the next level as it is; its key is hot; its key is not dealt again.
+_SPREAD, _MARK, _LAST = 1 << 15, 1 << 14, 1 << 13
 
 
 class Lines:
@@ -80,37 +94,87 @@ class Lines:
         return tx.substring_hash(self.prefix, stops[first], stops[first + length])
 
 
-def segment(length: np.ndarray, parts: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+def segment(length: np.ndarray, parts: np.ndarray, i) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of segment i (from 0) when length is split evenly into parts; longer segments last."""
     short = length // parts
     longer = length - short * parts
     return i * short + np.maximum(0, i - (parts - longer)), short + (i >= parts - longer)
 
 
+def _windows(base: np.ndarray, size: np.ndarray, edits: np.ndarray, i: int, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where pieces of these sizes may hold segment i of a piece of size base, moved by shift: (allowed, start, length)."""
+    begin, width = segment(np.maximum(base, 1), edits + 1, i)
+    longer = size - base
+    low, high = np.maximum(-i, longer - (edits - i)), np.minimum(i, longer + (edits - i))
+    ok = (i <= edits) & (abs(longer) <= edits) & (low <= shift) & (shift <= high) & (begin + shift >= 0) & (begin + shift + width <= size)
+    return ok, begin + shift, width
+
+
+def _moves(max_edits: int) -> list[tuple[int, int, int]]:
+    """(how much shorter, segment, shift) of every probe; its place in the list is its code."""
+    return [(d, i, s) for d in range(max_edits + 1) for i in range(max_edits + 1) for s in range(-max_edits, max_edits + 1)]
+
+
 def keys(lines: Lines, chosen: np.ndarray, max_edits: int = MAX_EDITS, chars: int = CHARS_PER_EDIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, line, role) for the chosen lines: their indexed segments, and the substrings they probe."""
+    """(key, line, code) for the chosen lines: their indexed segments, and the substrings they probe. A code is 4 * the move's place + the role."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = lines.length[chosen]
-    for shorter in range(max_edits + 1):
+    for code, (shorter, i, shift) in enumerate(_moves(max_edits)):
         target = size - shorter
         edits = np.minimum(max_edits, target // chars)
-        for i in range(max_edits + 1):
-            for shift in range(-max_edits, max_edits + 1):
-                begin, width = segment(np.maximum(target, 1), edits + 1, i)
-                low = np.maximum(-i, shorter - (edits - i))
-                high = np.minimum(i, shorter + (edits - i))
-                ok = (edits >= 1) & (shorter <= edits) & (i <= edits) & (low <= shift) & (shift <= high) & (begin + shift >= 0) & (begin + shift + width <= size)
-                k = chosen[ok]
-                if len(k):
-                    h = lines.substring(lines.first[k] + begin[ok] + shift, width[ok])
-                    key = tx.mix(h + target[ok].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i))
-                    role = _INDEX | _PROBE if shorter == 0 and shift == 0 else _PROBE
-                    out.append((key, k, np.full(len(k), role, np.uint8)))
+        ok, begin, width = _windows(target, size, edits, i, shift)
+        ok &= edits >= 1
+        k = chosen[ok]
+        if len(k):
+            h = lines.substring(lines.first[k] + begin[ok], width[ok])
+            key = tx.mix(h + target[ok].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i))
+            role = _INDEX | _PROBE if shorter == 0 and shift == 0 else _PROBE
+            out.append((key, k, np.full(len(k), 4 * code + role, np.uint16)))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def sides(size: np.ndarray, code: np.ndarray, max_edits: int = MAX_EDITS, chars: int = CHARS_PER_EDIT) -> dict[str, np.ndarray]:
+    """For entries of lines of these sizes: the side to compare next, as place and size in the line, size in the indexed line, and edits."""
+    shorter, i, shift = np.array(_moves(max_edits), np.int64).reshape(-1, 3)[code >> 2].T
+    base = size - shorter
+    edits = np.minimum(max_edits, base // chars)
+    begin, width = segment(np.maximum(base, 1), edits + 1, i)
+    return _side(np.zeros(len(size), np.int64), size, base, edits, i, begin, width, shift)
+
+
+def _side(start, size, base, edits, i, begin, width, shift) -> dict[str, np.ndarray]:
+    right = base - begin - width >= begin
+    after = begin + shift + width
+    return {
+        "start": np.where(right, start + after, start),
+        "size": np.where(right, size - after, begin + shift),
+        "base": np.where(right, base - begin - width, begin),
+        "edits": np.where(right, edits - i, i),
+    }
+
+
+def next_keys(lines: Lines, key: np.ndarray, role: np.ndarray, side: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Entries one level down: row, key, role and their next side. Row r's side is a part of line r."""
+    out: list[dict[str, np.ndarray]] = []
+    most = int(side["edits"].max(initial=0))
+    for i in range(most + 1):
+        for shift in range(-i, i + 1):
+            ok, begin, width = _windows(side["base"], side["size"], side["edits"], i, shift)
+            r = np.flatnonzero(ok)
+            if len(r):
+                x = {k: v[r] for k, v in side.items()}
+                h = lines.substring(lines.first[r] + x["start"] + begin[r], width[r])
+                own = (role[r] & _INDEX > 0) & (shift == 0) & (x["size"] == x["base"])
+                down = _side(x["start"], x["size"], x["base"], x["edits"], i, begin[r] - shift, width[r], shift)
+                out.append({"row": r, "key": tx.mix(h + key[r] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(i)), "role": np.where(own, role[r], _PROBE).astype(np.uint16), **down})
+    if not out:
+        none = np.zeros(0, np.int64)
+        return {"row": none, "key": none.astype(np.uint64), "role": none.astype(np.uint16), "start": none, "size": none, "base": none, "edits": none}
+    return {k: np.concatenate([x[k] for x in out]) for k in out[0]}
+
+
 def near_profiles(x: np.ndarray, y: np.ndarray, edits: int) -> np.ndarray:
     """Whether the profiles can be those of lines within so many edits."""
     moved = np.zeros(len(x), np.int64)
@@ -155,49 +219,64 @@ class _Seen:
         return at[~known]
 
 
-def candidates(docs: DataFrame, max_edits: int = MAX_EDITS, chars: int = CHARS_PER_EDIT) -> DataFrame:
-    """Distinct pairs a < b of line hashes that share a segment key."""
-    groups = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    flush_at = 1 << 21
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, size = _Seen(), [], 0
-
-        def packed() -> pa.RecordBatch:
-            key, line, profile, role = (np.concatenate(x) for x in zip(*held, strict=True))
-            group = ((key >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
-            order = np.argsort(key, kind="stable")  # groups are ranges of keys
-            key, line, profile, role, group = (x[order] for x in (key, line, profile, role, group))
-            cut = np.flatnonzero(np.diff(group)) + 1
-            of = group[np.concatenate([[0], cut])].astype(np.int32)
-            blobs = [pa.array([y.tobytes() for y in np.split(x, cut)], pa.binary()) for x in (key, line, profile, role)]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(of), *blobs], names=["group", "key", "line", "profile", "role"])
-
-        for batch in batches:
-            for part in tx.blocks(batch, "text"):
-                x = Lines(part.column("text"))
-                plain = np.flatnonzero(~x.blank & (x.length >= chars))
-                key, line, role = keys(x, plain[seen.new(x.hash[plain])], max_edits, chars)
-                if len(key):
-                    held.append((key, x.hash[line], x.profiles()[line], role))
-                    size += len(key)
-                if size >= flush_at:
-                    yield packed()
-                    size = 0
-        if held:
-            yield packed()
+#: What travels: groups of entries, each column one value of packed numbers. The last four are a hot key's sides below the first level.
+_PACKED = {"key": np.uint64, "line": np.uint64, "profile": np.uint64, "code": np.uint16, "start": np.int32, "size": np.int32, "base": np.int32, "edits": np.uint8}
+_PACKED_SCHEMA = "group int, " + ", ".join(f"{c} binary" for c in _PACKED)
+#: Pairs (kind 0: a and b), and the entries of hot keys (kind 1: line a, key b).
+_FOUND = "kind tinyint, a long, b long, profile long, code int, start int, size int, base int, edits int"
+
+
+def _packed(entries: dict[str, np.ndarray], groups: int, hot: int) -> pa.RecordBatch:
+    """Entries by group: ranges of keys; a key with more than hot lines leaves a mark in its group, and its entries go to groups by line."""
+    order = np.argsort(entries["key"], kind="stable")
+    e = {c: entries[c][order] for c in entries}
+    new = np.ones(len(order), bool)
+    new[1:] = e["key"][1:] != e["key"][:-1]
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(order)))
+    by = e["key"]
+    many = (count > hot) & (e["code"][first] & _LAST == 0)
+    if many.any():
+        crowded = np.repeat(many, count)
+        e["code"] = np.where(crowded, e["code"] | _SPREAD, e["code"]).astype(np.uint16)
+        by = np.where(crowded, tx.mix(e["line"] + np.uint64(1)), e["key"])
+        marks = first[many]
+        by = np.concatenate([by, e["key"][marks]])
+        e = {c: np.concatenate([e[c], np.full(len(marks), _MARK, np.uint16) if c == "code" else e[c][marks]]) for c in e}
+        order = np.argsort(by, kind="stable")
+        by, e = by[order], {c: e[c][order] for c in e}
+    group = ((by >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+    cut = np.flatnonzero(np.diff(group)) + 1
+    of = group[np.concatenate([[0], cut])].astype(np.int32)
+    blobs = [pa.array([y.tobytes() for y in np.split(e[c].astype(t), cut)] if c in e else [b""] * len(of), pa.binary()) for c, t in _PACKED.items()]
+    return pa.RecordBatch.from_arrays([pa.array(of), *blobs], names=["group", *_PACKED])
+
+
+def _match(max_edits: int, hot: int):
+    """The function of one group: its pairs, and the entries of its hot keys."""
 
     def match(table: pa.Table) -> pa.Table:
-        wanted = (("key", np.uint64), ("line", np.uint64), ("profile", np.uint64), ("role", np.uint8))
-        key, line, profile, role = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in wanted)
-        order = np.lexsort((role, line, key))
-        key, line, profile, role = (x[order] for x in (key, line, profile, role))
+        e = {c: np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in _PACKED.items()}
+        n = len(e["key"])
+        e = {c: x if len(x) == n else np.zeros(n, x.dtype) for c, x in e.items()}
+        spread = e["code"] & _SPREAD > 0
+        passed = {c: x[spread] for c, x in e.items()}
+        e = {c: x[~spread] for c, x in e.items()}
+        order = np.lexsort((e["code"], e["line"], e["key"]))
+        e = {c: x[order] for c, x in e.items()}
+        key, line, profile, code = (e[c] for c in ("key", "line", "profile", "code"))
         # only keys with an index entry of one line and a probe of another can give a pair
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         begin = np.append(np.flatnonzero(new), len(key))
-        several = np.flatnonzero(np.diff(begin) > 1)
+        other = new.copy()
+        other[1:] |= line[1:] != line[:-1]
+        different = np.add.reduceat(other, begin[:-1]) if len(key) else np.zeros(0, np.int64)
+        marked = np.maximum.reduceat(code & _MARK, begin[:-1]) > 0 if len(key) else np.zeros(0, bool)
+        last = np.maximum.reduceat(code & _LAST, begin[:-1]) > 0 if len(key) else np.zeros(0, bool)
+        crowded = ((different > hot) | marked) & ~last
+        handed = np.repeat(crowded, np.diff(begin)) & (code & _MARK == 0)
+        several = np.flatnonzero((different > 1) & ~crowded)
         found: list[np.ndarray] = []
 
         def add(i: np.ndarray, j: np.ndarray) -> None:
@@ -209,6 +288,7 @@ def candidates(docs: DataFrame, max_edits: int = MAX_EDITS, chars: int = CHARS_P
             if pair.shape[1]:
                 found.append(np.unique(pair, axis=1))
 
+        role = code & 3
         small = several[np.diff(begin)[several] == 2]
         first = begin[small]
         hit = ((role[first] & _INDEX > 0) & (role[first + 1] & _PROBE > 0)) | ((role[first] & _PROBE > 0) & (role[first + 1] & _INDEX > 0))
@@ -218,15 +298,91 @@ def candidates(docs: DataFrame, max_edits: int = MAX_EDITS, chars: int = CHARS_P
             once = np.ones(b - a, bool)  # a line that several tasks met, or that probes here twice, once
             once[1:] = (line[a + 1 : b] != line[a : b - 1]) | (role[a + 1 : b] != role[a : b - 1])
             index, probe = (a + np.flatnonzero(once & (role[a:b] & x > 0)) for x in (_INDEX, _PROBE))
-            step = max(1, (1 << 20) // max(1, len(probe)))
+            step = max(1, (1 << 18) // max(1, len(probe)))
             for i in range(0, len(index), step):
                 part = index[i : i + step]
                 add(np.repeat(part, len(probe)), np.tile(probe, len(part)))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.uint64)
-        return pa.table({"a": pairs[0].view(np.int64), "b": pairs[1].view(np.int64)})
+        rest = {c: np.concatenate([passed[c], e[c][handed]]) for c in e}
+        p, q = pairs.shape[1], len(rest["key"])
+        columns = [np.repeat(np.array([0, 1], np.int8), [p, q]), np.concatenate([pairs[0], rest["line"]]).view(np.int64), np.concatenate([pairs[1], rest["key"]]).view(np.int64)]
+        columns += [np.concatenate([np.zeros(p, np.uint64), rest["profile"]]).view(np.int64)]
+        columns += [np.concatenate([np.zeros(p, np.int32), (rest[c] & (_LAST - 1) if c == "code" else rest[c]).astype(np.int32)]) for c in ("code", "start", "size", "base", "edits")]
+        return pa.table([pa.array(x) for x in columns], names=[x.split()[0] for x in _FOUND.split(", ")])
+
+    return match
+
+
+def _group_number(spark, entries: int) -> int:
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // GROUP))
+
+
+def found_keys(docs: DataFrame, groups: int, max_edits: int = MAX_EDITS, chars: int = CHARS_PER_EDIT, hot: int = HOT) -> DataFrame:
+    """The first level, from the documents: _FOUND rows."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, size = _Seen(), [], 0
 
-    packed = docs.mapInArrow(emit, "group int, key binary, line binary, profile binary, role binary")
-    return packed.groupBy("group").applyInArrow(match, "a long, b long").distinct()
+        def packed() -> pa.RecordBatch:
+            entries = {c: np.concatenate([x[i] for x in held]) for i, c in enumerate(("key", "line", "profile", "code"))}
+            held.clear()
+            return _packed(entries, groups, hot)
+
+        for batch in batches:
+            for part in tx.blocks(batch, "text"):
+                x = Lines(part.column("text"))
+                plain = np.flatnonzero(~x.blank & (x.length >= chars))
+                key, line, code = keys(x, plain[seen.new(x.hash[plain])], max_edits, chars)
+                if len(key):
+                    held.append((key, x.hash[line], x.profiles()[line], code))
+                    size += len(key)
+                if size >= FLUSH:
+                    yield packed()
+                    size = 0
+        if held:
+            yield packed()
+
+    return docs.mapInArrow(emit, _PACKED_SCHEMA).groupBy("group").applyInArrow(_match(max_edits, hot), _FOUND)
+
+
+def dealt_again(entries: DataFrame, texts: DataFrame, groups: int, top: bool, deepest: bool, max_edits: int = MAX_EDITS, chars: int = CHARS_PER_EDIT, hot: int = HOT) -> DataFrame:
+    """One level further down: the entries of hot keys (_FOUND rows of kind 1), with their lines' texts, as _FOUND rows."""
+    wide = entries.withColumnRenamed("a", "line").join(texts, "line").select("line", "b", "profile", "code", "start", "size", "base", "edits", "text")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            entries = {c: np.concatenate([x[c] for x in held]) for c in _PACKED}
+            held.clear()
+            return _packed(entries, groups, hot)
+
+        for batch in batches:
+            for part in tx.blocks(batch, "text", tx.BLOCK_BYTES // 2):
+                x = Lines(part.column("text"))
+                line, key, profile, code = (part.column(c).to_numpy() for c in ("line", "b", "profile", "code"))
+                if top:
+                    side = sides(x.length.astype(np.int64), code.astype(np.int64), max_edits, chars)
+                else:
+                    side = {c: part.column(c).to_numpy().astype(np.int64) for c in ("start", "size", "base", "edits")}
+                # a short side is dealt by nothing but its parent's key; so is one without room for its segments
+                going = (side["base"] >= SHORTEST) & (side["base"] > side["edits"]) & (not deepest)
+                stop = np.flatnonzero(~going)
+                down = next_keys(x, key.view(np.uint64), code & 3, {c: np.where(going, v, -1 if c == "edits" else v) for c, v in side.items()})
+                row = np.concatenate([down["row"], stop])
+                if len(row):
+                    held.append({
+                        "key": np.concatenate([down["key"], key.view(np.uint64)[stop]]), "line": line.view(np.uint64)[row], "profile": profile.view(np.uint64)[row],
+                        "code": np.concatenate([down["role"], (code[stop] & 3 | _LAST).astype(np.uint16)]), **{c: np.concatenate([down[c], side[c][stop]]) for c in ("start", "size", "base", "edits")},
+                    })
+                    size += len(row)
+                if size >= FLUSH:
+                    yield packed()
+                    size = 0
+        if held:
+            yield packed()
+
+    return wide.mapInArrow(emit, _PACKED_SCHEMA).groupBy("group").applyInArrow(_match(max_edits, hot), _FOUND)
 
 
 def line_texts(docs: DataFrame) -> DataFrame:
@@ -329,12 +485,29 @@ def _banded(pattern: list[str], text: list[str], m: np.ndarray, t: np.ndarray, l
     return final <= limit
 
 
-def links(docs: DataFrame, max_edits: int = MAX_EDITS, chars: int = CHARS_PER_EDIT) -> DataFrame:
-    """All pairs a, b of different lines within the threshold, written."""
-    pairs = materialize(candidates(docs, max_edits, chars), "line-pairs")
-    ids = materialize(pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct(), "line-ids")
+def candidates(docs: DataFrame, max_edits: int = MAX_EDITS, chars: int = CHARS_PER_EDIT, hot: int = HOT, lines_: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs a < b of line hashes that share a segment key, and the texts of all their lines, both written. lines_: about the number of lines."""
+    spark = docs.sparkSession
+    found = materialize(found_keys(docs, _group_number(spark, lines_ * (max_edits + 1) ** 2), max_edits, chars, hot), "line-keys")
+    hot_ = found.where("kind = 1")
+    more = hot_.count()
+    pairs = found.where("kind = 0").select("a", "b")
+    ids = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line")))
+    ids = materialize(ids.unionByName(hot_.select(F.col("a").alias("line"))).distinct(), "line-ids")
     few = ids.count() <= BROADCAST_LINES
     texts = materialize(line_texts(docs).join(F.broadcast(ids) if few else ids, "line", "left_semi").dropDuplicates(["line"]), "line-texts")
+    level = 1
+    while more:
+        found = materialize(dealt_again(hot_, texts, _group_number(spark, more * (max_edits + 1)), level == 1, level == LEVELS, max_edits, chars, hot), "line-keys")
+        pairs = pairs.unionByName(found.where("kind = 0").select("a", "b"))
+        hot_ = found.where("kind = 1")
+        more, level = hot_.count(), level + 1
+    return materialize(pairs.distinct(), "line-pairs"), texts
+
+
+def links(docs: DataFrame, max_edits: int = MAX_EDITS, chars: int = CHARS_PER_EDIT, hot: int = HOT, lines_: int = 0) -> DataFrame:
+    """All pairs a, b of different lines within the threshold, written."""
+    pairs, texts = candidates(docs, max_edits, chars, hot, lines_)
     wide = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,11 +520,11 @@ def links(docs: DataFrame, max_edits: int = MAX_EDITS, chars: int = CHARS_PER_ED
     return materialize(wide.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "line-links")
 
 
-def line_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_edits: int = MAX_EDITS, chars: int = CHARS_PER_EDIT) -> DataFrame:
+def line_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_edits: int = MAX_EDITS, chars: int = CHARS_PER_EDIT, hot: int = HOT) -> DataFrame:
     """doc_id, line_no, length, class_doc_id and class_line_no (the class's first line), n_links (different lines within the threshold) and kept, for every line."""
     docs = _selected(docs, id_column, text_column)
     every = materialize(occurrences(docs), "lines")
-    found = links(docs, max_edits, chars)
+    found = links(docs, max_edits, chars, hot, every.where((F.col("length") >= chars) & ~F.col("blank")).count())
     degree = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = materialize(components(found, "line-classes").join(degree, "node"), "line-roots")
     plain = every.where("NOT blank").join(linked, F.col("line") == F.col("node"), "left")
@@ -367,9 +540,10 @@ def line_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def deduplicate_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_edits: int = MAX_EDITS, chars: int = CHARS_PER_EDIT) -> DataFrame:
     """docs with the lines that are not kept taken out of their texts; every row stays, also one left without text."""
     gone = line_classes(docs, id_column, text_column, max_edits, chars).where("NOT kept").select("doc_id", "line_no").distinct()
-    gone = gone.groupBy("doc_id").agg(F.collect_list("line_no").alias("__gone")).withColumnRenamed("doc_id", "__doc")
+    gone = gone.groupBy("doc_id").agg(F.collect_list("line_no").alias("gone"))
     names = docs.columns
-    rows = docs.join(gone, F.col(id_column).cast("long") == F.col("__doc"), "left").drop("__doc").toDF(*[f"c{i}" for i in range(len(names))], "gone")
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no name of docs can clash with doc_id and gone
+    rows = rows.join(gone, rows[names.index(id_column)].cast("long") == F.col("doc_id"), "left").drop("doc_id")
     at = names.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 #: Text bytes handled at once inside a task; bounds the memory of the arrays below.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

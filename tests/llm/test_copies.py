@@ -61,26 +61,26 @@ def test_banded_distance_matches_plain():
     assert lines.within(a, b, limit).tolist() == [lines._distance(x, y) <= k for x, y, k in zip(a, b, limit, strict=True)]
 
 
-def _line_rows(seed):
+def _line_rows(seed, longest=70):
     rng = random.Random(seed)
     rows = []
     for d in range(50):
         own = []
         for _ in range(rng.randint(0, 8)):
             old = rng.choice(rng.choice(rows)[1].split("\n")) if rows and rng.random() < 0.6 else ""
-            own.append(_mutate(rng, old, rng.randint(0, 3)) if old else "".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 70))))
+            own.append(_mutate(rng, old, rng.randint(0, 3 if longest <= 70 else min(10, len(old) // 3))) if old else "".join(rng.choice("abcdé ") for _ in range(rng.randint(0, longest))))
         rows.append((d, "\n".join(own)))
     return rows
 
 
-def _line_brute(rows):
+def _line_brute(rows, most=2):
     occ = [(d, i, x) for d, t in rows for i, x in enumerate(t.split("\n"))]
     distinct = sorted({x for _, _, x in occ if x.strip()})
     u, degree, first = _Union(distinct), Counter(), {}
     for i, x in enumerate(distinct):
         for y in distinct[:i]:
-            k = min(2, min(len(x), len(y)) // 20)
-            if k and abs(len(x) - len(y)) <= k and lines._distance(x, y) <= k:
+            k = min(most, min(len(x), len(y)) // 20)
+            if k and abs(len(x) - len(y)) <= k and (Counter(x) - Counter(y)).total() <= k and lines._distance(x, y) <= k:
                 u.join(x, y)
                 degree[x] += 1
                 degree[y] += 1
@@ -90,12 +90,31 @@ def _line_brute(rows):
     return sorted((d, i, len(x), *(first[u.find(x)] if x.strip() else (d, i)), degree[x] if x.strip() else 0) for d, i, x in occ)
 
 
+def _line_result(df, **options):
+    return sorted((r.doc_id, r.line_no, r.length, r.class_doc_id, r.class_line_no, r.n_links) for r in lines.line_classes(df, **options).collect())
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_line_classes_match_brute_force(spark, seed):
     rows = _line_rows(seed)
     df = spark.createDataFrame([*rows, (100, None), (None, "x" * 30)], DOCS).repartition(3)
-    got = sorted((r.doc_id, r.line_no, r.length, r.class_doc_id, r.class_line_no, r.n_links) for r in lines.line_classes(df).collect())
-    assert got == _line_brute(rows)
+    assert _line_result(df) == _line_brute(rows)
+
+
+def test_lines_of_several_hundred_letters_with_more_edits(spark):
+    rows = _line_rows(5, 400)
+    assert _line_result(spark.createDataFrame(rows, DOCS).repartition(3), max_edits=8) == _line_brute(rows, 8)
+
+
+@pytest.mark.parametrize("hot,most", [(2, 2), (4, 4)])
+def test_hot_segments_lose_no_link(spark, hot, most):
+    rng = random.Random(hot)
+    letters = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
+    fixed = [letters(40), letters(25)]
+    own = [rng.choice(fixed) + letters(rng.randint(20, 40)) + rng.choice(["", fixed[1]]) for _ in range(60)] + [fixed[0] + " %03d" % i for i in range(25)]
+    own += [_mutate(rng, rng.choice(own), rng.randint(1, most + 1)) for _ in range(80)]
+    rows = [(d, "\n".join(own[d::20])) for d in range(20)]
+    assert _line_result(spark.createDataFrame(rows, DOCS).repartition(3), max_edits=most, hot=hot) == _line_brute(rows, most)
 
 
 def test_line_stage_keeps_first_lines(spark):
@@ -108,6 +127,9 @@ def test_line_stage_keeps_first_lines(spark):
     assert [t for _, t in out] == [f"{long}!\nfirst\n", f"{long}!\nfirst\n", "short\n", "", "z" * 200_000, long]
     assert got.where("text IS NULL").count() == 1
     assert lines.line_classes(spark.createDataFrame([], DOCS)).count() == 0
+    clash = spark.createDataFrame([(1, long, "a", 5, "g"), (2, long + "?", "b", 6, "h"), (None, None, None, None, None)], DOCS + ", __doc string, gone int, c1 string")
+    assert sorted(map(str, lines.deduplicate_lines(clash).collect())) == sorted(map(str, [clash.first(), *[r for r in clash.selectExpr("doc_id", "if(doc_id = 2, '', text) AS text", "__doc", "gone", "c1").collect() if r.doc_id != 1]]))
+    assert lines.deduplicate_lines(spark.createDataFrame([], clash.schema)).columns == clash.columns
 
 
 # substrings
