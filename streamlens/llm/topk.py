@@ -1,21 +1,20 @@
 """Exact top-k by inner product: columnar branch-and-bound over blocks.
 
 Vectors become integers, floor(64 * x). Candidates are packed into blocks of a bounded number
-of vectors, stored dimension by dimension (vertical layout); queries into groups of bounded
-size. Every group of queries meets every block of candidates in one cell of a grid; a cell is two bounded
-values, so no task holds more than a block and a group at a time, and cells of one group are spread over
-tasks. In a cell, partial products are accumulated over blocks of dimensions. After each
-block a candidate's product can still grow by at most |rest of q| * |rest of c|; candidates whose
-bound is below the query's k-th best sure score so far are dropped and the survivors compacted.
-Each cell keeps k candidates a query; the last ranking merges k per cell.
-
-The work is the queries times the candidates; what moves is one copy of the candidates for each
-group of queries. Scores are exact: products that could exceed 2**53 are computed in integers,
+of vectors, stored dimension by dimension (vertical layout), and each block goes to one lane; queries are packed into groups of bounded
+size, and every lane gets every group. A lane holds up to LANE candidates, so what moves is every candidate once and every query once
+a lane. A cell, a group and a block, is two bounded values, whatever the size of a lane. In a cell, partial products are accumulated over
+blocks of dimensions. After each block a candidate's product can still grow by at most |rest of q| * |rest of c|; candidates whose
+bound is below the query's k-th best sure score so far are dropped and the survivors compacted. While the cells of one group follow
+each other, its queries' k best are kept and bound the next cell; one lane gives k rows a query, and the last ranking merges the lanes.
+
+The work is the queries times the candidates. Scores are exact: products that could exceed 2**53 are computed in integers,
 and a sum that could exceed 63 bits fails rather than wraps.
 
 Defined cases: null vectors and vectors with null or non-finite components take no part; a
-missing component (vectors of unequal length) counts as 0; equal scores rank by smaller id; rows with
-a repeated id are candidates of their own, other than for a query of that id; an empty table gives no rows.
+missing component (vectors of unequal length, empty and very long ones) counts as 0; equal scores rank by smaller id; rows with
+a repeated id are candidates of their own, other than for a query of that id, and rows of queries with one id are ranked together; an empty
+table gives no rows; columns other than id and vector are not looked at and may have any name.
 """
 
 from __future__ import annotations
@@ -30,6 +29,8 @@ from pyspark.sql import functions as F
 
 BLOCK = 8192
 GROUP = 512
+#: Candidates of one lane from which on there are more lanes than shuffle partitions.
+LANE = 1 << 20
 DIMENSIONS = 16
 SCALE = 64.0
 
@@ -75,8 +76,11 @@ def _unpack(ids: bytes, dims: int, width: int, data: bytes, to: int) -> tuple[np
     return key, np.concatenate([v, np.zeros((to - dims, len(key)), np.int64)])
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """q and c: dimensions x vectors. Gives (query index, candidate index, score): each query's k best of this block."""
+def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """q and c: dimensions x vectors. Gives (query index, candidate index, score): each query's k best of this block.
+
+    floor: a score for each query below which no candidate is wanted (the k-th best found elsewhere).
+    """
     dims = len(q)
     top = int(abs(q).max(initial=0)) * int(abs(c).max(initial=0)) * max(dims, 1)
     if top >= 1 << 63:
@@ -95,18 +99,17 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     for i in range(q.shape[1]):
         alive = np.flatnonzero(c_ids != q_ids[i])
         score = first[i, alive]
+        least = -np.inf if floor is None else floor[i]
         for n, s in enumerate(steps):
             if n:
                 score = score + q[s : s + DIMENSIONS, i] @ c[s : s + DIMENSIONS, alive]
-            if len(alive) > k and q_rest[n][i] > 0:
+            if q_rest[n][i] > 0 and (len(alive) > k or least > -np.inf):
                 slack = q_rest[n][i] * c_rest[n][alive]
-                sure = np.partition(score - slack, len(alive) - k)[len(alive) - k]
+                sure = max(least, np.partition(score - slack, len(alive) - k)[len(alive) - k]) if len(alive) > k else least
                 stay = score + slack >= sure - 1e-6 * max(1.0, abs(float(sure)))
                 alive, score = alive[stay], score[stay]
-        if len(alive) > k:
-            cut = np.partition(score, len(alive) - k)[len(alive) - k]
-            stay = score >= cut
-            alive, score = alive[stay], score[stay]
+        stay = score >= (max(least, np.partition(score, len(alive) - k)[len(alive) - k]) if len(alive) > k else least)
+        alive, score = alive[stay], score[stay]
         best = np.lexsort((c_ids[alive], -score))[:k]
         out.append((np.full(len(best), i), alive[best], score[best].astype(np.int64)))
     if not out:
@@ -115,29 +118,58 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, group: int = GROUP) -> DataFrame:
+class _Best:
+    """The k best of every query of one group, over the cells seen so far."""
+
+    def __init__(self, ids: np.ndarray, k: int) -> None:
+        self.ids, self.k = ids, k
+        self.query, self.vec, self.score = (np.zeros(0, np.int64) for _ in range(3))
+        self.floor = np.full(len(ids), -np.inf)
+
+    def add(self, query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
+        query, vec, score = (np.concatenate(x) for x in ((self.query, query), (self.vec, vec), (self.score, score)))
+        order = np.lexsort((vec, -score, query))
+        query, vec, score = query[order], vec[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = rank < self.k
+        self.query, self.vec, self.score = query[keep], vec[keep], score[keep]
+        last = rank == self.k - 1
+        self.floor[query[last]] = score[last]
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.query]), pa.array(self.vec), pa.array(self.score)], names=["query_id", "vec_id", "score"])
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, group: int = GROUP, lane: int = LANE) -> DataFrame:
     """vectors, queries: id and v, as quantized() gives them. Result: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lanes = max(partitions, -(-vectors.count() // lane))
     groups = max(1, -(-queries.count() // group))
-    # Queries are dealt by a hash of their id, packed in pieces of at most one group, and sent to each lane of their number.
+    # Queries are dealt by a hash of their id and packed in pieces of at most one group; a group's number tells it from others.
     dealt = queries.repartition(groups, F.xxhash64("id"))
-    lanes = max(1, -(-partitions // groups))
-    q = dealt.mapInArrow(_pack(group), PACKED).select(F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
-    q = q.withColumn("g", F.pmod(F.xxhash64("q_ids"), F.lit(groups))).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    c = vectors.mapInArrow(_pack(block), PACKED).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    cells = q.join(c, ["g", "lane"])
+    q = dealt.mapInArrow(_pack(group), PACKED).select(F.monotonically_increasing_id().alias("q"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
+    q = q.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    c = vectors.mapInArrow(_pack(block), PACKED).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
+    cells = q.hint("merge").join(c, "lane")
     schema = "query_id long, vec_id long, score long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best = None, None
         for batch in batches:
             for r in batch.to_pylist():
                 dims = max(r["q_dims"], r["dims"])
                 q_ids, qv = _unpack(r["q_ids"], r["q_dims"], r["q_width"], r["q_data"], dims)
                 c_ids, cv = _unpack(r["ids"], r["dims"], r["width"], r["data"], dims)
-                i, j, score = search_block(q_ids, qv, c_ids, cv, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(c_ids[j]), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    found = cells.select("q_ids", "q_dims", "q_width", "q_data", "ids", "dims", "width", "data").mapInArrow(run, schema)
+                if r["q"] != now:
+                    if best is not None:
+                        yield best.rows()
+                    now, best = r["q"], _Best(q_ids, k)
+                i, j, score = search_block(q_ids, qv, c_ids, cv, k, best.floor)
+                best.add(i, c_ids[j], score)
+        if best is not None:
+            yield best.rows()
+
+    found = cells.select("q", "q_ids", "q_dims", "q_width", "q_data", "ids", "dims", "width", "data").mapInArrow(run, schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
