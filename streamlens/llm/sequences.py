@@ -17,8 +17,8 @@ and one closing byte 0x0A, which Spark's text writer adds; files are committed b
 protocol, so tasks that run again leave no partial shard.
 
 Defined cases: null texts are empty and give the end id; a null doc_id is carried; repeated
-rows are written as often as they come; an empty table gives no rows and no shard; other columns are not
-looked at.
+rows are written as often as they come; a very long text runs through as many sequences as it needs; no two sequences share a slot, so
+there are no ties; an empty table gives no rows and no shard; other columns are not looked at and may have any name.
 """
 
 from __future__ import annotations
@@ -135,18 +135,32 @@ def assign_slots(sequences: DataFrame, per_shard: int = PER_SHARD, key: int = KE
 
 
 def write_shards(rows: DataFrame, path: str, partitions: int) -> None:
-    """One file a shard, in the folder shard=<number>; records in slot order."""
+    """One file a shard, in the folder shard=<number>; records in slot order.
+
+    A shard is one row of the writer, put together in the task that holds its range of slots, so the order of
+    its records does not depend on how the writer sorts or spills. per_shard of assign_slots() bounds that row.
+    """
     schema = "shard long, value binary"
 
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for b in batches:
-            for part in tx.blocks(b, "ids"):
-                yield pa.RecordBatch.from_arrays([part.column("shard"), pa.array([unpack.decompress(x.as_py()) for x in part.column("ids")], pa.binary())], names=["shard", "value"])
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, now, held = zstandard.ZstdDecompressor(), None, []
 
-    ordered = rows.select("shard", "slot", "ids").repartitionByRange(partitions, "shard").sortWithinPartitions("slot").select("shard", "ids")
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([b"\n".join(held)], pa.binary())], names=["shard", "value"])
+
+        for b in batches:
+            for shard, ids in zip(b.column("shard").to_pylist(), b.column("ids"), strict=True):
+                if shard != now and held:
+                    yield whole()
+                    held.clear()
+                now = shard
+                held.append(unpack.decompress(ids.as_py()))
+        if held:
+            yield whole()
+
+    ordered = rows.select("shard", "slot", "ids").repartitionByRange(partitions, "shard").sortWithinPartitions("shard", "slot").select("shard", "ids")
     # A binary's bytes pass unchanged through the cast and the text writer.
-    ordered.mapInArrow(plain, schema).select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").text(path)
+    ordered.mapInArrow(join, schema).select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").text(path)
 
 
 def read_slots(spark: SparkSession, path: str, length: int = LENGTH, width: int = 2) -> DataFrame:
