@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamlens.llm import lines, mixing, neardup, packing, quality
-from streamlens.llm.store import materialize
+from streamlens.llm.store import free_name, materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,7 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier rejects (score below its threshold) go."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").select("doc_id", "quality")
     model = quality.train(docs, labels)
-    return quality.score(docs, model).where(F.col("quality_score") >= quality.THRESHOLD).drop("quality_score")
+    name = free_name(docs.columns, "quality_score")
+    return quality.score(docs, model, name).where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +41,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    return mixing.take(mixing.mix(docs), docs.columns).drop("mix_order", "mix_shard")
+    """Each document as often as the mix takes it (not at all, once or twice), shard after shard, each shard in its shuffled order."""
+    return mixing.mixed_rows(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of the mix's order: blocks of neighbouring rows of a shard are packed together."""
     return packing.pack_documents(docs)
 
 

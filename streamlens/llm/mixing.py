@@ -15,11 +15,12 @@ Only DataFrame and SQL functions are used.
    shards: at each node the left child draws half of the node's blocks without
    replacement, which is a multivariate-hypergeometric draw made source by source from its
    exact probabilities. Leaves give each shard disjoint ranges of each source's blocks.
-5. Inside a shard rows are ordered by a keyed hash (order_key).
+5. Inside a shard rows are ordered by a keyed hash; mixed_rows() gives the mix shard by shard in that order.
 
-Defined cases: a null text has size 0; a null source is a source of its own, last in order;
-rows with equal doc_id share a key and are taken together; a source of size 0 has target 0;
-an empty table gives no rows. The number of sources is that of a mix's recipe: per source there
+Defined cases: a null or empty text has size 0 and is taken like any other, never more than twice; a null source is a source of its own, last in order;
+rows with equal doc_id (null ids too) share a key and are taken together; a source of size 0 has target 0; a very long text is taken whole or not, so a
+source may miss its target by half its longest text; an empty table gives no rows; columns of docs may have any name: where one has the name of a
+column that mix() adds, the added one gets an underscore. The number of sources is that of a mix's recipe: per source there
 is one row in a window and an entry in the tree's arrays.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from streamlens.llm.store import materialize
+from streamlens.llm.store import free_name, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -102,7 +103,7 @@ def plan_sources(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: f
     half = F.sum("size").over(W.partitionBy("source").orderBy("key")) - F.col("size") / 2
     last = last.withColumn("in", half <= F.col("rest")).groupBy("source").agg(F.coalesce(F.max(F.when(F.col("in"), F.col("key"))), F.first("b2")).alias("threshold"))
     return materialize(
-        sources.alias("s").join(last.alias("t"), F.expr("s.source <=> t.source"), "left").select("s.source", "source_size", "rank", "target", "base", "rest", F.coalesce("threshold", F.lit("")).alias("threshold")),
+        sources.alias("s").join(last.alias("t"), F.expr("s.source <=> t.source"), "left").select("s.source", "source_size", "rank", "target", "base", "rest", F.when(F.col("rest") > 0, F.coalesce("threshold", F.lit(""))).otherwise("").alias("threshold")),
         "mix-plan",
     )
 
@@ -155,6 +156,10 @@ def block_shards(plan: DataFrame, shards: int = SHARDS, seed: str = SEED) -> Dat
     return places.select("source", F.lower(F.lpad(F.hex(F.col("place") % BLOCKS), 2, "0")).alias("b1"), F.floor(F.col("place") / BLOCKS).cast("int").alias("pass"), "shard")
 
 
+#: What mix() adds to the columns of its input.
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_shards", "mix_order")
+
+
 def mix(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -176,15 +181,18 @@ def mix(
     plan = plan_sources(sized.select("source", "size", "key"), weights, share, cap)
     where = block_shards(plan, shards, seed).groupBy("source", "b1").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
     where = materialize(plan.alias("p").join(where.alias("w"), F.expr("p.source <=> w.source"), "left").select("p.source", "source_size", "target", "base", "threshold", F.coalesce("b1", F.lit("")).alias("b1"), "draws"), "mix-draws")
-    by_source = _small(plan.select(F.col("source").alias("__s"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("base").alias("__base"), F.col("threshold").alias("__threshold")))
-    draws = _small(where.select(F.col("source").alias("__s2"), F.col("b1").alias("__b1"), F.col("draws").alias("__draws")))
-    key = permutation_key(F.col(id_column), seed)
-    rows = docs.withColumn("__key", key).withColumn("mix_size", word_count(F.col(text_column)) if sizes is None or text_column in docs.columns else F.col("size"))
-    rows = rows.join(by_source, F.col(source_column).eqNullSafe(F.col("__s"))).join(draws, F.col(source_column).eqNullSafe(F.col("__s2")) & (F.substring("__key", 1, 2) == F.col("__b1")), "left")
-    times = F.col("__base") + (F.col("__key") <= F.col("__threshold")).cast("long")
-    taken = F.filter(F.coalesce("__draws", F.array().cast("array<struct<pass:int,shard:int>>")), lambda d: d["pass"] < times)
-    rows = rows.withColumn("mix_shards", F.transform(taken, lambda d: d["shard"])).withColumn("mix_order", F.xxhash64(F.lit(seed), "__key"))
-    return rows.select(*[F.col(c) for c in docs.columns], "mix_size", "mix_source_size", "mix_target", "mix_shards", "mix_order")
+    by_source = _small(plan.select(F.col("source").alias("s"), "source_size", "target", "base", "threshold"))
+    draws = _small(where.select(F.col("source").alias("s2"), "b1", "draws"))
+    names = docs.columns
+    own = {x: f"c{i}" for i, x in enumerate(names)}
+    key = permutation_key(F.col(own[id_column]), seed)
+    rows = docs.toDF(*own.values()).withColumn("key", key)
+    rows = rows.withColumn("words", word_count(F.col(own[text_column])) if text_column in own else F.col(own["size"]))
+    rows = rows.join(by_source, F.col(own[source_column]).eqNullSafe(F.col("s"))).join(draws, F.col(own[source_column]).eqNullSafe(F.col("s2")) & (F.substring("key", 1, 2) == F.col("b1")), "left")
+    times = F.col("base") + (F.col("key") <= F.col("threshold")).cast("long")
+    taken = F.filter(F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:int>>")), lambda d: d["pass"] < times)
+    added = [F.col("words"), F.col("source_size"), F.col("target"), F.transform(taken, lambda d: d["shard"]), F.xxhash64(F.lit(seed), "key")]
+    return rows.select(*own.values(), *added).toDF(*names, *(free_name(names, x) for x in ADDED))
 
 
 def measure(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: str = SEED) -> DataFrame:
@@ -193,5 +201,13 @@ def measure(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 
 def take(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with its shard and its order inside it."""
-    return mixed.select(*columns, "mix_order", F.explode("mix_shards").alias("mix_shard"))
+    """The mix itself: each row as often as it is taken, with its shard and its order inside it. columns: those of mix()'s input."""
+    shards, order = (free_name(columns, x) for x in ("mix_shards", "mix_order"))
+    return mixed.select(*columns, F.col(order), F.explode(F.col(shards)).alias(free_name(columns, "mix_shard")))
+
+
+def mixed_rows(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
+    """docs' columns of the mix, shard after shard and inside a shard in its shuffled order: partitions are ranges of (shard, order)."""
+    names, n = docs.columns, partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shard, order = free_name(names, "mix_shard"), free_name(names, "mix_order")
+    return take(mix(docs, **options), names).repartitionByRange(n, shard, order).sortWithinPartitions(shard, order).select(*names)

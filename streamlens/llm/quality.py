@@ -190,8 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS, targ
     return fit(np.concatenate(bags), first, np.array([r["y"] for r in got]))
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs with quality_score: scored where the documents are read."""
+def score(docs: DataFrame, model: Model | None, name: str = "quality_score") -> DataFrame:
+    """All columns of docs, then the score under a name that docs must not have: scored where the documents are read."""
     names = docs.columns
     temporary = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = names.index("text")
@@ -206,7 +206,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                     found = model.forward(*passages(part.column(at)))["score"]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, "score"])
 
-    return temporary.mapInArrow(run, schema).toDF(*names, "quality_score")
+    return temporary.mapInArrow(run, schema).toDF(*names, name)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> DataFrame:
