@@ -22,8 +22,9 @@ agreement of one-byte sketches of the signatures (six standard deviations below
 refusing a true pair below 1e-8), then verified exactly on the whole texts.
 
 Defined cases: null and empty texts have no words and are copies of each other; a null doc_id takes no
-part and has no row; repeated rows give one row per row; other columns are not looked at; an
-empty table gives no rows.
+part and has no row (deduplicate() keeps its row); repeated rows give one row per row; of a class the smallest id stays, of several rows with
+that id any one; very long texts are handled whole, a text being the smallest unit of work; an empty table gives no rows; other columns are
+not looked at and may have any name.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from streamlens.llm import text as tx
 from streamlens.llm.graph import components
-from streamlens.llm.store import materialize
+from streamlens.llm.store import free_name, materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -190,14 +191,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id, copy_of (smallest id with the same words) and class_id (smallest id of its near-duplicate class) of every row."""
+    """doc_id, copy_of (smallest id with the same words), class_id (smallest id of its near-duplicate class) and n_links of every row.
+
+    n_links: other texts, each counted once, to which the row's text was found to be linked. Inside a class pairs are not all compared, so
+    it can be below the number of texts at the similarity; it is 0 only where no text but copies is linked.
+    """
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id IS NOT NULL")
     signed = materialize(signatures(docs), "signatures")
     best = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "weight", "sketch", "bands")).alias("r"))
     reps = materialize(best.select("k1", "k2", "r.*"), "representatives")
     links, root = near_links(docs, reps, threshold)
-    root = reps.select("k1", "k2", F.col("doc_id").alias("copy_of")).join(root, F.col("copy_of") == F.col("node"), "left").select("k1", "k2", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
-    return signed.select("doc_id", "k1", "k2").join(root, ["k1", "k2"]).select("doc_id", "copy_of", "class_id")
+    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    linked = root.join(degree, "node")
+    found = reps.select("k1", "k2", F.col("doc_id").alias("copy_of")).join(linked, F.col("copy_of") == F.col("node"), "left")
+    found = found.select("k1", "k2", "copy_of", F.coalesce("root", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return signed.select("doc_id", "k1", "k2").join(found, ["k1", "k2"]).select("doc_id", "copy_of", "class_id", "n_links")
 
 
 def prefix_pairs(docs: DataFrame, open_: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -272,6 +280,7 @@ def near_links(docs: DataFrame, reps: DataFrame, threshold: float = SIMILARITY)
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """The rows of docs whose id is the smallest of their class, one row for each; rows with a null id stay."""
-    kept = classes(docs, id_column, text_column, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    stay = docs.where(F.col(id_column).isNotNull()).join(kept, F.col(id_column).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_column])
+    kept = free_name(docs.columns, "kept")
+    found = classes(docs, id_column, text_column, threshold).where("doc_id = class_id").select(F.col("doc_id").alias(kept)).distinct()
+    stay = docs.where(F.col(id_column).isNotNull()).join(found, F.col(id_column).cast("long") == F.col(kept), "left_semi").dropDuplicates([id_column])
     return stay.unionByName(docs.where(F.col(id_column).isNull()))

@@ -13,8 +13,9 @@ are (input partition << 32) + a number counted in it; they are the same whenever
 split in the same way.
 
 Defined cases: a null text is empty and has the single end id; a null doc_id is carried
-through; repeated rows are packed each for itself; an empty table gives no rows; other columns
-are not looked at.
+through; repeated rows are packed each for itself; a very long text fills whole sequences of its own first; documents of equal cost go
+in the order of the block, to the first of equally cheap sequences; an empty table gives no rows; other columns
+are not looked at and may have any name.
 """
 
 from __future__ import annotations
