@@ -1,25 +1,26 @@
 """Substring dedup: words covered by a window of WINDOW words that also starts earlier are taken out.
 
-Repeats of at least WINDOW words would be the internal nodes of that depth in the suffix tree of all
-texts. No tree is built: only the nodes of that one depth are found, in a number of groups fixed by the shuffle partitions:
+The repeats wanted are the internal nodes of depth WINDOW or more in the suffix tree of all texts. The tree is built in parts:
 
 1. Anchors. In every window the run of SEED words with the smallest hash is its anchor; equal windows have equal
    anchors in equal places. Neighbouring windows share anchors, so there are about seven times fewer of
-   them than windows. An anchor met only once in the corpus cannot lie in a repeat: its windows are leaves and go no further.
-2. Groups. The suffixes of the other windows travel in chunks: the windows of one anchor, with all their words. The
-   group is a hash of the anchor, SEED words anywhere in the window. An anchor met HEAVY times or more is given the whole
-   window instead: each of its windows is grouped by its own WINDOW words, so one phrase in very many documents
-   is spread over the groups. Equal chunks in a task count once; the later ones are repeats already.
-3. Ranks. A group ranks its suffixes by prefix doubling (1, 2, 4, 8, 16 words, then WINDOW): the classes
-   of equal rank are the nodes of that depth. In each node all suffixes but the first (smallest doc_id, then start) give
-   windows to take out; neighbouring ones leave as intervals.
+   them than windows. An anchor met only once in the corpus cannot lie in a repeat: its windows are leaves of the tree and go no further.
+2. Groups. The suffixes of the other windows travel in chunks: the windows of one anchor, with all their words. The prefix that
+   decides the group has one of two lengths: the anchor's SEED words, or, for an anchor met HEAVY times or more, all WINDOW words of
+   the window itself, which then travels alone. So a phrase in very many documents is spread over the groups by what surrounds it. The number of groups
+   follows the bytes of the texts (GROUP_BYTES a group). Equal chunks in a task count once; the later ones are repeats already. A task that
+   meets an anchor HEAVY times by itself says so to the anchor's group and does not send its places there.
+3. Subtrees. A group sorts the suffixes of its chunks by prefix doubling and finds the common prefixes of neighbours: the suffix array
+   with its LCP values is the subtree. Its topmost nodes of depth WINDOW or more are the repeats; in each, all suffixes but the first
+   (smallest doc_id, then start) give windows to take out; neighbouring ones leave as intervals.
 4. The intervals meet their documents once, where the words that they cover are taken out.
 
 What is compared are words by 64-bit hashes, rank by rank; no hash of a whole window decides.
 
 Defined cases: null and empty texts have no words and the digest of an empty text; texts below WINDOW words lose
-nothing; a null doc_id takes no part and keeps its words; rows repeated with their doc_id are one document and treated alike;
-other columns are not looked at.
+nothing; very long texts are handled whole, a text being the smallest unit of work; a null doc_id takes no part and keeps its words; rows
+repeated with their doc_id are one document and treated alike; of equal windows the first by doc_id, then start, stays; an empty table gives
+no rows; other columns are not looked at and may have any name.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ WINDOW = 20
 SEED = 8
 HEAVY = 4096
 #: Entries that a task gathers before it sends them.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
+#: Bytes of text a group stands for: its chunks, and its anchors' places, are a part of that.
+GROUP_BYTES = 64 << 20
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -81,7 +84,7 @@ def anchor_marks(docs: DataFrame, groups: int, window: int = WINDOW, seed: int =
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def packed() -> pa.RecordBatch:
+        def packed() -> Iterator[pa.RecordBatch]:
             key, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.argsort(key, kind="stable")
@@ -90,15 +93,20 @@ def anchor_marks(docs: DataFrame, groups: int, window: int = WINDOW, seed: int =
             new[1:] = key[1:] != key[:-1]
             begin = np.flatnonzero(new)
             count = np.diff(np.append(begin, len(key)))
+            key, often = key[begin], np.repeat(count >= heavy, count)
+            rows, none = [], _planes(np.zeros(0, np.int64))
+            for i in range(0, int(often.sum()), 1 << 16):  # places of heavy anchors, to groups of their own
+                d = doc[often][i : i + (1 << 16)]
+                rows.append((int(_group(tx.mix(d[:1].astype(np.uint64)), groups)[0]), none, none, none, _planes(d), _planes(at[often][i : i + (1 << 16)])))
+            doc, at = doc[~often], at[~often]
+            have = np.where(count >= heavy, 0, count)
             group = _group(key, groups)
-            cut = np.flatnonzero(np.diff(group)) + 1
-            bounds = np.concatenate([[0], cut, [len(key)]])
-            rows = []
-            first = np.searchsorted(begin, bounds)
-            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                k = slice(first[i], first[i + 1])
-                rows.append((int(group[a]), _planes(np.diff(key[begin[k]], prepend=np.uint64(0))), _planes(count[k].astype(np.int32)), _planes(doc[a:b]), _planes(at[a:b])))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], schema=pa.schema([("group", pa.int32()), ("key", pa.binary()), ("count", pa.binary()), ("doc", pa.binary()), ("at", pa.binary())]))
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(key)]])
+            ends = np.concatenate([[0], np.cumsum(have)])
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                k, own = slice(a, b), slice(ends[a], ends[b])
+                rows.append((int(group[a]), _planes(np.diff(key[k], prepend=np.uint64(0))), _planes(count[k].astype(np.int32)), _planes(have[k].astype(np.int32)), _planes(doc[own]), _planes(at[own])))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], schema=pa.schema([("group", pa.int32()), ("key", pa.binary()), ("count", pa.binary()), ("have", pa.binary()), ("doc", pa.binary()), ("at", pa.binary())]))
 
         size = 0
         for batch in batches:
@@ -112,53 +120,63 @@ def anchor_marks(docs: DataFrame, groups: int, window: int = WINDOW, seed: int =
                     held.append((seeds[anchor], ids[doc], (anchor - w.first[doc]).astype(np.int32)))
                     size += len(anchor)
                 if size >= FLUSH:
-                    yield packed()
+                    yield from packed()
                     size = 0
         if held:
-            yield packed()
+            yield from packed()
 
     def reduce(table: pa.Table) -> pa.Table:
-        key, count, doc, at = [], [], [], []
+        key, count, have, doc, at = [], [], [], [], []
+        sure_doc, sure_at = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for r in table.to_pylist():
-            key.append(np.cumsum(_unplanes(r["key"], np.uint64), dtype=np.uint64))
-            count.append(_unplanes(r["count"], np.int32))
-            doc.append(_unplanes(r["doc"], np.int64))
-            at.append(_unplanes(r["at"], np.int32))
-        key, count, doc, at = (np.concatenate(x) for x in (key, count, doc, at))
+            own = _unplanes(r["doc"], np.int64), _unplanes(r["at"], np.int32)
+            keys = np.cumsum(_unplanes(r["key"], np.uint64), dtype=np.uint64)
+            if not len(keys):
+                sure_doc.append(own[0]), sure_at.append(own[1])
+                continue
+            key.append(keys), doc.append(own[0]), at.append(own[1])
+            count.append(_unplanes(r["count"], np.int32)), have.append(_unplanes(r["have"], np.int32))
+        sure_doc, sure_at = np.concatenate(sure_doc), np.concatenate(sure_at)
+        if not key:
+            return pa.table({"doc_id": sure_doc, "at": sure_at, "heavy": np.ones(len(sure_doc), bool)})
+        key, count, have, doc, at = (np.concatenate(x) for x in (key, count, have, doc, at))
         _, inverse = np.unique(key, return_inverse=True)
         total = np.bincount(inverse, weights=count)[inverse]
-        every = np.repeat(total, count)
+        every = np.repeat(total, have)
         keep = every > 1
-        return pa.table({"doc_id": doc[keep], "at": at[keep], "heavy": every[keep] >= heavy})
+        return pa.table({"doc_id": np.concatenate([doc[keep], sure_doc]), "at": np.concatenate([at[keep], sure_at]), "heavy": np.concatenate([every[keep] >= heavy, np.ones(len(sure_doc), bool)])})
 
-    packed = docs.mapInArrow(emit, "group int, key binary, count binary, doc binary, at binary")
+    packed = docs.mapInArrow(emit, "group int, key binary, count binary, have binary, doc binary, at binary")
     return packed.groupBy("group").applyInArrow(reduce, "doc_id long, at int, heavy boolean")
 
 
-def _node_ranks(h: np.ndarray, last: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of each position's first depth values; last: the end of each position's chunk. -1 where the chunk is shorter."""
-    n = len(h)
-    rank = {1: np.unique(h, return_inverse=True)[1].reshape(-1).astype(np.int64)}
-    room = last - np.arange(n)
-
-    def join(a: int, b: int) -> np.ndarray:
-        """Ranks of depth a + b from those of a and of b."""
-        ok = np.flatnonzero(room >= a + b)
-        pair = rank[a][ok] * (n + 1) + rank[b][ok + a]
-        out = np.full(n, -1, np.int64)
-        out[ok] = np.unique(pair, return_inverse=True)[1].reshape(-1)
-        return out
-
-    have = 1
-    while 2 * have <= depth:
-        rank[2 * have] = join(have, have)
-        have *= 2
-    bits = [1 << b for b in range(depth.bit_length() - 1, -1, -1) if depth >> b & 1]
-    at = bits[0]
-    for b in bits[1:]:
-        rank[at + b] = join(at, b)
-        at += b
-    return rank[at]
+def subtree(h: np.ndarray, last: np.ndarray, suffixes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The topmost nodes of at least this depth in the suffix tree of the given suffixes.
+
+    h: values of all chunks, one after another; last: the end of each position's chunk; suffixes: positions, each running to its chunk's end.
+    Gives the suffixes in the order of the tree, the node of each (nodes are runs in that order; a run of one is a leaf), and the nodes' depths,
+    the lengths of the longest prefix that all suffixes of the node share.
+    """
+    n, longest = len(h), int((last - np.arange(len(h))).max(initial=0))
+    # rank[j]: order of the first 2**j values, cut off at the chunk's end; 0 is the end itself
+    rank = [np.unique(h, return_inverse=True)[1].reshape(-1).astype(np.int64) + 1]
+    place = np.arange(n)
+    while 1 << len(rank) - 1 < longest:
+        after = place + (1 << len(rank) - 1)
+        second = np.where(after < last, rank[-1][np.minimum(after, n - 1)], 0)
+        rank.append(np.unique(rank[-1] * (n + 2) + second, return_inverse=True)[1].reshape(-1).astype(np.int64) + 1)
+    order = suffixes[np.argsort(rank[-1][suffixes], kind="stable")]
+    x, y, common = order[:-1], order[1:], np.zeros(max(len(order) - 1, 0), np.int64)
+    for j in range(len(rank) - 1, -1, -1):
+        a, b = x + common, y + common
+        full = (a + (1 << j) <= last[x]) & (b + (1 << j) <= last[y])
+        common += np.where(full & (rank[j][np.minimum(a, n - 1)] == rank[j][np.minimum(b, n - 1)]), 1 << j, 0)
+    new = np.ones(len(order), bool)
+    new[1:] = common < depth
+    node = np.cumsum(new) - 1
+    depths = last[order[new]] - order[new]
+    np.minimum.at(depths, node[1:][~new[1:]], common[~new[1:]])
+    return order, node, depths
 
 
 def repeated_windows(marked: DataFrame, groups: int, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -245,10 +263,12 @@ def repeated_windows(marked: DataFrame, groups: int, window: int = WINDOW, seed:
                 columns[c].append(_unplanes(r[c], np.int64))
         size, windows, doc, start, gone_doc, gone_start, gone_n = (np.concatenate(columns[c]) for c in names[2:])
         w = tx.words_of(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(size)]))
-        rank = _node_ranks(w.hashes(), np.repeat(w.first[1:], w.counts), window)
         chunk = np.repeat(np.arange(len(size)), windows)
         shift = np.arange(len(chunk)) - np.repeat(np.cumsum(windows) - windows, windows)
-        node, d, s = rank[w.first[chunk] + shift], doc[chunk], start[chunk] + shift
+        position = w.first[chunk] + shift
+        tree, of, _ = subtree(w.hashes(), np.repeat(w.first[1:], w.counts), position, window)
+        node, d, s = np.empty(len(position), np.int64), doc[chunk], start[chunk] + shift
+        node[np.argsort(position, kind="stable")] = of[np.argsort(tree, kind="stable")]  # positions differ
         order = np.lexsort((s, d, node))
         new = np.ones(len(order), bool)
         new[1:] = node[order][1:] != node[order][:-1]
@@ -279,8 +299,9 @@ def joined(w: tx.Words, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _intervals(docs: DataFrame, window: int, seed: int, heavy: int) -> DataFrame:
     """doc_id and gone: an array of (start, n) of the windows to take out."""
-    groups = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     usable = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    size = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
     marks = anchor_marks(usable, groups, window, seed, heavy).groupBy("doc_id").agg(F.collect_list(F.struct("at", "heavy")).alias("marks"))
     marked = usable.join(marks, "doc_id").select("doc_id", "text", "marks")
     runs = materialize(repeated_windows(marked, groups, window, seed), "repeats")

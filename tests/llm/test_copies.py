@@ -168,6 +168,25 @@ def _repeat_rows(seed):
     return rows
 
 
+def test_subtree_nodes_are_the_repeats():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(3, 20, 60)
+    h = rng.integers(0, 2, sizes.sum()).astype(np.uint64)
+    last = np.repeat(np.cumsum(sizes), sizes)
+    suffixes = rng.permutation(np.flatnonzero(last - np.arange(len(h)) >= 5))
+    order, node, depths = repeats.subtree(h, last, suffixes, 5)
+    texts = [tuple(h[p : last[p]].tolist()) for p in order]
+    assert texts == sorted(texts) and sorted(order) == sorted(suffixes)
+    by = defaultdict(set)
+    for k, t in zip(node, texts, strict=True):
+        by[k].add(t)
+    starts = {k: {t[:5] for t in ts} for k, ts in by.items()}
+    assert all(len(x) == 1 for x in starts.values()) and len(starts) == len({t[:5] for t in texts})
+    for k, ts in by.items():
+        common = max(n for n in range(1, 21) if len({t[:n] for t in ts}) == 1 and min(map(len, ts)) >= n)
+        assert depths[k] == common
+
+
 @pytest.mark.parametrize("seed,heavy", [(1, 4096), (2, 3)])
 def test_repeats_match_brute_force(spark, seed, heavy):
     rows = [*_repeat_rows(seed), (500, None), (501, ""), (502, " \n")]
