@@ -1,19 +1,20 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of PASSAGE_WORDS words (every word of the text is in one). A
-passage is described by statistics of its words and by the shares of its word shapes; a small
-encoder maps it to a hidden vector, gated attention weighs the passages of a document, and
-the weighted sum is scored. Encoder, attention and score are learned together from document labels
+passage is encoded from what it says, the mean of learned vectors of its hashed words, word beginnings and word ends (BUCKETS vectors), and from
+how it is written, statistics of its words and the shares of their shapes, into a hidden vector; gated attention weighs the passages of a
+document, and the weighted sum is scored. Word vectors, encoder, attention and score are learned together from document labels
 (Adam on the cross-entropy), so what makes a document good or bad is located without passage
 labels.
 
-Training uses at most TRAIN_DOCUMENTS labelled documents, those first by a hash of their id; only
-these documents' passage vectors come to the driver. Scoring covers every document, block
-by block in the tasks that read it, without a shuffle.
+Training uses at most TRAIN_DOCUMENTS labelled documents, those first by a hash of their id, and of a longer one TRAIN_PASSAGES passages spread
+evenly over it; only these passages' encoder inputs come to the driver, so their size is bounded. Scoring covers every passage of every document,
+block by block in the tasks that read it, without a shuffle.
 
-Defined cases: a null or empty text is a bag of one empty passage; labels that are null are not
+Defined cases: a null or empty text is a bag of one empty passage; very long texts are scored whole; labels that are null are not
 used, and of several labels of a document the smallest counts; a null doc_id is scored and not
-held out; repeated rows are scored each for itself; without any usable label every score is 0.5.
+held out; repeated rows are scored each for itself; equal texts get equal scores; without any usable label every score is 0.5; an empty table
+gives no rows; other columns are carried by score() under any name.
 """
 
 from __future__ import annotations
@@ -33,8 +34,11 @@ SHAPES = 64
 STATISTICS = 12
 FEATURES = STATISTICS + SHAPES
 HIDDEN = 16
+#: Vectors that hashed words and word parts share, and how many of them a word has (itself, its beginning, its end).
+BUCKETS, PARTS, AFFIX = 1 << 12, 3, 3
 TRAIN_DOCUMENTS = 6000
-EPOCHS = 30
+TRAIN_PASSAGES = 64
+EPOCHS = 8
 THRESHOLD = 0.3
 
 
@@ -52,9 +56,43 @@ _SYMBOL = _table(set(range(0x21, 0x7F)) - set(b".,;:!?'\"()-") - {x for x in ran
 _WIDE = _table(range(0x80, 0x100))
 
 
-def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of all passages of a column of texts, and each document's first row."""
+@dataclass
+class Bags:
+    """Passages of documents: statistics (rows), each document's first row, and each row's bucket ids in one flat array."""
+
+    x: np.ndarray
+    first: np.ndarray
+    ids: np.ndarray
+    start: np.ndarray
+
+    def rows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """x, ids and start of the given rows."""
+        n = self.start[at + 1] - self.start[at]
+        to = np.cumsum(n)
+        flat = np.repeat(self.start[at] - (to - n), n) + np.arange(int(to[-1]) if len(to) else 0)
+        return self.x[at], self.ids[flat], np.concatenate([[0], to])
+
+
+def word_buckets(w: tx.Words) -> np.ndarray:
+    """words x PARTS: the buckets of each word, of its first AFFIX bytes and of its last."""
+    prefix = tx.rolling(w.data.astype(np.uint16) + 1)
+    spans = [(w.start, w.end), (w.start, np.minimum(w.start + AFFIX, w.end)), (np.maximum(w.end - AFFIX, w.start), w.end)]
+    return np.stack([tx.mix(tx.substring_hash(prefix, a, b) + np.uint64(k)) % np.uint64(BUCKETS) for k, (a, b) in enumerate(spans)], axis=1).astype(np.uint16)
+
+
+def bags(column: pa.Array) -> Bags:
+    """The bags of a column of texts."""
     w = tx.words(column)
+    x, first = passages(w)
+    n = np.zeros(len(x), np.int64)
+    for k in range(len(first) - 1):
+        rows, words = first[k + 1] - first[k], int(w.counts[k])
+        n[first[k] : first[k + 1]] = np.minimum(PASSAGE_WORDS, words - PASSAGE_WORDS * np.arange(rows))
+    return Bags(x, first, word_buckets(w).reshape(-1), np.concatenate([[0], np.cumsum(np.maximum(n, 0) * PARTS)]))
+
+
+def passages(w: tx.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics of all passages, and each document's first row."""
     counts = w.counts
     n_passages = np.maximum(1, -(-counts // PASSAGE_WORDS))
     first = np.concatenate([[0], np.cumsum(n_passages)])
@@ -107,15 +145,24 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Parameters of encoder, gated attention and score; mean and scale standardise the features."""
+    """Parameters of encoder, gated attention and score; mean and scale standardise the statistics."""
 
     mean: np.ndarray
     scale: np.ndarray
     p: dict[str, np.ndarray]
 
-    def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+    def said(self, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The mean vector of each passage's words and word parts; zeros for a passage without words."""
+        n = np.diff(start)
+        out = np.zeros((len(n), HIDDEN), self.p["e"].dtype)
+        some = np.flatnonzero(n)
+        if len(some):
+            out[some] = np.add.reduceat(self.p["e"][ids], start[some], axis=0) / n[some][:, None]
+        return out
+
+    def forward(self, x: np.ndarray, first: np.ndarray, ids: np.ndarray, start: np.ndarray) -> dict[str, np.ndarray]:
         p, x = self.p, (x - self.mean) / self.scale
-        h = np.tanh(x @ p["w"] + p["b"])
+        h = np.tanh(x @ p["w"] + self.said(ids, start) + p["b"])
         t, g = np.tanh(h @ p["v"]), 1 / (1 + np.exp(-(h @ p["u"])))
         a = (t * g) @ p["a"]
         bag = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -125,8 +172,8 @@ class Model:
         score = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))
         return {"x": x, "h": h, "t": t, "g": g, "bag": bag, "weight": weight, "z": z, "score": score}
 
-    def gradients(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, f = self.p, self.forward(x, first)
+    def gradients(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, ids: np.ndarray, start: np.ndarray) -> dict[str, np.ndarray]:
+        p, f = self.p, self.forward(x, first, ids, start)
         ds = (f["score"] - y) / len(y)
         dz = ds[:, None] * p["c"]
         bag, weight, h = f["bag"], f["weight"], f["h"]
@@ -138,25 +185,29 @@ class Model:
         dg = da[:, None] * p["a"] * f["t"] * f["g"] * (1 - f["g"])
         dh += dt @ p["v"].T + dg @ p["u"].T
         dpre = dh * (1 - h**2)
-        return {"w": f["x"].T @ dpre, "b": dpre.sum(0), "v": h.T @ dt, "u": h.T @ dg, "a": tg.T @ da, "c": f["z"].T @ ds, "d": np.array([ds.sum()])}
+        n = np.diff(start)
+        row = np.repeat(np.arange(len(n)), n)
+        counts = np.bincount(row * BUCKETS + ids, minlength=len(n) * BUCKETS).astype(np.float32).reshape(-1, BUCKETS)
+        de = counts.T @ (dpre / np.maximum(n, 1)[:, None]).astype(np.float32)
+        return {"w": f["x"].T @ dpre, "b": dpre.sum(0), "v": h.T @ dt, "u": h.T @ dg, "a": tg.T @ da, "c": f["z"].T @ ds, "d": np.array([ds.sum()]), "e": de}
 
 
-def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 0, batch: int = 128, rate: float = 0.01, decay: float = 1e-4) -> Model:
+def fit(data: Bags, y: np.ndarray, epochs: int = EPOCHS, seed: int = 0, batch: int = 128, rate: float = 0.01, decay: float = 1e-4) -> Model:
     rng = np.random.default_rng(seed)
     normal = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
-    p = {"w": normal(FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "v": normal(HIDDEN, HIDDEN), "u": normal(HIDDEN, HIDDEN), "a": normal(HIDDEN), "c": normal(HIDDEN), "d": np.zeros(1)}
-    model = Model(x.mean(0), x.std(0) + 0.05, p)
+    p = {"w": normal(FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "v": normal(HIDDEN, HIDDEN), "u": normal(HIDDEN, HIDDEN), "a": normal(HIDDEN), "c": normal(HIDDEN), "d": np.zeros(1), "e": rng.normal(0, 0.1, (BUCKETS, HIDDEN)).astype(np.float32)}
+    model = Model(data.x.mean(0), data.x.std(0) + 0.05, p)
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
-    sizes = np.diff(first)
+    first, sizes = data.first, np.diff(data.first)
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), batch):
             docs = order[at : at + batch]
             begin = np.concatenate([[0], np.cumsum(sizes[docs])])
-            rows = np.repeat(first[docs] - begin[:-1], sizes[docs]) + np.arange(begin[-1])
+            x, ids, start = data.rows(np.repeat(first[docs] - begin[:-1], sizes[docs]) + np.arange(begin[-1]))
             step += 1
             lr = rate * (1 - epoch / epochs)
-            for k, g in model.gradients(x[rows], begin, y[docs]).items():
+            for k, g in model.gradients(x, begin, y[docs], ids, start).items():
                 g = g + decay * p[k]
                 m[k] += 0.1 * (g - m[k])
                 v[k] += 0.001 * (g * g - v[k])
@@ -178,16 +229,23 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS, targ
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in tx.blocks(b, "text"):
-                x, first = passages(part.column("text"))
-                blobs = [x[a:z].tobytes() for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(blobs, pa.binary())], names=["doc_id", "y", "x"])
-
-    got = sorted(rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y double, x binary").collect())
+                data = bags(part.column("text"))
+                out = []
+                for a, z in zip(data.first[:-1].tolist(), data.first[1:].tolist(), strict=True):
+                    chosen = a + np.arange(z - a) if z - a <= TRAIN_PASSAGES else a + np.arange(TRAIN_PASSAGES) * (z - a) // TRAIN_PASSAGES
+                    x, ids, start = data.rows(chosen)
+                    out.append((x.tobytes(), ids.tobytes(), np.diff(start).astype(np.uint8).tobytes()))
+                blobs = [pa.array(c, pa.binary()) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *blobs], names=["doc_id", "y", "x", "ids", "n"])
+
+    got = sorted(rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y double, x binary, ids binary, n binary").collect())
     if len({r["y"] for r in got}) < 2:
         return None
-    bags = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in got]
-    first = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
-    return fit(np.concatenate(bags), first, np.array([r["y"] for r in got]))
+    x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, FEATURES)
+    ids = np.frombuffer(b"".join(r["ids"] for r in got), np.uint16)
+    n = np.frombuffer(b"".join(r["n"] for r in got), np.uint8).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum([len(r["n"]) for r in got])])
+    return fit(Bags(x, first, ids, np.concatenate([[0], np.cumsum(n)])), np.array([r["y"] for r in got]))
 
 
 def score(docs: DataFrame, model: Model | None, name: str = "quality_score") -> DataFrame:
@@ -203,7 +261,8 @@ def score(docs: DataFrame, model: Model | None, name: str = "quality_score") ->
                 if model is None:
                     found = np.full(part.num_rows, 0.5)
                 else:
-                    found = model.forward(*passages(part.column(at)))["score"]
+                    data = bags(part.column(at))
+                    found = model.forward(data.x, data.first, data.ids, data.start)["score"]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, "score"])
 
     return temporary.mapInArrow(run, schema).toDF(*names, name)
