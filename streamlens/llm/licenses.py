@@ -13,22 +13,24 @@ A candidate is verified on the window widened by half a block on both sides: the
 template's distinct shingles that occur there must be at least CONTAINMENT. Overlapping
 matches of one template are one row, that with the highest share.
 
-Templates are a parameter of bounded size, sent with the code. Texts are read and matched in place:
-no shuffle.
+Templates are a parameter of bounded size, sent with the code: by default short notices and the whole texts in the folder license_texts;
+read_templates() takes more from a folder of one text file a license. Texts are read and matched in place: no shuffle.
 
-Defined cases: null, empty and very short texts have no match; repeated rows are matched each for
-itself; a null doc_id is carried; templates of fewer words than a shingle are refused.
+Defined cases: null, empty and very short texts have no match; very long texts are matched whole; repeated rows are matched each for
+itself; a null doc_id is carried; a place that matches several templates has a row for each; an empty table gives no rows; other columns are
+not looked at and may have any name; templates of fewer words than a shingle are refused.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from importlib import resources
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamlens.llm import text as tx
@@ -61,6 +63,25 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("Unlicense", "grant", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: The largest folder of templates that read_templates() takes, in bytes: templates go to every task with the code.
+MAX_TEMPLATE_BYTES = 16 << 20
+
+
+def license_texts() -> list[tuple[str, str, str]]:
+    """The whole license texts that come with the package (fixed values): one file a license, named by its SPDX identifier."""
+    folder = resources.files("streamlens.llm").joinpath("license_texts")
+    return [(f.name.removesuffix(".txt"), "text", f.read_text("utf-8")) for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")]
+
+
+def read_templates(spark: SparkSession, folder: str) -> list[tuple[str, str, str]]:
+    """Templates from a folder of text files in any store that Spark reads; a file's name is the license's."""
+    files = spark.read.format("binaryFile").load(folder)
+    size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    if size > MAX_TEMPLATE_BYTES:
+        raise ValueError(f"{size} bytes of templates in {folder}, more than {MAX_TEMPLATE_BYTES}")
+    return sorted((r.path.rsplit("/", 1)[-1].removesuffix(".txt"), "text", bytes(r.content).decode("utf-8", "replace")) for r in files.select("path", "content").collect())
+
+
 #: Bytes of letters and digits; all others separate. Letters outside ASCII count by their bytes.
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -82,7 +103,7 @@ class Scanner:
     """Templates by scale, with their shingles and their MinHashes."""
 
     def __init__(self, templates=None, bands: int = BANDS, containment: float = CONTAINMENT) -> None:
-        self.templates = list(TEMPLATES if templates is None else templates)
+        self.templates = list(TEMPLATES + license_texts() if templates is None else templates)
         self.containment = containment
         self.salts = tx.mix(np.arange(1, bands + 1, dtype=np.uint64)) | np.uint64(1)
         self.sets: list[np.ndarray] = []
@@ -157,6 +178,7 @@ class Scanner:
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", templates=None, bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
     """One row per match: doc_id, license, template, first_word, end_word (of the text's normalised words), containment."""
     schema = "doc_id long, license string, template string, first_word long, end_word long, containment double"
+    templates = TEMPLATES + license_texts() if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, bands, containment)
@@ -178,7 +200,7 @@ def brute_force(text: str | None, templates=None, containment: float = CONTAINME
     words = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
     found = set()
-    for license_, name, body in templates or TEMPLATES:
+    for license_, name, body in TEMPLATES if templates is None else templates:
         own = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), body))
         shape = {tuple(own[i : i + SHINGLE]) for i in range(len(own) - SHINGLE + 1)}
         for i in range(len(grams)):
