@@ -9,8 +9,9 @@ corrects the declared type; items elsewhere are carved as embedded media.
 Everything is done value by value in the tasks that read the rows: no shuffle.
 
 Defined cases: a null or empty value has no item and keeps its declared type; a null declared
-type is corrected like a wrong one; truncated or damaged media are not items; repeated
-rows are handled each for itself.
+type is corrected like a wrong one; truncated or damaged media are not items; of formats that match at one
+offset the first of FORMATS that its validator confirms is taken; very long values are handled whole; repeated
+rows are handled each for itself; an empty table gives no rows; columns that are not carried are not looked at and may have any name.
 """
 
 from __future__ import annotations

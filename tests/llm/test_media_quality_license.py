@@ -118,14 +118,21 @@ def test_quality_without_labels_or_rows(spark):
     assert quality.score_documents(spark.createDataFrame([], "doc_id long, text string"), none).count() == 0
 
 
+def _bags(rng):
+    n = np.array([3, 0, 6, 3, 9, 3, 0, 6, 12])
+    return quality.Bags(rng.normal(size=(9, quality.FEATURES)), np.array([0, 2, 3, 9]), rng.integers(0, 40, n.sum()).astype(np.uint16), np.concatenate([[0], np.cumsum(n)]))
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
-    x, first, y = rng.normal(size=(9, quality.FEATURES)), np.array([0, 2, 3, 9]), np.array([1.0, 0.0, 1.0])
-    m = quality.fit(x, first, y, epochs=1)
-    loss = lambda: -np.mean(y * np.log(m.forward(x, first)["score"]) + (1 - y) * np.log(1 - m.forward(x, first)["score"]))
-    g = m.gradients(x, first, y)
+    d, y = _bags(rng), np.array([1.0, 0.0, 1.0])
+    m = quality.fit(d, y, epochs=1)
+    m.p["e"] = m.p["e"].astype(float)  # for the differences below
+    args = d.x, d.first, d.ids, d.start
+    loss = lambda: -np.mean(y * np.log(m.forward(*args)["score"]) + (1 - y) * np.log(1 - m.forward(*args)["score"]))
+    g = m.gradients(d.x, d.first, y, d.ids, d.start)
     for k, p in m.p.items():
-        i = tuple(rng.integers(0, s) for s in p.shape)
+        i = (int(d.ids[0]), 3) if k == "e" else tuple(rng.integers(0, s) for s in p.shape)
         p[i] += 1e-5
         up = loss()
         p[i] -= 2e-5
@@ -134,6 +141,27 @@ def test_attention_gradients():
         assert abs((up - down) / 2e-5 - g[k][i]) < 1e-6
 
 
+def test_scores_match_a_plain_forward_pass():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["Some", "words", "é", "x1", "THE", "ende."]) for _ in range(n)) for n in (0, 1, 47, 48, 49, 300)] + [None, "  "]
+    column = pa.array(texts)
+    d = quality.bags(column)
+    m = quality.fit(d, np.array([1.0, 0, 1, 0, 1, 0, 1, 0]), epochs=2)
+    got = m.forward(d.x, d.first, d.ids, d.start)["score"]
+    p, sig = {k: v.astype(float) for k, v in m.p.items()}, lambda v: 1 / (1 + np.exp(-v))
+    for i, t in enumerate(texts):
+        words = [w for w in (t or "").split(" ") if w]
+        rows = [words[a : a + 48] for a in range(0, max(1, len(words)), 48)]
+        hidden = []
+        for k, own in enumerate(rows):
+            flat = [int(x) for w in own for x in quality.word_buckets(tx.words(pa.array([w])))[0]]
+            mean = sum((p["e"][x] for x in flat), np.zeros(quality.HIDDEN)) / max(1, len(flat))
+            hidden.append(np.tanh((d.x[d.first[i] + k] - m.mean) / m.scale @ p["w"] + mean + p["b"]))
+        gate = np.array([(np.tanh(h @ p["v"]) * sig(h @ p["u"])) @ p["a"] for h in hidden])
+        share = np.exp(gate) / np.exp(gate).sum()
+        assert len(rows) == d.first[i + 1] - d.first[i] and abs(sig(sum(s * h for s, h in zip(share, hidden, strict=True)) @ p["c"] + p["d"][0]) - got[i]) < 1e-5
+
+
 def test_licenses_match_brute_force():
     rng = random.Random(5)
     filler = lambda: _prose(rng, rng.randint(0, 90))
@@ -142,7 +170,7 @@ def test_licenses_match_brute_force():
     damaged = licenses.TEMPLATES[2][2].split()
     del damaged[30]
     texts.append(filler() + " " + " ".join(damaged) + " " + filler())
-    scanner, got = licenses.Scanner(), {}
+    scanner, got = licenses.Scanner(licenses.TEMPLATES), {}
     for d, t, *_ in scanner.scan(*tx.buffers(pa.array(texts))):
         got.setdefault(d, set()).add(scanner.templates[t][:2])
     assert got == {i: f for i, f in enumerate(map(licenses.brute_force, texts)) if f}
@@ -154,3 +182,38 @@ def test_license_scan_rows(spark):
     got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.license, r.first_word, r.end_word, r.containment) for r in got) == [("1", "Apache-2.0", 1, 9, 1.0), ("1", "Apache-2.0", 1, 9, 1.0), ("None", "MIT", 0, 5, 1.0)]
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_whole_licenses_are_found_where_they_stand(spark, tmp_path):
+    rng = random.Random(8)
+    every = licenses.license_texts()
+    assert {x for x, _, _ in every} >= {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "MPL-2.0", "GPL-2.0"}
+    rows, want = [], {}
+    for i, (name, _, body) in enumerate(every):
+        before, words = rng.randint(0, 400), len(licenses.re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", body))
+        rows.append((i, " ".join(["vor"] * before) + "\n" + body.replace(" ", "\n\t") + "\nnach" * rng.randint(0, 200)))
+        want[i] = (name, before, before + words)
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).where("template = 'text' AND containment = 1").collect()
+    for i, x in want.items():
+        assert x in [(r.license, r.first_word, r.end_word) for r in got if r.doc_id == i]
+    assert {r.license for r in got if r.doc_id == [n for n, _, _ in every].index("BSD-3-Clause")} >= {"BSD-3-Clause"}
+    assert {(x, y) for x, y in licenses.brute_force(rows[0][1], every)} == {(r.license, r.template) for r in licenses.scan_licenses(spark.createDataFrame(rows[:1], "doc_id long, text string"), templates=every).collect()}
+    (tmp_path / "Own-1.0.txt").write_text("these are the terms of a license of our own making")
+    assert licenses.read_templates(spark, str(tmp_path)) == [("Own-1.0", "text", "these are the terms of a license of our own making")]
+
+
+def test_long_texts_ties_and_clashing_columns(spark):
+    """One very long text, empty ones, a null id and repeated rows, beside columns named as the results are."""
+    long = "Released under the MIT License. " + "lorem ipsum dolor, " * 60_000
+    rows = [(1, long), (2, ""), (3, None), (None, "x y"), (1, long)]
+    df = spark.createDataFrame([(*r, 7, "p") for r in rows], "doc_id long, text string, score int, license string")
+    none = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert sorted(str(r.doc_id) for r in quality.score_documents(df, none).collect()) == ["1", "1", "2", "3", "None"]
+    assert [(r.doc_id, r.first_word) for r in licenses.scan_licenses(df).where("template = 'released'").collect()] == [(1, 0), (1, 0)]
+    got = media.document_media(df.withColumn("feature", df.score)).collect()
+    assert sorted(r.n_bytes for r in got) == sorted(len((t or "").encode()) for _, t in rows)
+    for r in got:
+        payload = np.frombuffer((dict(rows)[r.doc_id] or "").encode().ljust(r.payload_bytes, b"\0"), np.uint8)
+        counts = np.bincount(payload, minlength=256)
+        share = counts[counts > 0] / len(payload)
+        assert r.feature == f"{r.media_type};n={len(payload)};mean={payload.mean():.4f};entropy={abs(-(share * np.log2(share)).sum()):.4f};bands={','.join(str(x) for x in counts.reshape(16, 16).sum(1))}"

@@ -74,6 +74,34 @@ def test_shards_read_back(spark, tmp_path):
     assert {d for r in got for d in r.doc_ids} == {*range(200), 500, None}
 
 
+def test_shards_keep_slot_order_when_the_writer_spills(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i} " * (i % 40)) for i in range(3000)], "doc_id long, text string").repartition(3)
+    conf, name = spark._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        conf.set(name, "50")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = sequences.materialise_order(docs, str(tmp_path / "out"), length=64, per_shard=100).collect()
+    finally:
+        conf.remove(name)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    back = {(r.shard, r.record): bytes(r.value) for r in sequences.read_slots(spark, str(tmp_path / "out"), 64).collect()}
+    assert len(got) == len(back) > 500
+    assert all(zlib.crc32(np.frombuffer(back[r.shard, r.record], "<u2")[: r.n_tokens].astype("<u4").tobytes()) == r.ids_crc32 for r in got)
+
+
+def test_sequence_ids_are_those_of_whole_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.vocabulary_path())
+    rows = [(i, x, "k", 1) for i, x in enumerate(["İ! İ- İ_ x İ|", "A b. C'd é—f", "", None, "İ" * 5000, "long " * 30_000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot string, ids int").coalesce(1)
+    got = sequences.materialise_order(df, str(tmp_path / "out"), length=128, per_shard=64).collect()
+    back = {(r.shard, r.record): np.frombuffer(bytes(r.value), "<u2") for r in sequences.read_slots(spark, str(tmp_path / "out"), 128).collect()}
+    flat = np.concatenate([back[r.shard, r.record][: r.n_tokens] for r in sorted(got, key=lambda r: r.ordinal)])
+    assert flat.tolist() == [x for _, text, _, _ in rows for x in t.encode(text or "", add_special_tokens=False).ids + [1]]
+
+
 def test_shards_of_an_empty_table(spark, tmp_path):
     assert sequences.materialise_order(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "none")).count() == 0
 
@@ -118,6 +146,28 @@ def test_mix_is_repeatable_and_handles_an_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_empty_documents_of_a_capped_source_come_twice_at_most(spark):
+    rows = [(i, "" if i < 40 else "w " * 5, None if i % 2 else "a", 0) for i in range(60)] + [(1000 + i, "w " * 50, "b", 0) for i in range(80)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(docs).select("source", "mix_size", "mix_source_size", "mix_target", F.size("mix_shards").alias("n")).collect()
+    assert {r.source for r in got if r.mix_target == 2 * r.mix_source_size} >= {"a"} and max(r.n for r in got) <= 2
+
+
+def test_mixed_rows_are_in_shard_order_and_carry_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "a b c " * (1 + i % 7), f"s{i % 4}", 0, i, "k", 1) for i in range(300)], DOCS + ", mix_shard int, mix_order string, key int")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_shards", "mix_order_"]
+    place = {(r.doc_id, s): (s, r.mix_order_) for r in mixed.collect() for s in r.mix_shards}
+    rows = mixing.mixed_rows(docs, 5)
+    assert rows.columns == docs.columns
+    got = rows.collect()
+    assert len(got) == sum(len(r.mix_shards) for r in mixed.collect()) and all(r.mix_shard == r.doc_id and r.mix_order == "k" for r in got)
+    left, at = sorted(place.values()), 0
+    for r in got:  # each row stands where its shard and order put it
+        assert (r.doc_id, left[at][0]) in place and place[r.doc_id, left[at][0]][1] == left[at][1]
+        at += 1
+
+
 def test_splitting_tree_keeps_quotas(spark):
     q = spark.createDataFrame([([100, 0, 37, 512],)], "quotas array<long>")
     leaves = mixing.split_quotas(q, 8).collect()

@@ -98,6 +98,39 @@ def test_pipeline_stages(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == len(kept["packing"])
 
 
+def test_stages_with_clashing_columns_and_without_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rows, labels = _documents(5)
+    names = ["quality_score", "__doc", "__gone", "__kept", "kept", "gone", "mix_order", "mix_shard", "mix_size", "__key", "score", "c0"]
+    wide = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    few = [(*r, *range(len(names))) for r in rows[:60] + rows[-2:]]
+    few += [(800, "one very long line " * 20_000, "en", "s1", None, *range(len(names)))] + few[:3] + [(None, "no id", "en", None, 5, *range(len(names)))]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (spark.createDataFrame(few, wide), spark.createDataFrame([], wide)):
+        columns, n = docs.columns, docs.count()
+        for k, (_, stage) in enumerate(cp.STAGES):
+            out = str(tmp_path / f"clash{n}-{k}")
+            stage(spark, docs, str(tmp_path)).write.parquet(out)
+            docs = spark.read.parquet(out)
+            if k < 4:
+                assert docs.columns == columns and all([r[x] for x in names] == list(range(len(names))) for r in docs.collect())
+        assert (docs.count() > 0) == (n > 0)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from streamlens.llm import store
+
+    unset = N(get=lambda *_: None, set=lambda *_: None)
+    there = lambda master: N(conf=unset, sparkContext=N(master=master, getConf=lambda: unset))
+    for master in ("local-cluster[3,2,1000]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            store.shared_dir(there(master))
+    assert store.shared_dir(there("local[4]")).startswith("file://")
+
+
 def test_entry_survives_removal(monkeypatch):
     import __spark_entry__ as entry
 
