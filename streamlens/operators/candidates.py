@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from streamlens.functions.scoring import clip
 from streamlens.functions.structures import keep_only, labels
+from streamlens.operators import editorial
+from streamlens.operators.editorial import EVENTS, LOBBY, Evidence
 
 
 @dataclass(frozen=True)
@@ -38,25 +40,40 @@ class Tuning:
     min_modalities: int = 2
     agreement_cap: int = 4
     max_dead_air: float = 0.65
+    event_max_dead_air: float = 0.50
     lobby_max_duration: float = 15.0
     event_min_mean: float = 0.55
     pad_exempt_crowd: int = 2
-    rescue_hook: float = 0.45
-    rescue_payoff: float = 0.60
-    rescue_self_contained: float = 0.50
 
 
-EVENTS = ["elimination", "knock", "rank_progress", "terminal_win"]
-LOBBY = ["lobby", "intermission"]
-#: Reasons that stay whatever else speaks for a candidate.
-STRUCTURAL = ["housekeeping", "terminal_non_content", "routine_non_gameplay", "routine_non_gameplay_ocr", "incomplete_beat", "visual_filler", "non_event_chatter", "unpublishable_beat"]
-RESCUED = ["housekeeping", "terminal_non_content", "incomplete_beat", "visual_filler", "non_event_chatter", "unpublishable_beat"]
+#: The gates in their order (fixed values): those marked structural stay whatever else speaks for a candidate, those marked kept outlast a rescue.
+GATES: dict[str, tuple[bool, bool]] = {
+    "housekeeping": (True, True),
+    "terminal_non_content": (True, True),
+    "routine_non_gameplay": (True, False),
+    "routine_non_gameplay_ocr": (True, False),
+    "peak_floor": (False, False),
+    "score_floor": (False, False),
+    "modality_gate": (False, False),
+    "dead_air": (False, False),
+    "lobby_length": (False, False),
+    "floor_padded": (False, False),
+    "incomplete_beat": (True, True),
+    "visual_filler": (True, True),
+    "routine_event": (False, False),
+    "non_event_chatter": (True, True),
+    "unpublishable_beat": (True, True),
+    "semantic_reject": (False, False),
+    "visual_skip": (False, False),
+}
+STRUCTURAL = [name for name, (structural, _) in GATES.items() if structural]
+RESCUED = [name for name, (_, kept) in GATES.items() if kept]
 
 #: Optional columns and their values when missing.
 DEFAULTS: dict[str, tuple[str, object]] = {
     "peak_value": ("double", 0.0), "reaction_auc": ("double", 0.0), "event_density": ("double", 1.0), "game_evidence": ("double", 0.0), "dead_air_ratio": ("double", 1.0),
     "game_label": ("string", None), "scene_label": ("string", None), "floor_padded": ("boolean", False), "crowd_clip": ("int", 0), "startle": ("double", 0.0), "visible_crowd": ("double", 0.0),
-    "signal_agreement": ("double", 0.0), "modality_count": ("int", 0), "active_channels": ("int", 1), "text_verdict": ("string", None), "text_type": ("string", None), "visual_verdict": ("string", None),
+    "signal_agreement": ("double", 0.0), "modality_count": ("int", 0), "active_channels": ("int", 1), "text_verdict": ("string", None), "text_type": ("string", None), "verdict": ("string", None),
     "hook": ("double", 0.0), "payoff": ("double", 0.0), "self_contained": ("double", 0.0), "anchor": ("double", None), "housekeeping": ("boolean", False), "terminal": ("boolean", False),
 }
 
@@ -110,29 +127,37 @@ def agrees(is_event: Column, t: Tuning = Tuning()) -> Column:
     return F.when(is_event, count >= F.greatest(F.lit(1), need(t.event_min_agreement))).otherwise(count >= F.greatest(F.least(F.lit(t.min_modalities), active), need(t.min_agreement)))
 
 
-def with_gates(df: DataFrame, bar: Column | float = 0.0, t: Tuning = Tuning()) -> DataFrame:
-    """reasons: the gates that a scored candidate fails; a grounded text verdict leaves only structural ones."""
-    is_event = F.coalesce(F.col("game_label").isin(EVENTS), F.lit(False))
-    strong = is_event & (F.col("game_evidence") >= 0.5)
+def with_gates(df: DataFrame, bar: Column | float = 0.0, t: Tuning = Tuning(), e: Evidence = Evidence()) -> DataFrame:
+    """reasons: the gates that a scored candidate fails, in the order of GATES; strong evidence for it leaves only those that outlast a rescue."""
+    df = editorial.with_evidence(df, e)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    strong = F.col("is_event") & (F.col("game_evidence") >= 0.5) & (F.col("dead_air_ratio") <= t.event_max_dead_air)
     bar = F.lit(bar) if not isinstance(bar, Column) else bar
-    rejected = (F.col("text_verdict") == "skip") & ((F.col("text_type") == "filler") | (F.col("visual_verdict") == "skip"))
-    rejected = F.coalesce(rejected, F.lit(False))
-    failed = labels(
-        (F.col("housekeeping"), "housekeeping"),
-        (F.col("terminal"), "terminal_non_content"),
-        (F.col("peak_value") < F.greatest(bar, F.lit(t.min_peak)), "peak_floor"),
-        (F.col("signal_score") < t.min_score, "score_floor"),
-        (~agrees(strong, t), "modality_gate"),
-        (F.col("dead_air_ratio") > t.max_dead_air, "dead_air"),
-        (F.col("scene_label").isin(LOBBY) & (F.col("duration") > t.lobby_max_duration), "lobby_length"),
-        (F.col("floor_padded") & ~strong & (F.col("crowd_clip") < t.pad_exempt_crowd), "floor_padded"),
-        (is_event & (F.col("mean_intensity") < t.event_min_mean), "routine_event"),
-        (rejected, "semantic_reject"),
-        (F.col("visual_verdict") == "skip", "visual_skip"),
-    )
-    rescue = (F.col("text_verdict") == "post") & (F.col("text_type") != "filler") & (F.col("hook") >= t.rescue_hook) & (F.col("payoff") >= t.rescue_payoff) & (F.col("self_contained") >= t.rescue_self_contained)
-    rescued = F.coalesce(rescue, F.lit(False)) & ~rejected & ~F.coalesce(F.col("visual_verdict") == "skip", F.lit(False))
-    return df.withColumn("reasons", F.when(rescued, keep_only(failed, RESCUED)).otherwise(failed))
+    override = F.col("crowd_anchor") | (text("verdict").isin("post", "maybe") & F.col("grounded"))
+    rejected = (text("text_verdict") == "skip") & ((text("text_type") == "filler") | (text("verdict") == "skip")) & ~override
+    skipped = (text("verdict") == "skip") & ~F.coalesce("speech_unheard", F.lit(False)) & ~F.col("gate_bypass") & ~F.col("skip_conflict")
+    fails = {
+        "housekeeping": F.col("housekeeping"),
+        "terminal_non_content": F.col("terminal") & ~F.col("real_beat"),
+        "routine_non_gameplay": F.col("waiting_agreed"),
+        "routine_non_gameplay_ocr": F.col("waiting_ocr") & ~F.col("waiting_agreed"),
+        "peak_floor": F.col("peak_value") < F.greatest(bar, F.lit(t.min_peak)),
+        "score_floor": F.col("signal_score") < t.min_score,
+        "modality_gate": ~agrees(strong, t),
+        "dead_air": F.col("dead_air_ratio") > t.max_dead_air,
+        "lobby_length": F.col("scene_label").isin(LOBBY) & (F.col("duration") > t.lobby_max_duration) & ~F.col("lobby_reaction"),
+        "floor_padded": F.col("floor_padded") & ~strong & (F.col("crowd_clip") < t.pad_exempt_crowd),
+        "incomplete_beat": F.col("incomplete"),
+        "visual_filler": F.col("generic_filler"),
+        "routine_event": F.col("is_event") & (F.col("mean_intensity") < t.event_min_mean),
+        "non_event_chatter": F.col("chat_only") & ((text("text_verdict") == "skip") | (text("text_type") == "filler") | ~F.col("grounded")),
+        "unpublishable_beat": F.col("text_verdict").isNotNull() & (text("verdict") != "") & ~F.col("publishable"),
+        "semantic_reject": rejected,
+        "visual_skip": skipped,
+    }
+    failed = labels(*[(fails[name], name) for name in GATES])
+    rescued = ~skipped & ~rejected & (F.col("text_rescue") | F.col("crowd_anchor") | F.col("gate_bypass"))
+    return df.withColumn("all_reasons", failed).withColumn("reasons", F.when(rescued, keep_only(F.col("all_reasons"), RESCUED)).otherwise(F.col("all_reasons"))).drop("all_reasons")
 
 
 def creator_reasons(reasons: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Library search: facets, postings, BM25, boolean and phrase matching, vectors, rank fusion."""
+"""Library search: facets, postings, BM25, boolean and phrase matching, vectors, rank fusion, bridges, copies, feedback."""
 
 from __future__ import annotations
 
@@ -107,6 +107,61 @@ def fuse(lanes: list[DataFrame], weights: dict[str, float], k: int = RRF_K) -> D
     return every.groupBy("id").agg(F.sum(w[F.col("lane")] / (k + F.col("rank"))).alias("score"), F.array_join(F.array_sort(F.collect_set("lane")), ",").alias("lanes"))
 
 
+#: What the field that explains a match adds to a score, and the reviewer's decision about a clip.
+MATCH_BONUS = {"creator_marker": 0.0100, "creator_speech": 0.0080, "clip_details": 0.0060, "gameplay_event": 0.0050, "chat_activity": 0.0030, "visual_description": 0.0020, "on_screen_text": -0.0015, "related_meaning": 0.0}
+DECISION_BONUS = {"kept": 0.0060, "maybe": 0.0015, "passed": -0.0030}
+
+
+def ranking_bonus(source: Column, prefer_clips: bool = False) -> Column:
+    """A small prior by the field that explains a match, and for clips by their decision. Reads kind, kept, maybe and passed."""
+    by_source = F.create_map(*[F.lit(x) for pair in MATCH_BONUS.items() for x in pair])[source]
+    flag = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0)) == 1
+    decided = F.when(flag("kept"), DECISION_BONUS["kept"]).when(flag("maybe"), DECISION_BONUS["maybe"]).when(flag("passed"), DECISION_BONUS["passed"]).otherwise(0.0)
+    return by_source + F.when(F.col("kind") == "clip", decided + (0.0040 if prefer_clips else 0.0)).otherwise(0.0)
+
+
+def result_facets(kind: str | None = None, decision: str = "all", exported: bool | None = None, origin: str | None = None) -> Column:
+    """The facets held against fused results: stricter than facets(), a decision or a missing export asks for a clip."""
+    rules = [facets(kind, decision, exported, origin)]
+    if decision != "all" or exported is False:
+        rules.append(F.col("kind") == "clip")
+    return reduce(lambda a, b: a & b, rules)
+
+
+def gated_lane(lane_: DataFrame, controlled: list[DataFrame]) -> DataFrame:
+    """A lane that may strengthen what controlled lanes found but bring in nothing else; its ranks are counted anew."""
+    ids = reduce(DataFrame.unionByName, [x.select("id") for x in controlled]).distinct()
+    left = lane_.join(ids, "id", "left_semi")
+    return left.withColumn("rank", F.row_number().over(W.partitionBy("lane").orderBy("rank")))
+
+
+def bridged(fused: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Fused scores with what clips owe to lines spoken in them. pairs: line, clip and gap; a clip takes 1.18 of a line's score, and a little for being
+    near, when that is more than its own."""
+    best = pairs.join(fused.select(F.col("id").alias("line"), F.col("score").alias("s")), "line").groupBy(F.col("clip").alias("id")).agg(F.max(F.col("s") * 1.18 + 0.0025 / (1 + F.col("gap"))).alias("bridge"))
+    return fused.select("id", "score").join(best, "id", "full_outer").select("id", F.greatest("score", "bridge").alias("score"), (F.coalesce("bridge", F.lit(0.0)) > F.coalesce("score", F.lit(0.0))).alias("by_bridge"))
+
+
+def without_copies(ranked: DataFrame, limit: int, near_start: float = 5.0, near_end: float = 8.0) -> DataFrame:
+    """id of the best ranked rows (at most limit of them are looked at) without later copies of a moment: same video and kind, another job, start and
+    end near those of a row kept before. ranked: id, rank, video (null: never a copy), kind, job, start, end."""
+    top = ranked.orderBy("rank").limit(limit)
+    rows = top.groupBy("video", "kind").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "job", F.col("start").alias("a"), F.col("end").alias("b")))).alias("x"))
+
+    def step(acc: Column, x: Column) -> Column:
+        copy = F.exists(acc, lambda k: (k["job"] != x["job"]) & (F.abs(k["a"] - x["a"]) <= near_start) & (F.abs(k["b"] - x["b"]) <= near_end))
+        return F.when(copy, acc).otherwise(F.array_append(acc, x))
+
+    kept = F.when(F.col("video").isNull(), F.col("x")).otherwise(F.aggregate("x", F.array().cast(rows.schema["x"].dataType), step))
+    return rows.select(F.explode(kept).alias("k")).select("k.id", "k.rank")
+
+
+def with_feedback(ranked: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Ranked rows without those judged not relevant; relevant ones first, otherwise in order. feedback: id and verdict."""
+    x = ranked.join(feedback, "id", "left").where(F.coalesce("verdict", F.lit("")) != "not_relevant")
+    return x.withColumn("place", F.row_number().over(W.orderBy(F.coalesce((F.col("verdict") != "relevant").cast("int"), F.lit(1)), "rank")))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 

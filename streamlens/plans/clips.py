@@ -5,51 +5,88 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from streamlens.operators import candidates, intervals, library, measures, selection
-from streamlens.plans.base import SECONDS, Plans, events
+from streamlens.operators import candidates, editorial, intervals, library, measures, selection
+from streamlens.plans.base import EVENTS_SQL, SECONDS, Plans, events, spark_columns, sql_columns
 from streamlens.session import table
 
 P = Plans()
 
 
+def _share(step: int, of: int) -> str:
+    return f"CAST(event_id % {step} AS DOUBLE) / {of}"
+
+
+#: A candidate per purchase; what signals and judges say is taken from the event's number and value.
+CANDIDATE = [
+    ("user_id", "user_id"), ("id", "event_id"), ("start", "s"), ("end", "s + 5 + event_id % 70"), ("peak_value", "value / 40"), ("reaction_auc", "value / 4 * (1 + event_id % 5)"), ("event_density", "CAST(1 + event_id % 3 AS DOUBLE)"),
+    ("game_evidence", _share(11, 10)), ("dead_air_ratio", _share(9, 10)), ("game_label", "CASE WHEN event_id % 5 = 0 THEN 'elimination' WHEN event_id % 7 = 0 THEN 'terminal_win' END"), ("scene_label", "CASE WHEN event_id % 6 = 1 THEN 'lobby' END"),
+    ("floor_padded", "event_id % 17 = 0"), ("crowd_clip", "CAST(event_id % 4 AS INT)"), ("startle", _share(23, 30)), ("visible_crowd", _share(29, 35)), ("modality_count", "CAST(event_id % 5 AS INT)"), ("active_channels", "CAST(1 + event_id % 6 AS INT)"),
+    ("signal_agreement", _share(8, 8)), ("anchor", "s + (5 + event_id % 70) * (CAST(event_id % 10 AS DOUBLE) / 10)"), ("peak", "s + (5 + event_id % 70) * (CAST(event_id % 4 AS DOUBLE) / 4)"), ("text_verdict", "CASE event_id % 4 WHEN 0 THEN 'post' WHEN 1 THEN 'skip' WHEN 2 THEN 'maybe' END"),
+    ("text_type", "CASE WHEN event_id % 8 < 2 THEN 'filler' ELSE 'story' END"), ("hook", _share(10, 10)), ("payoff", _share(12, 12)), ("self_contained", _share(14, 14)), ("housekeeping", "event_id % 41 = 0"), ("terminal", "event_id % 31 < 3"),
+    ("verdict", "CASE event_id % 5 WHEN 1 THEN 'post' WHEN 2 THEN 'maybe' WHEN 3 THEN 'skip' WHEN 4 THEN 'post' END"), ("outcome", "CASE event_id % 9 WHEN 1 THEN 'match_win' WHEN 2 THEN 'elimination' WHEN 3 THEN 'menu_or_shop' WHEN 4 THEN 'death_or_fail' WHEN 5 THEN 'none' END"),
+    ("moment_type", "CASE event_id % 3 WHEN 0 THEN 'story' WHEN 1 THEN 'filler' ELSE 'funny' END"), ("onscreen", "CASE event_id % 11 WHEN 1 THEN 'VICTORY royale' WHEN 2 THEN 'You placed #8' WHEN 3 THEN 'Loading map' WHEN 4 THEN 'Chapter 3' WHEN 5 THEN 'Champion #1' END"),
+    ("model_verdict", "CASE WHEN event_id % 3 = 0 THEN 'skip' ELSE 'post' END"), ("profile", "CASE WHEN event_id % 2 = 0 THEN 'generic' ELSE 'shooter' END"), ("confidence", _share(13, 12)), ("visual_payoff", _share(15, 14)), ("visual_contained", _share(16, 15)),
+    ("context_complete", "event_id % 7 <> 3"), ("routine_only", "event_id % 10 = 7"), ("verbal_payoff", "event_id % 3 <> 1"), ("visual_event", "event_id % 14 = 5"), ("streamer_reaction", "event_id % 6 = 2"), ("speech_unheard", "event_id % 37 = 0"),
+    ("voice", _share(19, 40)), ("face_max", _share(21, 30)), ("face_p99", "CASE WHEN event_id % 3 = 0 THEN 0.45 END"), ("face_run", "CAST(event_id % 5 AS INT)"), ("face_delta", _share(17, 40)), ("burst", _share(22, 40)), ("loud_onset", _share(25, 50)),
+    ("motion", _share(18, 40)), ("game_audio", _share(24, 60)), ("waiting_share", _share(26, 30)), ("ranker_score", "CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 20 AS DOUBLE) / 20 END"),
+]
+
+
 def _candidates(spark, sf_dir):
-    """A candidate per purchase: signals taken from the event's number and value."""
     e = events(spark, sf_dir).where("event_type = 'purchase'")
-    i = F.col("event_id")
-    return candidates.complete(
-        e.select(
-            "user_id", i.alias("id"), F.col("s").alias("start"), (F.col("s") + 5 + i % 70).alias("end"), (F.col("value") / 40).alias("peak_value"), (F.col("value") / 10).alias("reaction_auc"),
-            (1 + i % 3).cast("double").alias("event_density"), ((i % 11) / 10).alias("game_evidence"), ((i % 9) / 10).alias("dead_air_ratio"), F.when(i % 5 == 0, "elimination").when(i % 7 == 0, "terminal_win").alias("game_label"),
-            F.when(i % 13 == 0, "lobby").alias("scene_label"), (i % 17 == 0).alias("floor_padded"), (i % 4).alias("crowd_clip"), ((i % 6) / 50).alias("startle"), (i % 5).alias("modality_count"), (1 + i % 6).alias("active_channels"),
-            (F.col("s") + (5 + i % 70) * ((i % 10) / 10)).alias("anchor"), F.when(i % 3 == 0, "post").when(i % 3 == 1, "skip").alias("text_verdict"), F.when(i % 8 == 0, "filler").otherwise("story").alias("text_type"),
-            F.when(i % 19 == 0, "skip").alias("visual_verdict"), ((i % 10) / 10).alias("hook"), ((i % 12) / 12).alias("payoff"), ((i % 14) / 14).alias("self_contained"),
-        )
-    )
+    return candidates.complete(e.select(*spark_columns(CANDIDATE)))
 
 
 _CANDIDATES = f"""
-cand AS (
-  SELECT user_id, event_id AS id, {SECONDS} AS start, {SECONDS} + 5 + event_id % 70 AS "end", value / 40 AS peak_value, value / 10 AS auc, 1.0 + event_id % 3 AS density, (event_id % 11) / 10.0::DOUBLE AS evidence, (event_id % 9) / 10.0::DOUBLE AS dead,
-         CASE WHEN event_id % 5 = 0 THEN 'elimination' WHEN event_id % 7 = 0 THEN 'terminal_win' END AS label, event_id % 13 = 0 AS lobby, event_id % 17 = 0 AS padded, event_id % 4 AS crowd, (event_id % 6) / 50.0::DOUBLE AS startle, event_id % 5 AS modalities, 1 + event_id % 6 AS active,
-         {SECONDS} + (5 + event_id % 70) * ((event_id % 10) / 10.0::DOUBLE) AS anchor, CASE event_id % 3 WHEN 0 THEN 'post' WHEN 1 THEN 'skip' ELSE '' END AS tv, CASE WHEN event_id % 8 = 0 THEN 'filler' ELSE 'story' END AS tt, event_id % 19 = 0 AS vskip,
-         (event_id % 10) / 10.0::DOUBLE AS hook, (event_id % 12) / 12.0::DOUBLE AS payoff, (event_id % 14) / 14.0::DOUBLE AS contained
-  FROM events WHERE event_type = 'purchase'),
-shaped AS (SELECT *, greatest(1, "end" - start) AS d, label IS NOT NULL AS is_event, greatest(0, least(1, (anchor - start) / greatest(1, "end" - start))) AS p FROM cand),
+cand AS (SELECT {sql_columns(CANDIDATE)} FROM {EVENTS_SQL} WHERE event_type = 'purchase'),
+shaped AS (SELECT *, greatest(1, "end" - start) AS d, game_label IS NOT NULL AS is_event, greatest(0, least(1, (anchor - start) / greatest(1, "end" - start))) AS p,
+  coalesce(verdict, '') AS v, coalesce(outcome, '') AS o, coalesce(text_verdict, '') AS tv, coalesce(onscreen, '') AS screen, coalesce(scene_label, '') = 'lobby' AS lobby FROM cand),
 scored AS (
-  SELECT *, auc / d AS mean, 1.5 * peak_value + auc / d + 0.5 * evidence + 0.55 * greatest(0, density - 1) - 0.35 * greatest(0, dead - 0.35)
+  SELECT *, reaction_auc / d AS mean, 1.5 * peak_value + reaction_auc / d + 0.5 * game_evidence + 0.55 * greatest(0, event_density - 1) - 0.35 * greatest(0, dead_air_ratio - 0.35)
     + 0.35 * (CASE WHEN d <= 8 THEN 0 WHEN d < 14 THEN (d - 8) / 6 WHEN d <= 45 THEN 1 WHEN d >= 90 THEN 0.4 ELSE 1 - 0.6 * (d - 45) / 45 END)
     + 0.2 * (CASE WHEN is_event THEN CASE WHEN p BETWEEN 0.35 AND 0.85 THEN 1.0 WHEN p < 0.2 THEN -0.6 WHEN p > 0.92 THEN -0.3 ELSE 0.2 END WHEN p BETWEEN 0.3 AND 0.75 THEN 0.35 ELSE 0 END)
-    - CASE WHEN padded THEN 0.4 ELSE 0 END - CASE WHEN lobby THEN 2.5 ELSE 0 END + 0.5 * least(crowd, 3) / 3.0 + 8 * startle AS score
+    - CASE WHEN floor_padded THEN 0.4 ELSE 0 END - CASE WHEN lobby THEN 2.5 ELSE 0 END + 0.5 * least(crowd_clip, 3) / 3.0 + 8 * startle + 1.5 * visible_crowd AS score
   FROM shaped),
+e1 AS (
+  SELECT *, o = 'match_win' AND regexp_matches(screen, 'victor|champion|\\bwinner\\b|#\\s*1\\b|\\b1st\\b', 'i') AND NOT regexp_matches(screen, 'placed|defeat|eliminated|#\\s*([2-9]\\b|\\d{{2,}})|\\b([2-9]|\\d{{2,}})(th|nd|rd)\\b', 'i') AS win,
+    startle >= 0.6 AS startled, visible_crowd >= 0.72 AS crowded, confidence >= 0.45 AND verbal_payoff AND context_complete AND NOT routine_only AND visual_contained >= 0.5 AS beat,
+    coalesce(face_max >= greatest(0.4, face_p99) AND face_p99 IS NOT NULL AND face_run >= 2 AND face_delta >= 0.2, FALSE) AS spike,
+    tv = 'post' AND text_type <> 'filler' AND payoff >= 0.6 AND self_contained >= 0.5 AS whole, tv = 'post' AND text_type <> 'filler' AND hook >= 0.45 AND payoff >= 0.6 AND self_contained >= 0.5 AS rescue,
+    peak_value >= 1.25 AND mean >= 0.75 AND signal_agreement >= 0.65 AS hot
+  FROM scored),
+e2 AS (
+  SELECT *, beat AND visual_payoff >= 0.55 AS verbal, beat AND (visual_payoff >= 0.55 OR (moment_type = 'story' AND visual_payoff + 1e-9 >= 0.45)) AS spoken,
+    CASE WHEN win THEN startle >= 0.1 OR peak_value >= 1.2 WHEN is_event THEN startle >= 0.15 OR peak_value >= 2.5 ELSE TRUE END AS reacted,
+    lobby AND hot AND dead_air_ratio <= 0.3 AND burst >= 0.15 AND greatest(motion, game_audio) >= 0.2 AS lobby_hot, hot AND dead_air_ratio <= 0.45 AS observed
+  FROM e1),
+e3 AS (SELECT *, (win OR is_event) AND reacted AS landed, ((win OR is_event) AND reacted) OR spoken OR startled OR crowded OR spike AS grounded FROM e2),
+e4 AS (
+  SELECT *, v IN ('post', 'maybe') AND NOT win AND NOT is_event AND o NOT IN ('match_win', 'elimination', 'death_or_fail') AND NOT visual_event AND NOT regexp_matches(screen, '\\b(rip\\b|game\\s*over|you\\s+died|chapter\\b|ending\\b)', 'i')
+      AND NOT startled AND NOT crowded AND voice >= 0.15 AND NOT (spoken AND face_max >= 0.15) AND face_max < 0.22 AND burst < 0.35 AND loud_onset < 0.35 AS chatty,
+    v = 'post' AND grounded AND visual_payoff >= 0.7 AND visual_contained >= 0.7 AND context_complete AND NOT routine_only AND tv = 'post' AND payoff >= 0.6 AND self_contained >= 0.7 AS agreed,
+    startled OR crowded OR landed OR (NOT routine_only AND context_complete AND visual_payoff >= 0.55 AND visual_contained >= 0.5 AND (verbal_payoff OR streamer_reaction)) AS real
+  FROM e3),
+evidence AS (
+  SELECT *, v <> '' AND (agreed OR CASE WHEN win THEN reacted ELSE FALSE END) AS bypass, v <> '' AND CASE WHEN win THEN reacted ELSE NOT chatty AND verbal END AS anchored, landed OR grounded OR whole OR lobby_hot OR observed AS publishable,
+    (v <> '' OR text_verdict IS NOT NULL) AND NOT real AND ((routine_only AND NOT whole) OR (v <> '' AND NOT context_complete AND NOT (verbal_payoff OR visual_event OR streamer_reaction OR o NOT IN ('', 'none')) AND NOT whole)) AS incomplete,
+    (lobby OR o = 'menu_or_shop' OR regexp_matches(screen, '\\b(loading|connecting|waiting\\s+for\\s+players|matchmaking|finding\\s+match|searching\\s+for\\s+match|main\\s+menu)\\b', 'i')) AND model_verdict = 'skip' AND tv = 'skip' AND text_type = 'filler' AS waiting,
+    waiting_share >= 0.6 AND v NOT IN ('post', 'maybe') AND tv <> 'post' AS waiting_ocr, profile = 'generic' AND game_label IS NULL AND v = 'maybe' AND moment_type = 'filler' AND o IN ('', 'none') AS generic,
+    tv = 'post' AND text_type <> 'filler' AND o IN ('', 'none') AND ranker_score IS NOT NULL AND payoff >= 0.7 AND signal_agreement >= 0.75 AND peak_value >= 2.5 AND ranker_score >= 0.7 AND waiting_share < 0.5 AS conflict,
+    is_event AND game_evidence >= 0.5 AND dead_air_ratio <= 0.5 AS strong
+  FROM e4),
 judged AS (
-  SELECT *, is_event AND evidence >= 0.5 AS strong, CASE WHEN modalities > 0 THEN modalities ELSE 0 END AS m, tv = 'skip' AND (tt = 'filler' OR vskip) AS rejected FROM scored),
+  SELECT *, tv = 'skip' AND (text_type = 'filler' OR v = 'skip') AND NOT (crowded OR (v IN ('post', 'maybe') AND grounded)) AS rejected, v = 'skip' AND NOT speech_unheard AND NOT bypass AND NOT coalesce(conflict, FALSE) AS vskip,
+    CASE WHEN modality_count > 0 THEN modality_count ELSE floor(signal_agreement * active_channels + 0.5) END AS m FROM evidence),
 failed AS (
   SELECT *, list_filter([
+    CASE WHEN housekeeping THEN 'housekeeping' END, CASE WHEN terminal AND NOT real THEN 'terminal_non_content' END, CASE WHEN waiting THEN 'routine_non_gameplay' END, CASE WHEN waiting_ocr AND NOT waiting THEN 'routine_non_gameplay_ocr' END,
     CASE WHEN peak_value < 0.55 THEN 'peak_floor' END, CASE WHEN score < 0.75 THEN 'score_floor' END,
-    CASE WHEN NOT (CASE WHEN strong THEN m >= greatest(1, ceil(0.4 * least(active, 4) - 1e-9)) ELSE m >= greatest(least(2, active), ceil(0.5 * least(active, 4) - 1e-9)) END) THEN 'modality_gate' END,
-    CASE WHEN dead > 0.65 THEN 'dead_air' END, CASE WHEN lobby AND d > 15 THEN 'lobby_length' END, CASE WHEN padded AND NOT strong AND crowd < 2 THEN 'floor_padded' END,
-    CASE WHEN is_event AND mean < 0.55 THEN 'routine_event' END, CASE WHEN rejected THEN 'semantic_reject' END, CASE WHEN vskip THEN 'visual_skip' END], lambda x: x IS NOT NULL) AS all_reasons FROM judged),
-gated AS (SELECT *, CASE WHEN tv = 'post' AND tt <> 'filler' AND hook >= 0.45 AND payoff >= 0.6 AND contained >= 0.5 AND NOT rejected AND NOT vskip THEN [] ELSE all_reasons END AS reasons FROM failed)
+    CASE WHEN NOT (CASE WHEN strong THEN m >= greatest(1, ceil(0.4 * least(active_channels, 4) - 1e-9)) ELSE m >= greatest(least(2, active_channels), ceil(0.5 * least(active_channels, 4) - 1e-9)) END) THEN 'modality_gate' END,
+    CASE WHEN dead_air_ratio > 0.65 THEN 'dead_air' END, CASE WHEN lobby AND d > 15 AND NOT lobby_hot THEN 'lobby_length' END, CASE WHEN floor_padded AND NOT strong AND crowd_clip < 2 THEN 'floor_padded' END,
+    CASE WHEN incomplete THEN 'incomplete_beat' END, CASE WHEN generic THEN 'visual_filler' END, CASE WHEN is_event AND mean < 0.55 THEN 'routine_event' END,
+    CASE WHEN chatty AND (tv = 'skip' OR text_type = 'filler' OR NOT grounded) THEN 'non_event_chatter' END, CASE WHEN text_verdict IS NOT NULL AND v <> '' AND NOT publishable THEN 'unpublishable_beat' END,
+    CASE WHEN rejected THEN 'semantic_reject' END, CASE WHEN vskip THEN 'visual_skip' END], lambda x: x IS NOT NULL) AS all_reasons FROM judged),
+gated AS (SELECT *, CASE WHEN NOT vskip AND NOT rejected AND (rescue OR crowded OR bypass) THEN list_filter(all_reasons, lambda x: x IN ('housekeeping', 'terminal_non_content', 'incomplete_beat', 'visual_filler', 'non_event_chatter', 'unpublishable_beat')) ELSE all_reasons END AS reasons FROM failed)
 """
 
 
@@ -57,6 +94,49 @@ def _gated(spark, sf_dir):
     return candidates.with_gates(candidates.with_score(_candidates(spark, sf_dir)))
 
 
+@P.add(f"""WITH {_CANDIDATES} SELECT id, win, startled, crowded, verbal, spoken, spike, landed, grounded, chatty, agreed, bypass, anchored, lobby_hot, observed, publishable, real, incomplete, waiting, waiting_ocr, generic, coalesce(conflict, FALSE) AS conflict FROM evidence""")
+def editorial_evidence(spark, sf_dir):
+    names = {
+        "win": "visual_win", "startled": "strong_startle", "crowded": "crowd_anchor", "verbal": "verbal_complete", "spoken": "spoken_beat", "spike": "face_spike", "landed": "landed_event", "grounded": "grounded", "chatty": "chat_only",
+        "agreed": "consensus", "bypass": "gate_bypass", "anchored": "content_anchor", "lobby_hot": "lobby_reaction", "observed": "observed_reaction", "publishable": "publishable", "real": "real_beat", "incomplete": "incomplete",
+        "waiting": "waiting_agreed", "waiting_ocr": "waiting_ocr", "generic": "generic_filler", "conflict": "skip_conflict",
+    }
+    x = editorial.with_evidence(candidates.with_score(_candidates(spark, sf_dir)))
+    return x.select("id", *[F.coalesce(F.col(c), F.lit(False)).alias(n) for n, c in names.items()])
+
+
+@P.add(f"""WITH {_CANDIDATES}, n AS (SELECT *, v IN ('post', 'maybe') AND NOT chatty AND (o = 'death_or_fail' OR verbal OR (moment_type = 'story' AND NOT routine_only AND context_complete AND confidence >= 0.45 AND visual_payoff + 1e-9 >= 0.45)) AS story FROM evidence)
+SELECT id, story, v <> '' AND (agreed OR CASE WHEN win THEN reacted ELSE story END) AS bypass,
+  round(CASE WHEN v NOT IN ('', 'skip') THEN greatest(CASE o WHEN 'match_win' THEN CASE WHEN win THEN 1.0::DOUBLE ELSE 0 END WHEN 'elimination' THEN 0.6 WHEN 'death_or_fail' THEN 0.5 ELSE 0 END, CASE WHEN verbal AND NOT chatty THEN visual_payoff * (0.6 + 0.4 * visual_contained) ELSE 0 END) ELSE 0 END, 6) AS interest,
+  CASE WHEN v = '' THEN NULL WHEN NOT reacted THEN score >= 6 WHEN v = 'post' THEN grounded OR score >= 6 WHEN v = 'maybe' THEN score >= 6 * CASE WHEN grounded THEN 0.5 ELSE 1.0 END ELSE FALSE END AS keeps,
+  rescue OR startled OR crowded OR lobby_hot OR (v <> '' AND (agreed OR CASE WHEN win THEN reacted ELSE story END)) OR burst >= 0.12 OR CASE tv WHEN 'post' THEN payoff >= 0.35 AND self_contained >= 0.5 WHEN 'maybe' THEN hook >= 0.45 AND payoff >= 0.6 AND self_contained >= 0.7 WHEN '' THEN hook >= 0.45 AND signal_agreement >= 0.5 AND dead_air_ratio <= 0.45 ELSE FALSE END AS allowed FROM n""")
+def editorial_policies(spark, sf_dir):
+    """The narrative policy: story beats, gate bypass, content interest, the floor's three-valued answer and admission among many events."""
+    e = editorial.Evidence(narrative=True)
+    x = editorial.with_evidence(candidates.with_score(_candidates(spark, sf_dir)), e)
+    return x.select("id", F.col("narrative_beat").alias("story"), F.col("gate_bypass").alias("bypass"), F.round(editorial.content_interest(e), 6).alias("interest"), editorial.floor_keep(F.col("signal_score"), F.lit(6.0)).alias("keeps"), editorial.event_rich_allowed().alias("allowed"))
+
+
+@P.add(f"""WITH {_CANDIDATES}, s AS (SELECT user_id, id, peak, face_delta, face_run, face_max, CASE WHEN peak - lag(peak) OVER (PARTITION BY user_id ORDER BY peak) <= 86400 THEN 0 ELSE 1 END AS fresh FROM evidence WHERE spike),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY peak) AS e FROM s), b AS (SELECT user_id, e, max((face_delta, face_run, face_max)) AS best FROM g GROUP BY 1, 2),
+r AS (SELECT user_id, e, row_number() OVER (PARTITION BY user_id ORDER BY best DESC, e) AS r FROM b)
+SELECT g.user_id, round(peak, 3) AS peak FROM g JOIN r ON r.user_id = g.user_id AND r.e = g.e AND r <= 3""")
+def face_rescues(spark, sf_dir):
+    x = editorial.with_evidence(candidates.with_score(_candidates(spark, sf_dir)))
+    return editorial.face_spike_events(x, ["user_id"], "peak", 86400.0, 3).select("user_id", F.round("peak", 3).alias("peak"))
+
+
+@P.add(f"""WITH {_CANDIDATES}, t AS (SELECT user_id, anchor AS t, row_number() OVER (PARTITION BY user_id ORDER BY anchor) AS i FROM evidence WHERE is_event)
+SELECT c.user_id, c.id, (SELECT count(*) FROM t WHERE t.user_id = c.user_id AND abs(t.t - c.peak) <= 172800)::BIGINT AS n, (SELECT count(*) FROM t WHERE t.user_id = c.user_id AND abs(t.t - c.peak) <= 172800) >= 4 AS rich FROM evidence c""")
+def event_rich_spans(spark, sf_dir):
+    """How many events stand around each candidate's peak, and whether that makes its surroundings rich in events."""
+    c = _candidates(spark, sf_dir)
+    marks = c.where("game_label IS NOT NULL").select("user_id", F.col("anchor").alias("t"))
+    spans = c.select("user_id", "id", (F.col("peak") - 172800.0).alias("lo"), (F.col("peak") + 172800.0).alias("hi"))
+    n = intervals.points_in(marks, spans, ["user_id"], "t", ("lo", "hi"), 0.0, 345600.0).groupBy("id").agg(F.count("*").alias("n"))
+    return c.select("user_id", "id").join(n, "id", "left").select("user_id", "id", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) >= 4).alias("rich"))
+
+
 @P.add(f"WITH {_CANDIDATES} SELECT id, round(score, 9) AS score, round(mean, 9) AS mean FROM scored")
 def signal_scores(spark, sf_dir):
     return candidates.with_score(_candidates(spark, sf_dir)).select("id", F.round("signal_score", 9).alias("score"), F.round("mean_intensity", 9).alias("mean"))
@@ -67,10 +147,10 @@ def evidence_gates(spark, sf_dir):
     return _gated(spark, sf_dir).select("id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@P.add(f"WITH {_CANDIDATES} SELECT id, array_to_string(list_filter(all_reasons, lambda x: x IN ('housekeeping', 'non_event_chatter') OR (x = 'visual_skip' AND tv = 'skip')), ',') AS reasons FROM gated WHERE crowd >= 2")
+@P.add(f"WITH {_CANDIDATES} SELECT id, array_to_string(list_filter(reasons, lambda x: x IN ('housekeeping', 'terminal_non_content', 'routine_non_gameplay', 'routine_non_gameplay_ocr', 'incomplete_beat', 'visual_filler', 'non_event_chatter', 'unpublishable_beat') OR (x = 'visual_skip' AND (tv = 'skip' OR text_type = 'filler'))), ',') AS reasons FROM gated WHERE crowd_clip >= 2")
 def crowd_vetoes(spark, sf_dir):
     g = _gated(spark, sf_dir).where("crowd_clip >= 2")
-    r = candidates.crowd_reasons(F.col("reasons"), F.coalesce(F.col("text_verdict") == "skip", F.lit(False)))
+    r = candidates.crowd_reasons(F.col("reasons"), F.coalesce((F.col("text_verdict") == "skip") | (F.col("text_type") == "filler"), F.lit(False)))
     return g.select("id", F.array_join(r, ",").alias("reasons"))
 
 
