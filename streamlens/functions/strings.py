@@ -24,8 +24,10 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def phrase_text(x: Column, limit: int = 240) -> Column:
-    return F.left(F.array_join(tokens(x), " "), F.lit(limit))
+def phrase_text(x: Column, limit: int | None = 240) -> Column:
+    """Words joined by one space; search queries are cut at a limit, documents (limit None) are not."""
+    text = F.array_join(tokens(x), " ")
+    return text if limit is None else F.left(text, F.lit(limit))
 
 
 def fingerprint(*parts: Column) -> Column:

@@ -106,8 +106,8 @@ def merge_by_last(df: DataFrame, keys: list[str], start: str, end: str, max_gap:
     return runs.groupBy(*keys, "__run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__run")
 
 
-def subtract_spans(a: DataFrame, b: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """What of a's union is outside b's union: boundaries swept in order, one running sum per side."""
+def subtract_spans(a: DataFrame, b: DataFrame, keys: list[str], start: str = "start", end: str = "end", min_length: float = 0.0) -> DataFrame:
+    """What of a's union is outside b's union, stretches of min_length at least: boundaries swept in order, one running sum per side."""
     marks = None
     for side, df in (("a", a), ("b", b)):
         m = merge_spans(df.select(*keys, start, end), keys, start, end)
@@ -117,7 +117,7 @@ def subtract_spans(a: DataFrame, b: DataFrame, keys: list[str], start: str = "st
     w = W.partitionBy(*keys).orderBy("t")
     run = at.withColumn("in_a", F.sum("a").over(w)).withColumn("in_b", F.sum("b").over(w)).withColumn("to", F.lead("t").over(w))
     parts = run.where((F.col("in_a") > 0) & (F.col("in_b") <= 0) & F.col("to").isNotNull()).select(*keys, F.col("t").alias(start), F.col("to").alias(end))
-    return merge_spans(parts, keys, start, end)
+    return merge_spans(parts, keys, start, end).where(F.col(end) - F.col(start) >= min_length)
 
 
 def runs_where(df: DataFrame, keys: list[str], t: str, mask: Column, min_rows: int = 1, *aggregates: Column) -> DataFrame:

@@ -206,6 +206,24 @@ def excluding(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
+def sketch_pairs(rows: DataFrame, id_: str, sketch: str, shared: int = 3, floor: float = 0.45) -> DataFrame:
+    """a, b (a < b) and similarity of rows whose sketches (arrays of distinct hashes) share so many hashes and reach so high a Jaccard similarity.
+
+    Two sketches that reach the floor share one of the first hashes of each, rarest first, when so many are taken that those left out are
+    fewer than floor * size (and fewer than shared): a prefix-filter join, so hashes that many rows have meet nobody.
+    """
+    x = rows.select(F.col(id_).alias("id"), F.col(sketch).alias("k")).where(F.size("k") >= shared)
+    each = x.select("id", F.size("k").alias("n"), F.explode("k").alias("h"))
+    counted = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
+    place = F.row_number().over(W.partitionBy("id").orderBy("df", "h"))
+    need = F.greatest(F.ceil(F.lit(floor) * F.col("n") - 1e-9), F.lit(shared))
+    first = counted.withColumn("place", place).where(F.col("place") <= F.col("n") - need + 1).select("h", "id", "n")
+    fits = F.expr("x.id < y.id") & (F.least("x.n", "y.n") >= floor * F.greatest("x.n", "y.n") - 1e-9)
+    pairs = first.alias("x").join(first.alias("y"), F.expr("x.h = y.h") & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    wide = pairs.join(x.toDF("a", "ka"), "a").join(x.toDF("b", "kb"), "b").withColumn("both", F.size(F.array_intersect("ka", "kb")))
+    return wide.withColumn("similarity", F.col("both") / (F.size("ka") + F.size("kb") - F.col("both"))).where((F.col("both") >= shared) & (F.col("similarity") >= floor)).select("a", "b", "similarity")
+
+
 def piece_keys(text: str) -> np.ndarray:
     """The distinct keys of a text: of every SHORTEST_PHRASE code points in a row, the smallest hash of a piece in them.
 

@@ -196,11 +196,11 @@ def latest_decisions(spark, sf_dir):
     return library.latest(d, ["clip"], "id").select("clip", "label", "event", "id")
 
 
-@P.add("""WITH v AS (SELECT l_orderkey % 800 AS k, l_orderkey * 10 + l_linenumber AS v, max(l_quantity) AS q FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1, 2), c AS (SELECT k, arg_max(q, v) AS q FROM v GROUP BY 1)
+@P.add("""WITH v AS (SELECT l_orderkey % 800 AS k, l_orderkey * 10 + l_linenumber AS v, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2), c AS (SELECT k, arg_max(q, v) AS q FROM v GROUP BY 1)
 SELECT p_partkey AS k, coalesce(c.q, p.p_size::DOUBLE) AS q FROM part p LEFT JOIN c ON c.k = p_partkey UNION ALL SELECT c.k, c.q FROM c WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = c.k)""")
 def upserted_state(spark, sf_dir):
     base = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("q"))
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
+    l = table(spark, sf_dir, "lineitem")
     changes = l.groupBy((F.col("l_orderkey") % 800).alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("v")).agg(F.max("l_quantity").alias("q"))
     return library.upsert(base.withColumn("v", F.lit(0).cast("long")), changes, ["k"], "v").select("k", "q")
 
@@ -306,10 +306,10 @@ def learning_signals(spark, sf_dir):
 
 
 @P.add(f"""WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY {SECONDS}) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, quantile_cont(value, 0.8) OVER (PARTITION BY user_id) AS q FROM events)
-SELECT user_id, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS spread, round(max(value), 4) AS top, round(avg(value) FILTER (i * 3 // n = 0), 5) AS first, round(avg(value) FILTER (i * 3 // n = 2), 5) AS last, round(regr_slope(value, i), 6) AS slope, round(arg_max(i, (value, -i)) / (max(n) - 1)::DOUBLE, 5) AS peak_place, round(avg((value > q)::INT), 5) AS share_high FROM e GROUP BY user_id""")
+SELECT user_id, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS spread, round(max(value), 4) AS top, round(avg(value) FILTER (i * 3 // n = 0), 5) AS first, round(avg(value) FILTER (i * 3 // n = 1), 5) AS middle, round(avg(value) FILTER (i * 3 // n = 2), 5) AS last, round(avg(value) FILTER (i * 3 // n = 2) / greatest(avg(value) FILTER (i * 3 // n = 0), 1e-6), 4) AS ratio, round(regr_slope(value, i), 6) AS slope, round(arg_max(i, (value, -i)) / (max(n) - 1)::DOUBLE, 5) AS peak_place, round(avg((value > q)::INT), 5) AS share_high FROM e GROUP BY user_id""")
 def trajectory_stats(spark, sf_dir):
     x = measures.trajectory(events(spark, sf_dir), ["user_id"], "s", "value")
-    return x.select("user_id", *[F.round(c, 5).alias(c) for c in ("mean", "spread", "first", "last", "peak_place", "share_high")], F.round("top", 4).alias("top"), F.round("slope", 6).alias("slope"))
+    return x.select("user_id", *[F.round(c, 5).alias(c) for c in ("mean", "spread", "first", "middle", "last", "peak_place", "share_high")], F.round("ratio", 4).alias("ratio"), F.round("top", 4).alias("top"), F.round("slope", 6).alias("slope"))
 
 
 @P.add("""SELECT user_id, count(*)::BIGINT AS total, count(*) FILTER (event_type = 'click')::BIGINT AS click, count(*) FILTER (event_type = 'error')::BIGINT AS error, count(*) FILTER (event_type = 'purchase')::BIGINT AS purchase, count(*) FILTER (event_type = 'signup')::BIGINT AS signup, count(*) FILTER (event_type = 'view')::BIGINT AS view FROM events GROUP BY 1""")
@@ -325,17 +325,20 @@ def evidence_counters(spark, sf_dir):
     return events(spark, sf_dir).withColumn("k", k).groupBy("user_id").agg(F.sum("k").alias("k_sum"), F.count_if(F.col("k") >= 50).alias("high"), F.round(F.try_divide(F.count_if(F.col("k") >= 50), F.count("*")), 6).alias("share"))
 
 
-@P.add("""WITH d AS (SELECT ts::DATE AS day, count(*) FILTER (event_type = 'purchase') AS n FROM events GROUP BY 1) SELECT strftime(day, '%Y-%m-%d') AS day, sum(n + 1)::BIGINT AS value, isodow(day)::INT AS weekday FROM d GROUP BY day""")
+@P.add("""WITH d AS (SELECT ts::DATE AS day, count(*) FILTER (event_type = 'purchase') AS n FROM events GROUP BY 1), w AS (SELECT isodow(day)::INT AS weekday, sum(n + 1) AS v FROM d GROUP BY 1), b AS (SELECT weekday FROM w ORDER BY v DESC, weekday LIMIT 1)
+SELECT strftime(day, '%Y-%m-%d') AS day, sum(n + 1)::BIGINT AS value, isodow(day)::INT AS weekday, isodow(day) = (SELECT weekday FROM b) AS busiest FROM d GROUP BY day""")
 def calendar_value(spark, sf_dir):
-    d = events(spark, sf_dir).groupBy(F.to_date("ts").alias("d")).agg((F.count_if(F.col("event_type") == "purchase") + 1).alias("value"))
-    return d.select(F.date_format("d", "yyyy-MM-dd").alias("day"), "value", (F.weekday("d") + 1).alias("weekday"))
+    """Value of each day, and whether it falls on the weekday of most value (the first of equals)."""
+    d = events(spark, sf_dir).groupBy(F.to_date("ts").alias("d")).agg((F.count_if(F.col("event_type") == "purchase") + 1).alias("value")).withColumn("weekday", F.weekday("d") + 1)
+    best = d.groupBy("weekday").agg(F.sum("value").alias("v")).agg(F.max_by("weekday", F.struct("v", -F.col("weekday"))).alias("best"))
+    return d.join(F.broadcast(best), F.lit(True)).select(F.date_format("d", "yyyy-MM-dd").alias("day"), "value", "weekday", (F.col("weekday") == F.col("best")).alias("busiest"))
 
 
-@P.add("""SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m') AS month, count(*)::BIGINT AS n, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS ids FROM orders WHERE o_custkey < 20 GROUP BY 1""")
+@P.add("""SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m') AS month, count(*)::BIGINT AS n, count(DISTINCT o_custkey)::BIGINT AS sources, min(o_orderkey)::BIGINT AS first_id, max(o_orderkey)::BIGINT AS last_id, sum(o_orderkey % 1009)::BIGINT AS mark FROM orders GROUP BY 1""")
 def month_groups(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey < 20")
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",")
-    return o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), ids.alias("ids"))
+    """A row per month: how many, from how many sources, and a mark of the ids."""
+    o = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    return o.agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("sources"), F.min("o_orderkey").alias("first_id"), F.max("o_orderkey").alias("last_id"), F.sum(F.col("o_orderkey") % 1009).alias("mark"))
 
 
 @P.add("""SELECT n_name, o_orderstatus, count(DISTINCT o_orderkey)::BIGINT AS orders, count(DISTINCT p_brand)::BIGINT AS brands, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue

@@ -156,13 +156,10 @@ def hashed_vectors(spark, sf_dir):
 
 
 @P.add(f"""WITH b AS (SELECT item_id, list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '{TOKEN.replace("'", "''")}'), lambda w: left(sha256(w), 8))))[1:24] AS k FROM benchmark)
-SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.k, y.k)) / len(list_distinct(list_concat(x.k, y.k)))::DOUBLE, 6) AS similarity FROM b x JOIN b y ON x.item_id < y.item_id WHERE len(list_intersect(x.k, y.k)) >= 3""")
+SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.k, y.k)) / len(list_distinct(list_concat(x.k, y.k)))::DOUBLE, 6) AS similarity FROM b x JOIN b y ON x.item_id < y.item_id WHERE len(list_intersect(x.k, y.k)) >= 3 AND len(list_intersect(x.k, y.k)) / len(list_distinct(list_concat(x.k, y.k)))::DOUBLE >= 0.1""")
 def sketch_pairs(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", st.token_sketch(F.col("text"), []).alias("k"))
-    shared = b.select("item_id", F.explode("k").alias("h"))
-    pairs = shared.alias("x").join(shared.alias("y"), F.expr("x.h = y.h AND x.item_id < y.item_id")).groupBy(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).agg(F.count("*").alias("both")).where("both >= 3")
-    out = pairs.join(b.toDF("a", "ka"), "a").join(b.toDF("b", "kb"), "b")
-    return out.select("a", "b", F.round(st.jaccard(F.col("ka"), F.col("kb")), 6).alias("similarity"))
+    """Pairs whose sketches share three hashes and a share of .1 of both."""
+    return search.sketch_pairs(table(spark, sf_dir, "benchmark").select("item_id", st.token_sketch(F.col("text"), []).alias("k")), "item_id", "k", 3, 0.1).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @P.add(f"""WITH {_ENTRIES} SELECT id, CASE WHEN contains(text, 'Licensed') THEN 'creator_marker' WHEN kind = 'transcript' THEN 'creator_speech' WHEN coalesce(kept, 0) = 1 THEN 'clip_details' WHEN coalesce(exported, 0) = 1 THEN 'chat_activity' ELSE 'related_meaning' END AS reason,
@@ -191,11 +188,13 @@ def content_fingerprints(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", st.fingerprint(F.col("lang"), F.col("source"), F.col("text")).alias("fingerprint"))
 
 
-@P.add(f"""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS c, regexp_extract_all(lower(text), '{TOKEN.replace("'", "''")}') AS w FROM documents)
-SELECT doc_id, length(c)::INT AS n_clean, left(array_to_string(w, ' '), 240) AS phrase, len(w)::INT AS n_words, trim(regexp_replace(regexp_replace(translate(upper(replace(left(c, 80), 'ß', 'ss')), '|!', 'II'), '[^A-Z0-9# ]+', ' ', 'g'), ' +', ' ', 'g')) AS screen FROM n""")
+@P.add(f"""WITH n AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS c, regexp_extract_all(lower(text), '{TOKEN.replace("'", "''")}') AS w FROM documents),
+s AS (SELECT *, trim(regexp_replace(regexp_replace(translate(upper(replace(c, 'ß', 'ss')), '|!', 'II'), '[^A-Z0-9# ]+', ' ', 'g'), ' +', ' ', 'g')) AS screen FROM n)
+SELECT doc_id, length(c)::INT AS n_clean, sha256(array_to_string(w, ' ')) AS phrase, len(w)::INT AS n_words, sha256(screen) AS screen, length(screen)::INT AS n_screen FROM s""")
 def normalised_texts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("c", st.clean(F.col("text")))
-    return d.select("doc_id", F.length("c").alias("n_clean"), st.phrase_text(F.col("text")).alias("phrase"), F.size(st.tokens(F.col("text"))).alias("n_words"), st.screen_text(F.left("c", F.lit(80))).alias("screen"))
+    """Whole texts cleaned, as words, and as a screen would be read; the long ones as digests."""
+    d = table(spark, sf_dir, "documents").withColumn("c", st.clean(F.col("text"))).withColumn("s", st.screen_text(F.col("c")))
+    return d.select("doc_id", F.length("c").alias("n_clean"), F.sha2(st.phrase_text(F.col("text"), None), 256).alias("phrase"), F.size(st.tokens(F.col("text"))).alias("n_words"), F.sha2("s", 256).alias("screen"), F.length("s").alias("n_screen"))
 
 
 QUERIES, ORACLE = P.queries, P.oracle

@@ -158,6 +158,19 @@ def uncovered_seconds(spark, sf_dir):
     return intervals.subtract_spans(a, b, ["user_id"]).groupBy("user_id").agg(F.round(F.sum(F.col("end") - F.col("start")), 2).alias("seconds"))
 
 
+@P.add(f"""WITH {_CL},
+edges AS (SELECT user_id, c_start AS t FROM c UNION SELECT user_id, c_end FROM c UNION SELECT user_id, l_start FROM l UNION SELECT user_id, l_end FROM l),
+parts AS (SELECT user_id, t AS a, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS b FROM edges),
+free AS (SELECT p.* FROM parts p WHERE b IS NOT NULL AND EXISTS (SELECT 1 FROM c WHERE c.user_id = p.user_id AND c_start <= a AND c_end >= b) AND NOT EXISTS (SELECT 1 FROM l WHERE l.user_id = p.user_id AND l_start <= a AND l_end >= b)),
+runs AS (SELECT *, sum(CASE WHEN a = before THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY a) AS run FROM (SELECT *, lag(b) OVER (PARTITION BY user_id ORDER BY a) AS before FROM free))
+SELECT user_id, round(min(a), 3) AS start, round(max(b), 3) AS "end" FROM runs GROUP BY user_id, run HAVING max(b) - min(a) >= 6000""")
+def uncovered_ranges(spark, sf_dir):
+    """The stretches of clips that no line covers, those of some length."""
+    a = _spans(spark, sf_dir, *CLIPS).select("user_id", F.col("c_start").alias("start"), F.col("c_end").alias("end"))
+    b = _spans(spark, sf_dir, *LINES).select("user_id", F.col("l_start").alias("start"), F.col("l_end").alias("end"))
+    return intervals.subtract_spans(a, b, ["user_id"], min_length=6000.0).select("user_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
 @P.add(f"""WITH {_CL}, g AS (SELECT user_id, c_id, c_start, c_value, row_number() OVER (PARTITION BY user_id, floor(c_start / 200000) ORDER BY c_value DESC, c_id) AS r FROM c)
 SELECT user_id, c_id FROM g WHERE r <= 2""")
 def best_per_bin(spark, sf_dir):
@@ -190,9 +203,9 @@ def clock_texts(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", times.clock(F.col("s")).alias("clock"))
 
 
-@P.add("""SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS first, strftime(last_day(o_orderdate), '%Y-%m-%d') AS last, strftime(date_trunc('month', o_orderdate) - INTERVAL 1 MONTH, '%Y-%m-%d') AS previous, monthname(o_orderdate) AS month, strftime(o_orderdate - INTERVAL 6 DAY, '%Y-%m-%d') AS week_ago FROM orders WHERE o_orderkey % 10 = 0""")
+@P.add("""SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS first, strftime(last_day(o_orderdate), '%Y-%m-%d') AS last, strftime(date_trunc('month', o_orderdate) - INTERVAL 1 MONTH, '%Y-%m-%d') AS previous, monthname(o_orderdate) AS month, strftime(o_orderdate - INTERVAL 6 DAY, '%Y-%m-%d') AS week_ago FROM orders""")
 def date_windows(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").withColumn("d", F.to_date("o_orderdate"))
+    o = table(spark, sf_dir, "orders").withColumn("d", F.to_date("o_orderdate"))
     first, last = times.month_bounds(F.col("d"))
     previous, _ = times.month_bounds(F.col("d"), -1)
     ago, _ = times.rolling_bounds(F.col("d"), 7)
