@@ -181,18 +181,25 @@ def cosine_top(vectors: DataFrame, id_: str, vector: str, query: list[float], k:
     return scored.where(F.col("score") > floor).orderBy(F.desc("score"), "id").limit(k)
 
 
-def hashed_counts(docs: DataFrame, id_: str, terms: Column) -> DataFrame:
-    """id, feature and value: 1 + ln(tf) of terms hashed by CRC-32 into FEATURES."""
-    x = docs.select(F.col(id_).alias("id"), F.explode(terms).alias("term")).groupBy("id", (F.crc32("term") % FEATURES).alias("feature")).agg(F.count("*").alias("tf"))
+def crc_bucket(term: Column) -> Column:
+    return F.crc32(term) % FEATURES
+
+
+def hashed_counts(docs: DataFrame, id_: str, terms: Column, bucket=crc_bucket) -> DataFrame:
+    """id, feature and value: 1 + ln(tf) of terms hashed into FEATURES buckets. Texts are dealt by id once; all that follows by id needs no further shuffle."""
+    dealt = docs.select(F.col(id_).alias("id"), terms.alias("terms")).repartition("id")
+    x = dealt.select("id", F.explode("terms").alias("term")).groupBy("id", bucket(F.col("term")).alias("feature")).agg(F.count("*").alias("tf"))
     return x.select("id", "feature", (1 + F.log("tf")).alias("value"))
 
 
 def tf_idf(counts: DataFrame, n: DataFrame) -> DataFrame:
-    """Values times ln((1 + n) / (1 + df)) + 1, over each row's length; n: one row with column n."""
-    df = counts.groupBy("feature").agg(F.count("*").alias("df"))
-    x = counts.join(df, "feature").join(F.broadcast(n.limit(1)), F.lit(True)).withColumn("value", F.col("value") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = x.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    return x.join(norm, "id").select("id", "feature", (F.col("value") / F.col("norm")).alias("value"))
+    """Values times ln((1 + n) / (1 + df)) + 1, over each row's length; n: a frame with the number of documents in its column n, of which the greatest counts.
+    Document frequencies are at most FEATURES rows, so they are broadcast."""
+    df = counts.groupBy("feature").agg(F.count("*").alias("df")).join(F.broadcast(n.agg(F.max("n").alias("n"))), F.lit(True))
+    idf = df.select("feature", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    x = counts.join(F.broadcast(idf), "feature").withColumn("value", F.col("value") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(W.partitionBy("id")))
+    return x.select("id", "feature", (F.col("value") / norm).alias("value"))
 
 
 def neighbours(rows: DataFrame, keys: list[str], index: str, text: str, reach: int, out: str, by_value: bool = True) -> DataFrame:

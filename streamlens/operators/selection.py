@@ -1,15 +1,22 @@
-"""Ordered greedy selection per recording: interval suppression, decks, groups.
+"""Ordered greedy selection per recording: interval suppression, compilations, matches, long arcs, boxes.
 
-The greedy rules depend on what was chosen before, so each recording's candidates (some hundreds) are
-handled in order by one function over a pandas group; scores and gates come in as columns.
+Where a greedy rule depends on what was chosen before, rows are first cut into islands that cannot touch each other, so a group is one
+stretch of a recording; what counts over a whole recording (a ceiling) is settled between two such passes.
 """
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from streamlens.operators.intervals import islands, points_in
+
+
+#: Stretches of one recording that are walked in one call.
+ISLANDS = 256
+
 
 def _overlap(a: tuple[float, float], b: tuple[float, float]) -> float:
     shorter = min(a[1] - a[0], b[1] - b[0])
@@ -22,37 +29,50 @@ def suppress(df: DataFrame, keys: list[str], limit: float = 0.30, near_gap: floa
     In order of score (then id): gated rows are out; a row that covers more than limit of the shorter of itself and a
     chosen one is suppressed; one within near_gap of a chosen one is merged into it while the union stays
     within near_span; beyond the ceiling rows are overflow. Merging widens the chosen row.
+
+    A chosen row never grows beyond the rows within near_gap of it, so stretches further apart are walked each for itself: once without the
+    ceiling, to find the place in the recording's order where it is reached, and once with that place known.
     """
+    names = [*keys, "id", "start", "end", "score", "passes"]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*keys, "id"]), "start double", "end double", "score double", "disposition string", "rank int"])
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*keys, "id"]), "start double", "end double", "score double", "passes boolean", "island bigint", "place int", "disposition string"])
+    x = df.select(*keys, "id", F.col("start").cast("double"), F.col("end").cast("double"), F.col("score").cast("double"), "passes")
+    reach = F.max("end").over(W.partitionBy(*keys).orderBy("start", "end", "id").rowsBetween(W.unboundedPreceding, -1))
+    x = islands(x, keys, ["start", "end", "id"], reach.isNull() | (F.col("start") - reach > near_gap))
+    x = x.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "id")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["island", "place"]).reset_index(drop=True)
         chosen: list[list[float]] = []
-        said, rank = [], []
-        spans = list(zip(pdf["start"].astype(float), pdf["end"].astype(float), strict=True))
-        for span, ok in zip(spans, pdf["passes"], strict=True):
-            r = None
+        said, now = [], None
+        for start, end, ok, place, last, island in pdf[["start", "end", "passes", "place", "last", "island"]].itertuples(index=False):
+            span = (start, end)
+            if island != now:
+                now, chosen = island, []
             if not ok:
                 said.append("gated")
             elif any(_overlap(span, (c[0], c[1])) > limit for c in chosen):
                 said.append("suppressed")
             else:
-                near = next((c for c in chosen if max(span[0] - c[1], c[0] - span[1]) <= near_gap and max(span[1], c[1]) - min(span[0], c[0]) <= near_span), None)
+                near = next((c for c in chosen if max(start - c[1], c[0] - end) <= near_gap and max(end, c[1]) - min(start, c[0]) <= near_span), None)
                 if near is not None:
-                    near[0], near[1] = min(near[0], span[0]), max(near[1], span[1])
+                    near[0], near[1] = min(near[0], start), max(near[1], end)
                     said.append("merged")
-                elif len(chosen) >= ceiling:
+                elif place > last:
                     said.append("overflow")
                 else:
                     chosen.append([*span])
-                    r = len(chosen)
                     said.append("selected")
-            rank.append(r)
-        pdf["disposition"], pdf["rank"] = said, pd.array(rank, dtype="Int32")
-        return pdf[[*keys, "id", "start", "end", "score", "disposition", "rank"]]
+        return pdf[[*names, "island", "place"]].assign(disposition=said)
 
-    return df.select(*keys, "id", F.col("start").cast("double"), F.col("end").cast("double"), F.col("score").cast("double"), "passes").groupBy(*keys).applyInPandas(run, schema)
+    # many short stretches share one call; a long recording has many calls
+    walk = lambda rows: rows.groupBy(*keys, F.floor(F.col("island") / ISLANDS)).applyInPandas(run, schema)
+    open_ = walk(x.withColumn("last", F.lit((1 << 31) - 1)))
+    nth = F.row_number().over(W.partitionBy(*keys, F.col("disposition") == "selected").orderBy("place"))
+    last = open_.withColumn("nth", nth).where((F.col("disposition") == "selected") & (F.col("nth") == ceiling)).select(*keys, F.col("place").alias("last"))
+    done = walk(x.join(last, keys, "left").withColumn("last", F.coalesce("last", F.lit((1 << 31) - 1))))
+    rank = F.when(F.col("disposition") == "selected", F.row_number().over(W.partitionBy(*keys, F.col("disposition") == "selected").orderBy("place")))
+    return done.select(*keys, "id", "start", "end", "score", "disposition", rank.alias("rank"))
 
 
 def diverse_top(df: DataFrame, keys: list[str], per_source: int, max_overlap: float, seconds: float) -> DataFrame:
@@ -88,40 +108,25 @@ def sessionise(df: DataFrame, keys: list[str], max_gap: float = 300.0, min_momen
     """Matches of a recording from moments (keys, t, kind): a match ends with a win or terminal moment, before a lobby moment, or after
     max_gap; matches of fewer moments join the match before them when it is open.
 
-    Gives keys, match, start, end, n, wins, outcome and confidence.
+    Gives keys, match, start, end, n, eliminations, outcome and confidence. Where a match begins depends on neighbouring moments only, and whether it
+    joins the one before on that one's last moment, so everything is windows over the recording.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "match int", "start double", "end double", "n int", "eliminations int", "outcome string", "confidence string"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[tuple[float, str]]] = []
-        closed = True
-        for t, kind in pdf.sort_values(["t", "kind"])[["t", "kind"]].itertuples(index=False):
-            if kind == "lobby":
-                closed = True
-                continue
-            if closed or (groups and t - groups[-1][-1][0] > max_gap):
-                groups.append([])
-            groups[-1].append((float(t), kind))
-            closed = kind in ("win", "terminal")
-        folded: list[list[tuple[float, str]]] = []
-        for g in groups:
-            if folded and len(g) < min_moments and folded[-1][-1][1] not in ("win", "terminal"):
-                folded[-1] += g
-            else:
-                folded.append(list(g))
-        rows = []
-        for i, g in enumerate(folded):
-            kills = sum(k == "elimination" for _, k in g)
-            outcome = next((k for _, k in g if k in ("win", "terminal")), None)
-            level = "high" if outcome == "win" and kills >= 3 else "medium" if outcome or kills >= 3 else "low"
-            level = "low" if outcome == "win" and not kills else level
-            if level == "high" and g[-1][0] - g[0][0] > 1500:
-                level = "medium"
-            rows.append((*(pdf[k].iloc[0] for k in keys), i + 1, g[0][0], g[-1][0], len(g), kills, outcome, level))
-        return pd.DataFrame(rows, columns=[*keys, "match", "start", "end", "n", "eliminations", "outcome", "confidence"])
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    final = F.col("kind").isin("win", "terminal")
+    w = W.partitionBy(*keys).orderBy("t", "kind")
+    x = df.withColumn("t", F.col("t").cast("double")).withColumn("__lobbies", F.sum((F.col("kind") == "lobby").cast("int")).over(w)).where("kind <> 'lobby'")
+    begins = lambda o: F.lag(final).over(o) | (F.col("t") - F.lag("t").over(o) > max_gap) | (F.col("__lobbies") != F.lag("__lobbies").over(o))
+    x = islands(x, keys, ["t", "kind"], begins, "__group")
+    groups = x.groupBy(*keys, "__group").agg(F.count("*").alias("n"), F.max(final).alias("closed"))
+    g = W.partitionBy(*keys).orderBy("__group")
+    joins = (F.col("n") < min_moments) & ~F.lag("closed").over(g)
+    match = groups.select(*keys, "__group", F.sum(F.when(joins, 0).otherwise(1)).over(g).cast("int").alias("match"))
+    m = x.join(match, [*keys, "__group"]).groupBy(*keys, "match").agg(
+        F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").cast("int").alias("n"), F.count_if(F.col("kind") == "elimination").cast("int").alias("eliminations"),
+        F.min_by(F.when(final, F.col("kind")), F.when(final, F.struct("t", "kind"))).alias("outcome"),
+    )
+    kills, won = F.col("eliminations"), F.col("outcome") == "win"
+    level = F.when(won & (kills == 0), "low").when(won & (kills >= 3), F.when(F.col("end") - F.col("start") > 1500, "medium").otherwise("high")).when(F.col("outcome").isNotNull() | (kills >= 3), "medium").otherwise("low")
+    return m.withColumn("confidence", level)
 
 
 def split_long(df: DataFrame, keys: list[str], curve: DataFrame, max_span: float = 90.0) -> DataFrame:
@@ -143,9 +148,14 @@ def split_long(df: DataFrame, keys: list[str], curve: DataFrame, max_span: float
                 continue
             cut = float(inner.loc[inner["value"].idxmin(), "t"])
             todo += [(a, cut), (cut, b)]
-        return pd.DataFrame([(*key, a, b) for a, b in sorted(out)], columns=[*keys, "start", "end"])
-
-    return df.groupBy(*keys).cogroup(curve.groupBy(*keys)).applyInPandas(run, schema)
+        return pd.DataFrame([(*key[: len(keys)], a, b) for a, b in sorted(out)], columns=[*keys, "start", "end"])
+
+    # arcs are cut each for itself: every long arc is a group with the curve inside it, and short ones stay as they are
+    long_ = df.where(F.col("end") - F.col("start") > max_span).select(*keys, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    inner = points_in(curve.select(*keys, "t", "value"), long_.select(*keys, F.col("start").alias("a"), F.col("end").alias("b")), keys, "t", ("a", "b"), 0.0, 4 * max_span)
+    inner = inner.select(*[F.col(k).alias(f"__{k}") for k in keys], "a", "b", "t", "value")
+    cut = long_.groupBy(*keys, "start", "end").cogroup(inner.groupBy(*[f"__{k}" for k in keys], "a", "b")).applyInPandas(run, schema)
+    return df.where(F.col("end") - F.col("start") <= max_span).select(*keys, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")).unionByName(cut)
 
 
 def cluster_boxes(df: DataFrame, keys: list[str], min_iou: float = 0.5) -> DataFrame:

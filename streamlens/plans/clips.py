@@ -159,31 +159,57 @@ def gate_funnel(spark, sf_dir):
     return _gated(spark, sf_dir).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@P.add()
+_DECK = "start - 30000 * (id % 3)"
+
+
+@P.add(f"""WITH RECURSIVE {_CANDIDATES}, r AS (SELECT user_id, id, {_DECK} AS a, "end" + 20000 * (id % 4) AS b, round(score, 9) AS score, len(reasons) = 0 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, id) AS i FROM gated),
+k AS (SELECT user_id, i, id, a, b, score, CASE WHEN ok THEN 'selected' ELSE 'gated' END AS disposition, CASE WHEN ok THEN [{{'a': a, 'b': b}}] ELSE [] END AS kept FROM r WHERE i = 1
+ UNION ALL SELECT user_id, i, id, a, b, score, disposition,
+   CASE disposition WHEN 'selected' THEN list_append(kept, {{'a': a, 'b': b}}) WHEN 'merged' THEN list_transform(kept, lambda x, j: CASE WHEN j = place THEN {{'a': least(x.a, a), 'b': greatest(x.b, b)}} ELSE x END) ELSE kept END AS kept
+   FROM (SELECT r.user_id, r.i, r.id, r.a, r.b, r.score, kept, list_position(list_transform(kept, lambda x: greatest(r.a - x.b, x.a - r.b) <= 20000 AND greatest(r.b, x.b) - least(r.a, x.a) <= 150000), TRUE) AS place,
+     CASE WHEN NOT ok THEN 'gated' WHEN len(list_filter(kept, lambda x: greatest(0, least(r.b, x.b) - greatest(r.a, x.a)) / least(r.b - r.a, x.b - x.a) > 0.3)) > 0 THEN 'suppressed'
+       WHEN len(list_filter(kept, lambda x: greatest(r.a - x.b, x.a - r.b) <= 20000 AND greatest(r.b, x.b) - least(r.a, x.a) <= 150000)) > 0 THEN 'merged' WHEN len(kept) >= 4 THEN 'overflow' ELSE 'selected' END AS disposition
+     FROM k JOIN r ON r.user_id = k.user_id AND r.i = k.i + 1))
+SELECT user_id, id, disposition, CASE WHEN disposition = 'selected' THEN row_number() OVER (PARTITION BY user_id, disposition = 'selected' ORDER BY i) END::INT AS rank FROM k""")
 def deck_selection(spark, sf_dir):
-    g = _gated(spark, sf_dir).select("user_id", "id", "start", "end", F.col("signal_score").alias("score"), (F.size("reasons") == 0).alias("passes"))
-    return selection.suppress(g, ["user_id"], near_gap=12.0, near_span=60.0, ceiling=15)
+    """Decks of wide windows: gates, suppression, merging of neighbours and a ceiling, over the score."""
+    g = _gated(spark, sf_dir).select("user_id", "id", F.expr(_DECK).alias("start"), (F.col("end") + 20000 * (F.col("id") % 4)).alias("end"), F.round("signal_score", 9).alias("score"), (F.size("reasons") == 0).alias("passes"))
+    return selection.suppress(g, ["user_id"], near_gap=20000.0, near_span=150000.0, ceiling=4).select("user_id", "id", "disposition", "rank")
 
 
-@P.add()
+@P.add(f"""WITH RECURSIVE {_CANDIDATES}, r AS (SELECT user_id % 20 AS project, id, user_id::VARCHAR AS source, 'clip ' || (id % 200) AS title, start AS a, "end" AS b, row_number() OVER (PARTITION BY user_id % 20 ORDER BY peak_value DESC, id) AS i FROM cand),
+k AS (SELECT project, i, TRUE AS ok, id, source, a, [{{'s': source, 't': title, 'a': a, 'b': b}}] AS kept, b - a AS used FROM r WHERE i = 1
+ UNION ALL SELECT project, i, ok, id, source, a, CASE WHEN ok THEN list_append(kept, {{'s': source, 't': title, 'a': a, 'b': b}}) ELSE kept END, CASE WHEN ok THEN used + (b - a) ELSE used END
+ FROM (SELECT r.*, kept, used, len(list_filter(kept, lambda x: x.s = r.source)) < 3 AND len(list_filter(kept, lambda x: x.t = r.title)) = 0 AND used + (r.b - r.a) <= 600 AND len(list_filter(kept, lambda x: x.s = r.source AND greatest(0, least(r.b, x.b) - greatest(r.a, x.a)) / least(r.b - r.a, x.b - x.a) >= 0.55)) = 0 AS ok
+   FROM k JOIN r ON r.project = k.project AND r.i = k.i + 1))
+SELECT project, id, (row_number() OVER (PARTITION BY project ORDER BY source, a, id) - 1)::INT AS position FROM k WHERE ok""")
 def diverse_compilation(spark, sf_dir):
     c = _candidates(spark, sf_dir)
     rows = c.select(F.pmod("user_id", F.lit(20)).alias("project"), "id", F.col("user_id").cast("string").alias("source"), F.concat(F.lit("clip "), (F.col("id") % 200).cast("string")).alias("title"), "start", "end", F.lit(None).cast("int").alias("rank"), F.col("peak_value").alias("score"))
     return selection.diverse_top(rows, ["project"], 3, 0.55, 600.0)
 
 
-@P.add()
+@P.add(f"""WITH m AS (SELECT user_id, {SECONDS} AS t, CASE event_type WHEN 'purchase' THEN 'elimination' WHEN 'signup' THEN 'win' WHEN 'error' THEN 'lobby' ELSE 'event' END AS kind FROM events), l AS (SELECT *, sum((kind = 'lobby')::INT) OVER (PARTITION BY user_id ORDER BY t, kind) AS lobbies FROM m),
+b AS (SELECT *, CASE WHEN lag(kind) OVER o = 'win' OR t - lag(t) OVER o > 86400 OR lobbies <> lag(lobbies) OVER o OR lag(t) OVER o IS NULL THEN 1 ELSE 0 END AS fresh FROM l WHERE kind <> 'lobby' WINDOW o AS (PARTITION BY user_id ORDER BY t, kind)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, kind) AS g FROM b),
+n AS (SELECT user_id, g, count(*) AS n, bool_or(kind = 'win') AS closed FROM g GROUP BY 1, 2), j AS (SELECT user_id, g, sum(CASE WHEN n < 2 AND NOT coalesce(before, TRUE) THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY g) AS m FROM (SELECT *, lag(closed) OVER (PARTITION BY user_id ORDER BY g) AS before FROM n)),
+x AS (SELECT g.user_id, j.m, min(t) AS a, max(t) AS b, count(*) AS n, count(*) FILTER (kind = 'elimination') AS kills, bool_or(kind = 'win') AS won FROM g JOIN j ON j.user_id = g.user_id AND j.g = g.g GROUP BY 1, 2)
+SELECT user_id, m::INT AS match, round(a, 3)::DOUBLE AS start, round(b, 3)::DOUBLE AS "end", n::INT AS n, kills::INT AS eliminations, CASE WHEN won THEN 'win' END AS outcome, CASE WHEN won AND kills = 0 THEN 'low' WHEN won AND kills >= 3 THEN CASE WHEN b - a > 1500 THEN 'medium' ELSE 'high' END WHEN won OR kills >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM x""")
 def match_segments(spark, sf_dir):
     kind = F.when(F.col("event_type") == "purchase", "elimination").when(F.col("event_type") == "signup", "win").when(F.col("event_type") == "error", "lobby").otherwise("event")
     m = events(spark, sf_dir).select("user_id", F.col("s").alias("t"), kind.alias("kind"))
-    return selection.sessionise(m, ["user_id"], 86400.0)
+    return selection.sessionise(m, ["user_id"], 86400.0).select("user_id", "match", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "n", "eliminations", "outcome", "confidence")
 
 
-@P.add()
+@P.add(f"""WITH RECURSIVE e AS (SELECT user_id, {SECONDS} AS t, value FROM events), o AS (SELECT user_id, t AS a, t + 30000 AS b, max(t + 30000) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a) AS run FROM o), s AS (SELECT user_id, min(a) AS a, max(b) AS b FROM g GROUP BY user_id, run),
+k AS (SELECT user_id, a, b, 0 AS depth, b - a <= 90000 AS done FROM s UNION ALL
+ SELECT user_id, CASE side WHEN 0 THEN a ELSE cut END, CASE side WHEN 0 THEN coalesce(cut, b) ELSE b END, depth + 1, cut IS NULL OR CASE side WHEN 0 THEN cut - a ELSE b - cut END <= 90000
+ FROM (SELECT k.user_id, k.a, k.b, depth, arg_min(e.t, (e.value, e.t)) AS cut FROM k LEFT JOIN e ON e.user_id = k.user_id AND e.t > k.a AND e.t < k.b WHERE NOT done GROUP BY ALL) x, (SELECT unnest([0, 1]) AS side) y WHERE cut IS NOT NULL OR side = 0)
+SELECT user_id, round(a, 3)::DOUBLE AS start, round(b, 3)::DOUBLE AS "end" FROM k WHERE done""")
 def split_arcs(spark, sf_dir):
     e = events(spark, sf_dir)
-    spans = intervals.merge_spans(e.select("user_id", F.col("s").alias("start"), (F.col("s") + 30000).alias("end")), ["user_id"], "start", "end", 0.0)
-    return selection.split_long(spans, ["user_id"], e.select("user_id", F.col("s").alias("t"), "value"), 90000.0)
+    arcs = intervals.merge_spans(e.select("user_id", F.col("s").alias("start"), (F.col("s") + 30000).alias("end")), ["user_id"], "start", "end", 0.0)
+    return selection.split_long(arcs, ["user_id"], e.select("user_id", F.col("s").alias("t"), "value"), 90000.0).select("user_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
 # decisions and state

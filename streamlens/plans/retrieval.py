@@ -148,10 +148,14 @@ def idf_norms(spark, sf_dir):
     return x.groupBy("id").agg(F.count("*").alias("n_terms"), F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 4).alias("norm"))
 
 
-@P.add()
+@P.add(f"""WITH w AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '{TOKEN.replace("'", "''")}'), lambda x: x NOT IN ('the', 'de') AND length(x) > 1) AS w FROM documents),
+t AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '::' || w[i + 1]))) AS term FROM w), c AS (SELECT id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 32768 AS feature, 1 + ln(count(*)) AS v FROM t GROUP BY 1, 2),
+d AS (SELECT feature, count(*) AS df FROM c GROUP BY 1), x AS (SELECT id, v * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS v FROM c JOIN d USING (feature)), n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM x GROUP BY 1)
+SELECT x.id, count(*)::BIGINT AS n_features, round(max(v / norm), 6)::DOUBLE AS top, round(sum(v / norm * v / norm), 6)::DOUBLE AS length FROM x JOIN n ON n.id = x.id GROUP BY x.id""")
 def hashed_vectors(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    x = search.tf_idf(search.hashed_counts(d, "doc_id", st.terms(F.col("text"), ["the", "de"])), d.agg(F.count("*").alias("n")))
+    bucket = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % search.FEATURES
+    x = search.tf_idf(search.hashed_counts(d, "doc_id", st.terms(F.col("text"), ["the", "de"]), bucket), d.agg(F.count("*").alias("n")))
     return x.groupBy("id").agg(F.count("*").alias("n_features"), F.round(F.max("value"), 6).alias("top"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("length"))
 
 
