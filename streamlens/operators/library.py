@@ -101,3 +101,59 @@ def resolve(references: DataFrame, entries: DataFrame, exact: list[str], loose:
     one = entries.groupBy(*loose).agg(F.count("*").alias("__n"), F.min(id_).alias("__loose")).where("__n = 1").drop("__n")
     hit = entries.groupBy(*exact).agg(F.min(id_).alias("__exact"))
     return references.join(hit, exact, "left").join(one, loose, "left").withColumn("resolved", F.coalesce("__exact", "__loose")).drop("__exact", "__loose")
+
+
+def effective_date(source_date: Column, created_at: Column) -> Column:
+    """The date of a recording: its own, else the day it was taken in (of an ISO text)."""
+    return F.coalesce(source_date, F.left(created_at, F.lit(10)))
+
+
+def availability(rows: DataFrame, key: str, local: DataFrame, restorable: DataFrame, out: str) -> DataFrame:
+    """local, restorable or gone by the key's presence in two tables of that key."""
+    a, b = local.select(key).distinct().withColumn("__l", F.lit(True)), restorable.select(key).distinct().withColumn("__r", F.lit(True))
+    x = rows.join(a, key, "left").join(b, key, "left")
+    return x.withColumn(out, F.when(F.col("__l"), "local").when(F.col("__r"), "restorable").otherwise("gone")).drop("__l", "__r")
+
+
+def with_active(rows: DataFrame, key: str, running: DataFrame, out: str) -> DataFrame:
+    """Whether any running row has the key."""
+    a = running.where(F.col(key).isNotNull()).select(F.col(key).alias("__k")).distinct()
+    return rows.join(a, F.col(key) == F.col("__k"), "left").withColumn(out, F.col("__k").isNotNull()).drop("__k")
+
+
+def retract(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows without those taken back; what was decided before them counts again."""
+    return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def reorder(items: DataFrame, wanted: list, id_: str, position: str) -> DataFrame:
+    """Items in the wanted order; every item must be named exactly once."""
+    have = sorted(r[0] for r in items.select(id_).limit(len(wanted) + 1).collect())
+    if have != sorted(wanted):
+        raise ValueError("the order must name every item once")
+    place = F.create_map(*[F.lit(x) for i, w in enumerate(wanted) for x in (w, i)])
+    return items.withColumn(position, place[F.col(id_)])
+
+
+def stratified_latest(rows: DataFrame, label: str, id_: str, newest: list[str], pool: int, each: int, seed: str) -> DataFrame:
+    """Of the newest pool rows so many of each label, by a seeded hash of the id."""
+    latest_ = rows.orderBy(*[F.desc(c) for c in newest]).limit(pool)
+    k = F.row_number().over(W.partitionBy(label).orderBy(F.md5(F.concat(F.lit(seed + "|"), F.col(id_).cast("string"))), id_))
+    return latest_.withColumn("__k", k).where(F.col("__k") <= each).drop("__k")
+
+
+def revision(content: Column) -> Column:
+    """A mark of a table's contents as an aggregate: the sum of a digest of every row, so no order and no single place is needed."""
+    return F.sum(F.conv(F.left(F.sha2(content, 256), F.lit(12)), 16, 10).cast("long") % 1000003)
+
+
+def region_plan(markers: DataFrame, anchors: DataFrame, keys: list[str], before: float, after: float, gap: float, longest: float) -> DataFrame:
+    """keys, start, end and n of the stretches that markers ask for. markers: keys, event_id, wall and own (their own position, may be null); anchors: keys, anchor, wall_a and stream.
+    A marker without a position takes that of the nearest anchor in wall time (the smaller anchor of equals), moved by the difference; what falls outside the recording is left out."""
+    from streamlens.operators.intervals import merge_spans, nearest
+
+    near = nearest(markers, anchors, keys, "wall", "wall_a", "anchor")
+    t = F.coalesce("own", F.col("stream") + (F.col("wall") - F.col("wall_a")))
+    x = near.withColumn("t", t).where((F.col("t") >= 0) & (F.col("t") <= longest))
+    spans = x.select(*keys, F.greatest(F.lit(0.0), F.col("t") - before).alias("start"), F.least(F.col("t") + after, F.lit(longest + after)).alias("end"))
+    return merge_spans(spans, keys, "start", "end", gap, F.count("*").alias("n"))
