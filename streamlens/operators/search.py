@@ -187,7 +187,8 @@ def crc_bucket(term: Column) -> Column:
 
 def hashed_counts(docs: DataFrame, id_: str, terms: Column, bucket=crc_bucket) -> DataFrame:
     """id, feature and value: 1 + ln(tf) of terms hashed into FEATURES buckets. Texts are dealt by id once; all that follows by id needs no further shuffle."""
-    dealt = docs.select(F.col(id_).alias("id"), terms.alias("terms")).repartition("id")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that it stays: texts are small, what becomes of them is not
+    dealt = docs.withColumnRenamed(id_, "id").repartition(n, "id").select("id", terms.alias("terms"))
     x = dealt.select("id", F.explode("terms").alias("term")).groupBy("id", bucket(F.col("term")).alias("feature")).agg(F.count("*").alias("tf"))
     return x.select("id", "feature", (1 + F.log("tf")).alias("value"))
 

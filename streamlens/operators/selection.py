@@ -6,6 +6,9 @@ stretch of a recording; what counts over a whole recording (a ceiling) is settle
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from streamlens.operators.intervals import islands, points_in
 
 
-#: Stretches of one recording that are walked in one call.
+#: Neighbouring stretches of one recording that go to one partition.
 ISLANDS = 256
 
 
@@ -41,32 +44,33 @@ def suppress(df: DataFrame, keys: list[str], limit: float = 0.30, near_gap: floa
     x = islands(x, keys, ["start", "end", "id"], reach.isNull() | (F.col("start") - reach > near_gap))
     x = x.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "id")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["island", "place"]).reset_index(drop=True)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chosen: list[list[float]] = []
-        said, now = [], None
-        for start, end, ok, place, last, island in pdf[["start", "end", "passes", "place", "last", "island"]].itertuples(index=False):
-            span = (start, end)
-            if island != now:
-                now, chosen = island, []
-            if not ok:
-                said.append("gated")
-            elif any(_overlap(span, (c[0], c[1])) > limit for c in chosen):
-                said.append("suppressed")
-            else:
-                near = next((c for c in chosen if max(start - c[1], c[0] - end) <= near_gap and max(end, c[1]) - min(start, c[0]) <= near_span), None)
-                if near is not None:
-                    near[0], near[1] = min(near[0], start), max(near[1], end)
-                    said.append("merged")
-                elif place > last:
-                    said.append("overflow")
+        now = None
+        for pdf in batches:
+            said = []
+            for row in pdf[[*keys, "island", "start", "end", "passes", "place", "last"]].itertuples(index=False, name=None):
+                own, (start, end, ok, place, last) = row[:-5], row[-5:]
+                if own != now:
+                    now, chosen = own, []
+                if not ok:
+                    said.append("gated")
+                elif any(_overlap((start, end), (c[0], c[1])) > limit for c in chosen):
+                    said.append("suppressed")
                 else:
-                    chosen.append([*span])
-                    said.append("selected")
-        return pdf[[*names, "island", "place"]].assign(disposition=said)
-
-    # many short stretches share one call; a long recording has many calls
-    walk = lambda rows: rows.groupBy(*keys, F.floor(F.col("island") / ISLANDS)).applyInPandas(run, schema)
+                    near = next((c for c in chosen if max(start - c[1], c[0] - end) <= near_gap and max(end, c[1]) - min(start, c[0]) <= near_span), None)
+                    if near is not None:
+                        near[0], near[1] = min(near[0], start), max(near[1], end)
+                        said.append("merged")
+                    elif place > last:
+                        said.append("overflow")
+                    else:
+                        chosen.append([start, end])
+                        said.append("selected")
+            yield pdf[[*names, "island", "place"]].assign(disposition=said)
+
+    # rows stream by stretch and place; only the chosen spans of the stretch at hand are held
+    walk = lambda rows: rows.repartition(*keys, F.floor(F.col("island") / ISLANDS)).sortWithinPartitions(*keys, "island", "place").mapInPandas(run, schema)
     open_ = walk(x.withColumn("last", F.lit((1 << 31) - 1)))
     nth = F.row_number().over(W.partitionBy(*keys, F.col("disposition") == "selected").orderBy("place"))
     last = open_.withColumn("nth", nth).where((F.col("disposition") == "selected") & (F.col("nth") == ceiling)).select(*keys, F.col("place").alias("last"))
@@ -137,25 +141,45 @@ def split_long(df: DataFrame, keys: list[str], curve: DataFrame, max_span: float
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "start double", "end double"])
 
-    def run(key: tuple, arcs: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out = pdf.sort_values("t"), []
-        todo = [(float(a), float(b)) for a, b in arcs[["start", "end"]].itertuples(index=False)]
+    def cut(a: float, b: float, t: np.ndarray, value: np.ndarray) -> list[tuple[float, float]]:
+        todo, out = [(a, b)], []
         while todo:
             a, b = todo.pop()
-            inner = pdf[(pdf["t"] > a) & (pdf["t"] < b)]
-            if b - a <= max_span or inner.empty:
+            lo, hi = np.searchsorted(t, a, side="right"), np.searchsorted(t, b, side="left")
+            if b - a <= max_span or hi <= lo:
                 out.append((a, b))
-                continue
-            cut = float(inner.loc[inner["value"].idxmin(), "t"])
-            todo += [(a, cut), (cut, b)]
-        return pd.DataFrame([(*key[: len(keys)], a, b) for a, b in sorted(out)], columns=[*keys, "start", "end"])
-
-    # arcs are cut each for itself: every long arc is a group with the curve inside it, and short ones stay as they are
-    long_ = df.where(F.col("end") - F.col("start") > max_span).select(*keys, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
-    inner = points_in(curve.select(*keys, "t", "value"), long_.select(*keys, F.col("start").alias("a"), F.col("end").alias("b")), keys, "t", ("a", "b"), 0.0, 4 * max_span)
-    inner = inner.select(*[F.col(k).alias(f"__{k}") for k in keys], "a", "b", "t", "value")
-    cut = long_.groupBy(*keys, "start", "end").cogroup(inner.groupBy(*[f"__{k}" for k in keys], "a", "b")).applyInPandas(run, schema)
-    return df.where(F.col("end") - F.col("start") <= max_span).select(*keys, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")).unionByName(cut)
+            else:
+                at = float(t[lo + int(np.argmin(value[lo:hi]))])
+                todo += [(a, at), (at, b)]
+        return sorted(out)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, parts = None, []
+
+        def done() -> list[tuple]:
+            rows = pd.concat(parts)
+            rows = rows[rows["t"].notna()]
+            return [(*now[: len(keys)], a, b) for a, b in cut(now[-2], now[-1], rows["t"].to_numpy(), rows["value"].to_numpy())]
+
+        for pdf in batches:
+            out = []
+            for own, rows in pdf.groupby([*keys, "start", "end"], sort=False):
+                if own != now and parts:
+                    out += done()
+                    parts = []
+                now = own
+                parts.append(rows[["t", "value"]])
+            yield pd.DataFrame(out, columns=[*keys, "start", "end"])
+        if parts:
+            yield pd.DataFrame(done(), columns=[*keys, "start", "end"])
+
+    # short arcs stay as they are; the others stream by with the curve inside them in order of time, one arc at hand
+    arcs = df.select(*keys, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    long_ = arcs.where(F.col("end") - F.col("start") > max_span)
+    inner = points_in(curve.select(*keys, F.col("t").cast("double").alias("t"), F.col("value").cast("double").alias("value")), long_.select(*keys, F.col("start").alias("a"), F.col("end").alias("b")), keys, "t", ("a", "b"), 0.0, 4 * max_span)
+    rows = inner.select(*keys, F.col("a").alias("start"), F.col("b").alias("end"), "t", "value").unionByName(long_.select(*keys, "start", "end", F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("value")))
+    rows = rows.repartition(*keys, "start").sortWithinPartitions(*keys, "start", "end", "t", "value")
+    return arcs.where(F.col("end") - F.col("start") <= max_span).unionByName(rows.mapInPandas(run, schema))
 
 
 def cluster_boxes(df: DataFrame, keys: list[str], min_iou: float = 0.5) -> DataFrame:
