@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamlens.llm import licenses, lines, media, mixing, neardup, packing, quality, repeats, sequences, topk
+from streamlens.llm import exact, licenses, lines, media, middle, mixing, neardup, packing, quality, repeats, sequences, spelling, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,9 +96,37 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+#: Occurrences that op11_spelling takes as slips of the pen: those whose draw this divides.
+OP11_NOISE = 97
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), noise=OP11_NOISE)
+
+
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicate_groups(_table(spark, sf_dir, "documents"))
+
+
+_OP12_SQL = """
+WITH keyed AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
+FROM keyed WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+
+def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.fill_in_middle(_table(spark, sf_dir, "documents")).drop("output")
+
+
+_OP13_SQL = f"SELECT doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256 FROM ({middle.statement('documents')})"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": _OP8_SQL, "op10_topk": _OP10_SQL}
+    return {"op8_mixing": _OP8_SQL, "op10_topk": _OP10_SQL, "op12_exact": _OP12_SQL, "op13_middle": _OP13_SQL}
