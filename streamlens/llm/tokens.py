@@ -3,7 +3,9 @@
 The tokenizers used here lower-case texts, drop white space and never join tokens across it, nor
 between a letter and an ASCII character that is neither letter nor apostrophe. A text is
 cut at those places, and the ids of its pieces, one after another, are its ids; a test
-holds this against encoding whole texts. Special tokens' strings are kept whole.
+holds this against encoding whole texts. Pieces of ASCII are lower-cased beforehand, to share one cache entry; others
+are encoded as they stand, because the tokenizer composes a letter with the marks behind it before it lower-cases.
+Special tokens' strings are kept whole.
 """
 
 from __future__ import annotations
@@ -61,6 +63,12 @@ def pieces(column: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray,
     cut[w.start] = False
     at = np.flatnonzero(cut)
     start, end = np.sort(np.concatenate([w.start, at])), np.sort(np.concatenate([w.end, at]))
+    beyond = np.concatenate([[0], np.cumsum(data >= 0x80)])
+    whole = np.flatnonzero(beyond[end] > beyond[start])  # pieces that are not ASCII keep their bytes
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[start[whole]] += 1
+    inside[end[whole]] -= 1
+    low = np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, data, low)
     hashes = tx.substring_hash(tx.rolling(low.astype(np.uint16) + 1), start, end)
     return low.tobytes(), start, end, hashes, np.searchsorted(start, w.offsets)
 

@@ -69,3 +69,15 @@ def test_blocks_cover_all_rows_and_sliced_arrays():
     assert sum(p.num_rows for p in parts) == 4
     w = [tx.words(p.column("t")).counts.tolist() for p in parts]
     assert sum(map(sum, w)) == 2
+
+
+def test_letters_with_every_combining_mark():
+    """Marks compose with a letter before it is lower-cased; a few capitals have no composed form where the small letter has one."""
+    encode, whole = tokens.tokenizer(tokens.vocabulary_path()), _whole(tokens.vocabulary_path())
+    letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250))]
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    texts = [a + m for a in letters for m in marks] + [f".{a}{m}{n} ok" for a in letters[:52] for m in marks[:16] for n in marks[:16:3]] + ["T\u0308 W\u030a ok"]
+    for k in range(0, len(texts), 10_000):
+        flat, offset = encode.ids(pa.array(texts[k : k + 10_000]))
+        want = whole.encode_batch(texts[k : k + 10_000], add_special_tokens=False)
+        assert [flat[offset[i] : offset[i + 1]].tolist() for i in range(len(want))] == [e.ids for e in want]
