@@ -83,20 +83,29 @@ def judged_window(start: Column, end: Column, prepared_start: Column, prepared_e
     return F.when(F.coalesce(fine, F.lit(False)), F.struct(F.greatest(F.lit(0.0), prepared_start).alias("start"), prepared_end.alias("end"))).otherwise(F.struct(a.alias("start"), b.alias("end")))
 
 
-def sample_times(start: Column, end: Column, peak: Column, witness: Column, anchor: Column, count: int = 6) -> Column:
-    """Times at which to look at a window: just inside it, spread over it, twice around the peak, once at the witnessed or expected banner; in order, at least .05 apart."""
+#: Where the looks at a window fall: role, its slot among count looks, and whether it needs a time of its own. Of roles in one slot the first counts.
+LOOKS = [("banner", lambda n: min(n - 1, n // 2 + 1)), ("peak", lambda n: n // 2), ("approach", lambda n: max(1, n // 2 - 1)), ("opening", lambda n: 0)]
+
+
+def look_times(start: Column, end: Column, peak: Column, witness: Column, expected: Column, count: int = 6) -> Column:
+    """array of (t, role) at which to look at a window, in order of time and .05 apart: its opening, the approach to the peak, the peak, the banner (witnessed, or a second after
+    the event it is expected for) when it lies inside, and slots spread evenly. count is held to 2..8; with two looks there are only opening and peak."""
+    n = max(2, min(8, count))
     length = end - start
-    at = F.when(peak.between(start, end), peak).otherwise(start + length * 0.55)
-    seen = F.coalesce(witness, anchor + 1.0)
-    raw = [start + F.least(F.lit(0.5), length * 0.05), *[start + length * ((i + 1) / count) for i in range(count - 1)]]
-    middle = count // 2
-    raw[max(1, middle - 1)] = at - F.least(F.lit(1.0), length * 0.08)
-    raw[middle] = at
-    k = min(len(raw) - 1, middle + 1)
-    raw[k] = F.when(seen.between(start, end), seen).otherwise(raw[k])
-    low, high = start + F.least(F.lit(0.15), length * 0.02), end - F.least(F.lit(0.15), length * 0.02)
-    ordered = F.array_sort(F.array(*[F.round(F.greatest(low, F.least(high, t)), 3) for t in raw]))
-    return F.aggregate(ordered, F.array().cast("array<double>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.try_element_at(acc, F.lit(-1)) >= 0.05), F.array_append(acc, t)).otherwise(acc))
+    centre = F.when(peak.between(start, end), peak).otherwise(start + length * 0.55)
+    shown = F.coalesce(witness, expected + 1.0)
+    inset = lambda most, part: F.least(F.lit(most), length * part)
+    when = {"opening": start + (F.lit(0.5) if n == 2 else inset(0.5, 0.05)), "peak": centre, "approach": centre - inset(1.0, 0.08), "banner": F.when(shown.between(start, end), shown)}
+    roles = [(r, slot(n)) for r, slot in LOOKS if n > 2 or r in ("opening", "peak")]
+    held = lambda t: F.round(F.greatest(start + inset(0.15, 0.02), F.least(end - inset(0.15, 0.02), t)), 3)
+
+    def look(slot: int) -> Column:
+        own = [F.when(when[r].isNotNull(), F.struct(held(when[r]).alias("t"), F.lit(r).alias("role"))) for r, s in roles if s == slot]
+        return F.coalesce(*own, F.struct(held(start + length * (slot / n)).alias("t"), F.lit("spread").alias("role")))
+
+    looks = F.array_sort(F.array(*[look(k) for k in range(n)]))
+    apart = lambda kept, x: F.when(F.exists(kept, lambda k: x["t"] - k["t"] < 0.05), kept).otherwise(F.array_append(kept, x))
+    return F.aggregate(looks, F.array().cast("array<struct<t:double,role:string>>"), apart)
 
 
 def speech_windows(start: Column, end: Column, length: Column, width: float = 1.5, hop: float = 0.75, least: float = 1.0) -> Column:

@@ -141,12 +141,14 @@ def thin(df: DataFrame, keys: list[str], t: str, min_gap: float) -> DataFrame:
     return times.select(*keys, F.explode(kept).alias(t))
 
 
-def bounded_merge(df: DataFrame, keys: list[str], start: str, end: str, max_gap: float, max_span: float) -> DataFrame:
+def bounded_merge(df: DataFrame, keys: list[str], start: str, end: str, max_gap: float, max_span: float, cut: bool = False) -> DataFrame:
     """Union with a gap, where a region that would grow beyond max_span is closed and a new one begun; in order of start.
+    With cut, an interval that is itself longer than max_span is first cut to it.
 
     No region reaches over a gap wider than max_gap after the furthest end so far: what lies between such gaps is folded by itself.
     """
     x = df.select(*keys, F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"))
+    x = x.withColumn("e", F.least("e", F.col("s") + max_span)) if cut else x
     reach = F.max("e").over(W.partitionBy(*keys).orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1))
     runs = islands(x, keys, ["s", "e"], reach.isNull() | (F.col("s") - reach > max_gap), "__run")
     spans = runs.groupBy(*keys, "__run").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("__x"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from streamlens.functions.intervals import overlap, overlap_of_shorter
 from streamlens.functions.structures import labels
-from streamlens.operators.intervals import bounded_merge, islands, merge_spans, points_in, range_join
+from streamlens.operators.intervals import islands, merge_spans, points_in, range_join
 
 
 def matching_candidate(entries: DataFrame, candidates: DataFrame, keys: list[str], reach: float = 4.0, bucket: float = 60.0) -> DataFrame:
@@ -110,19 +113,51 @@ def best_window(windows: DataFrame, candidates: DataFrame, keys: list[str], cove
 
 
 def priority_regions(first: DataFrame, others: DataFrame, keys: list[str], budget: float, gap: float = 12.0, longest: float = 180.0) -> DataFrame:
-    """keys, start and end: the first regions, merged, and of the others in order of time those that the budget of seconds still holds (at least the first ones' seconds).
+    """keys, start and end: the first regions, merged under a gap and a bound, and of the others, in order of start, each that keeps the seconds of the union
+    within the budget (at least the first ones' own); one that does not fit is left out and the next is tried. A recording without first regions keeps its others as they are.
 
-    others: keys, start, end. The seconds that an other region adds are those the first ones do not cover; a region is taken when these still fit.
+    Rows stream by recording; a task holds the regions chosen so far of one recording, whose seconds the budget bounds.
     """
-    base = bounded_merge(first, keys, "start", "end", gap, longest)
-    spent = base.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("spent"))
-    o = merge_spans(others, keys, "start", "end", 0.0).withColumn("id", F.monotonically_increasing_id())
-    cut = range_join(o.select(*keys, "id", F.col("start").alias("a"), F.col("end").alias("b")), base.select(*keys, F.col("start").alias("c"), F.col("end").alias("d")), keys, ("a", "b"), ("c", "d"), 0.0, longest)
-    covered = cut.groupBy(*keys, "a", "b").agg(F.sum(overlap(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).alias("covered")).withColumnsRenamed({"a": "start", "b": "end"})
-    x = o.drop("id").join(covered, [*keys, "start", "end"], "left").join(spent, keys, "left").withColumn("adds", F.col("end") - F.col("start") - F.coalesce("covered", F.lit(0.0)))
-    total = F.sum("adds").over(W.partitionBy(*keys).orderBy("start", "end"))
-    fits = x.withColumn("total", total).where(F.coalesce("spent", F.lit(0.0)) + F.col("total") <= F.greatest(F.lit(budget), F.coalesce("spent", F.lit(0.0))))
-    return merge_spans(base.unionByName(fits.select(*keys, "start", "end")), keys, "start", "end", 0.0)
+    spans = lambda df, kind: df.select(*keys, F.lit(kind).alias("kind"), F.greatest(F.lit(0.0), F.col("start").cast("double")).alias("start"), F.col("end").cast("double").alias("end")).where("end > start")
+    kinds = {f.name: f.dataType.simpleString() for f in first.schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "start double", "end double"])
+
+    def union(regions: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        out: list[tuple[float, float]] = []
+        for a, b in sorted(regions):
+            b = min(b, a + longest)
+            if out and a <= out[-1][1] + gap and max(b, out[-1][1]) - out[-1][0] <= longest:
+                a, b = out[-1][0], max(b, out.pop()[1])
+            out.append((a, b))
+        return out
+
+    def finished(own: tuple | None, chosen: list[tuple[float, float]], room: float | None) -> list[tuple]:
+        return [(*own, *x) for x in (union(chosen) if room is None else chosen)] if own is not None else []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, chosen, room = None, [], None
+        for pdf in batches:
+            done = []
+            for row in pdf[[*keys, "kind", "start", "end"]].itertuples(index=False, name=None):
+                own, (kind, a, b) = row[:-3], row[-3:]
+                if own != now:
+                    done += finished(now, chosen, room)
+                    now, chosen, room = own, [], None
+                if kind == 0:
+                    chosen.append((a, b))
+                elif not chosen:
+                    done.append((*own, a, b))
+                else:
+                    if room is None:
+                        chosen = union(chosen)
+                        room = max(budget, sum(d - c for c, d in chosen))
+                    tried = union([*chosen, (a, b)])
+                    chosen = tried if sum(d - c for c, d in tried) <= room + 1e-6 else chosen
+            yield pd.DataFrame(done, columns=[*keys, "start", "end"])
+        yield pd.DataFrame(finished(now, chosen, room), columns=[*keys, "start", "end"])
+
+    rows = spans(first, 0).unionByName(spans(others, 1))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "kind", "start", "end").mapInPandas(run, schema)
 
 
 def content_shape(candidates: DataFrame, keys: list[str]) -> DataFrame:

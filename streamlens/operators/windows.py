@@ -24,20 +24,28 @@ DENSE = ["elimination", "knock", "terminal_win"]
 def window_statistics(windows: DataFrame, frames: DataFrame, keys: list[str], hook: float = 5.0, quiet: float = 0.15, bucket: float = 60.0) -> DataFrame:
     """id and what the frames inside each window (ends included) say: means and maxima of channels (faces only where present), reaction before and from
     the pivot, share of quiet frames, channels that take part, and the opening's energy, burst and chat. windows: keys, id, start, end and pivot;
-    frames: keys, t, score, present, game_evidence, game_audio, loud_onset, startle and the CHANNELS. A window without frames has zeros and is all dead air."""
+    frames: keys, t, score, present, game_evidence, game_audio, loud_onset, startle and the CHANNELS. A window without frames has zeros and is all dead air.
+
+    Only channels that are active in a recording (above 0 in some frame; voice always) take part, and agreement is the share of these that do."""
     j = points_in(frames, windows, keys, "t", ("start", "end"), 0.0, bucket)
     face = F.when(F.col("present"), F.col("face"))
-    joins = {c: F.max((F.coalesce(face if c == "face" else F.col(c), F.lit(0.0)) >= level).cast("int")) for c, level in CHANNELS.items()}
+    level = lambda c: F.coalesce(face if c == "face" else F.col(c), F.lit(0.0))
+    joins = {c: F.max((level(c) >= least).cast("int")) for c, least in CHANNELS.items()}
+    on = {c: F.lit(1) if c == "voice" else F.max((level(c) > 0).cast("int")) for c in CHANNELS}
+    active = frames.groupBy(*keys).agg(*[x.alias(f"on_{c}") for c, x in on.items()])
     opening = F.col("t") <= F.col("start") + hook
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     stats = j.groupBy("id").agg(
         zero(F.avg(face)).alias("face"), zero(F.max(face)).alias("face_max"), *[F.avg(c).alias(c) for c in ("voice", "speech", "chat", "motion")], *[F.max(c).alias(c) for c in ("burst", "loud_onset", "startle", "game_audio")], F.max("game_evidence").alias("game"),
         zero(F.avg(F.when(F.col("t") < F.col("pivot"), F.col("score")))).alias("lead"), zero(F.avg(F.when(F.col("t") >= F.col("pivot"), F.col("score")))).alias("settle"),
-        F.avg(((F.col("score") < quiet) & (F.col("game_evidence") <= 0)).cast("double")).alias("dead_air"), sum(joins.values()).cast("int").alias("modalities"),
+        F.avg(((F.col("score") < quiet) & (F.col("game_evidence") <= 0)).cast("double")).alias("dead_air"), *[x.alias(f"in_{c}") for c, x in joins.items()],
         zero(F.avg(F.when(opening, F.greatest("score", F.lit(0.0))))).alias("hook_energy"), zero(F.max(F.when(opening, F.col("burst")))).alias("hook_burst"), zero(F.max(F.when(opening, F.col("chat")))).alias("hook_chat"), F.sum("score").alias("auc"),
     )
-    out = windows.select("id").join(stats, "id", "left")
-    return out.select("id", *[F.coalesce(c, F.lit(1.0 if c == "dead_air" else 0 if c == "modalities" else 0.0)).alias(c) for c in stats.columns if c != "id"])
+    out = windows.select("id", *keys).join(stats, "id", "left").join(active, keys, "left")
+    taking = sum(F.coalesce(F.col(f"in_{c}") * F.col(f"on_{c}"), F.lit(0)) for c in CHANNELS)
+    share = F.coalesce(taking / sum(F.col(f"on_{c}") for c in CHANNELS), F.lit(0.0))
+    plain = [c for c in stats.columns if c != "id" and not c.startswith("in_")]
+    return out.select("id", *[F.coalesce(c, F.lit(1.0 if c == "dead_air" else 0.0)).alias(c) for c in plain], taking.cast("int").alias("modalities"), share.alias("agreement"))
 
 
 def face_context(windows: DataFrame, faces: DataFrame, keys: list[str], floor: float = 0.40, share: float = 0.99, radius: float = 30.0, gap: float = 1.5, bucket: float = 60.0) -> DataFrame:

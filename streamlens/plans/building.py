@@ -27,6 +27,11 @@ WINDOW = [("user_id", "user_id"), ("id", "event_id"), ("start", "s - 40000"), ("
 _FW = f"f AS (SELECT {sql_columns(FRAME)} FROM {EVENTS_SQL}), w AS (SELECT {sql_columns(WINDOW)} FROM {EVENTS_SQL} WHERE event_type = 'purchase')"
 
 
+#: The same frames, where some recordings have no chat and others no motion track.
+PART_FRAME = [(n, {"chat": f"CASE WHEN user_id % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE {e} END", "motion": f"CASE WHEN user_id % 4 = 1 THEN CAST(0 AS DOUBLE) ELSE {e} END"}.get(n, e)) for n, e in FRAME]
+_PART_FW = f"f AS (SELECT {sql_columns(PART_FRAME)} FROM {EVENTS_SQL}), w AS (SELECT {sql_columns(WINDOW)} FROM {EVENTS_SQL} WHERE event_type = 'purchase')"
+
+
 def _frames(spark, sf_dir):
     return events(spark, sf_dir).select(*spark_columns([(n, e if e != "0.0" else e) for n, e in FRAME])).withColumn("game_evidence", F.col("game_evidence").cast("double")).withColumn("pitch", F.col("pitch").cast("double"))
 
@@ -36,17 +41,20 @@ def _windows(spark, sf_dir):
 
 
 _STATS = ["face", "face_max", "voice", "speech", "chat", "motion", "burst", "loud_onset", "startle", "game_audio", "game", "lead", "settle", "dead_air", "hook_energy", "hook_burst", "hook_chat", "auc"]
+_ON = {"face": "present AND face > 0", "voice": "TRUE", "speech": "speech > 0", "burst": "burst > 0", "chat": "chat > 0", "motion": "motion > 0"}
 
 
-@P.add(f"""WITH {_FW}, j AS (SELECT w.id, w.start, w."pivot", f.* EXCLUDE (id, user_id) FROM w JOIN f ON f.user_id = w.user_id AND t BETWEEN w.start AND w."end"),
+@P.add(f"""WITH {_PART_FW}, j AS (SELECT w.id, w.start, w."pivot", f.* EXCLUDE (id, user_id) FROM w JOIN f ON f.user_id = w.user_id AND t BETWEEN w.start AND w."end"),
 s AS (SELECT id, coalesce(avg(face) FILTER (present), 0) AS face, coalesce(max(face) FILTER (present), 0) AS face_max, avg(voice) AS voice, avg(speech) AS speech, avg(chat) AS chat, avg(motion) AS motion, max(burst) AS burst, max(loud_onset) AS loud_onset, max(startle) AS startle, max(game_audio) AS game_audio,
   max(game_evidence) AS game, coalesce(avg(score) FILTER (t < "pivot"), 0) AS lead, coalesce(avg(score) FILTER (t >= "pivot"), 0) AS settle, avg((score < 0.15 AND game_evidence <= 0)::INT) AS dead_air,
-  max((present AND face >= 0.12)::INT) + max((voice >= 0.25)::INT) + max((speech >= 0.2)::INT) + max((burst >= 0.12)::INT) + max((chat >= 2.5)::INT) + max((motion >= 0.18)::INT) AS modalities,
-  coalesce(avg(greatest(score, 0)) FILTER (t <= start + 30000), 0) AS hook_energy, coalesce(max(burst) FILTER (t <= start + 30000), 0) AS hook_burst, coalesce(max(chat) FILTER (t <= start + 30000), 0) AS hook_chat, sum(score) AS auc FROM j GROUP BY id)
-SELECT w.id, coalesce(modalities, 0)::INT AS modalities, {", ".join(f"round(coalesce(s.{c}, {1 if c == 'dead_air' else 0}) + 1e-9, 5)::DOUBLE AS {c}" for c in _STATS)} FROM w LEFT JOIN s ON s.id = w.id""")
+  max((present AND face >= 0.12)::INT) AS in_face, max((voice >= 0.25)::INT) AS in_voice, max((speech >= 0.2)::INT) AS in_speech, max((burst >= 0.12)::INT) AS in_burst, max((chat >= 2.5)::INT) AS in_chat, max((motion >= 0.18)::INT) AS in_motion,
+  coalesce(avg(greatest(score, 0)) FILTER (t <= start + 30000), 0) AS hook_energy, coalesce(max(burst) FILTER (t <= start + 30000), 0) AS hook_burst, coalesce(max(chat) FILTER (t <= start + 30000), 0) AS hook_chat, sum(score) AS auc FROM j GROUP BY id),
+a AS (SELECT user_id, {", ".join(f"max(({x})::INT) AS on_{c}" for c, x in _ON.items())} FROM f GROUP BY 1), n AS (SELECT w.id, {" + ".join(f"coalesce(in_{c} * on_{c}, 0)" for c in _ON)} AS taking, {" + ".join(f"on_{c}" for c in _ON)} AS active FROM w JOIN a USING (user_id) LEFT JOIN s ON s.id = w.id)
+SELECT w.id, taking::INT AS modalities, round(taking / active::DOUBLE, 6) AS agreement, {", ".join(f"round(coalesce(s.{c}, {1 if c == 'dead_air' else 0}) + 1e-9, 5)::DOUBLE AS {c}" for c in _STATS)} FROM w JOIN n ON n.id = w.id LEFT JOIN s ON s.id = w.id""")
 def window_statistics(spark, sf_dir):
-    x = win.window_statistics(_windows(spark, sf_dir), _frames(spark, sf_dir).drop("id"), ["user_id"], 30000.0, 0.15, 100000.0)
-    return x.select("id", "modalities", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in _STATS])
+    frames = events(spark, sf_dir).select(*spark_columns(PART_FRAME)).drop("id").withColumn("game_evidence", F.col("game_evidence").cast("double"))
+    x = win.window_statistics(_windows(spark, sf_dir), frames, ["user_id"], 30000.0, 0.15, 100000.0)
+    return x.select("id", "modalities", F.round("agreement", 6).alias("agreement"), *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in _STATS])
 
 
 @P.add(f"""WITH {_FW}, p AS (SELECT * FROM f WHERE present), u AS (SELECT user_id, quantile_cont(face, 0.99) AS p99, quantile_cont(face, 0.5) AS middle FROM p GROUP BY 1),

@@ -126,12 +126,13 @@ def face_rescues(spark, sf_dir):
     return editorial.face_spike_events(x, ["user_id"], "peak", 86400.0, 3).select("user_id", F.round("peak", 3).alias("peak"))
 
 
-@P.add(f"""WITH {_CANDIDATES}, t AS (SELECT user_id, anchor AS t, row_number() OVER (PARTITION BY user_id ORDER BY anchor) AS i FROM evidence WHERE is_event)
-SELECT c.user_id, c.id, (SELECT count(*) FROM t WHERE t.user_id = c.user_id AND abs(t.t - c.peak) <= 172800)::BIGINT AS n, (SELECT count(*) FROM t WHERE t.user_id = c.user_id AND abs(t.t - c.peak) <= 172800) >= 4 AS rich FROM evidence c""")
+@P.add(f"""WITH RECURSIVE {_CANDIDATES}, t AS (SELECT user_id, anchor AS t, row_number() OVER (PARTITION BY user_id ORDER BY anchor) AS i FROM evidence WHERE is_event AND NOT win),
+k AS (SELECT user_id, i, t AS kept, t FROM t WHERE i = 1 UNION ALL SELECT t.user_id, t.i, CASE WHEN t.t - k.kept > 50000 THEN t.t ELSE k.kept END, t.t FROM k JOIN t ON t.user_id = k.user_id AND t.i = k.i + 1), m AS (SELECT user_id, t FROM k WHERE t = kept),
+n AS (SELECT c.user_id, c.id, (SELECT count(*) FROM m WHERE m.user_id = c.user_id AND abs(m.t - c.peak) <= 172800)::BIGINT AS n FROM evidence c) SELECT *, n >= 4 AS rich FROM n""")
 def event_rich_spans(spark, sf_dir):
-    """How many events stand around each candidate's peak, and whether that makes its surroundings rich in events."""
-    c = _candidates(spark, sf_dir)
-    marks = c.where("game_label IS NOT NULL").select("user_id", F.col("anchor").alias("t"))
+    """How many distinct events (after thinning, without wins that were only seen) stand around each candidate's peak, and whether that makes its surroundings rich in events."""
+    c = editorial.with_evidence(candidates.with_score(_candidates(spark, sf_dir)))
+    marks = intervals.thin(c.where("is_event AND NOT visual_win").select("user_id", F.col("anchor").alias("t")), ["user_id"], "t", 50000.0)
     spans = c.select("user_id", "id", (F.col("peak") - 172800.0).alias("lo"), (F.col("peak") + 172800.0).alias("hi"))
     n = intervals.points_in(marks, spans, ["user_id"], "t", ("lo", "hi"), 0.0, 345600.0).groupBy("id").agg(F.count("*").alias("n"))
     return c.select("user_id", "id").join(n, "id", "left").select("user_id", "id", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) >= 4).alias("rich"))

@@ -182,13 +182,18 @@ def game_segments(spark, sf_dir):
     return x.select("user_id", F.round(F.col("start").cast("double"), 3).alias("start"), F.round(F.col("end").cast("double"), 3).alias("end"), "game")
 
 
-@P.add(f"""WITH RECURSIVE {spans._sql(*spans.CLIPS)}, {spans._sql(*spans.LINES)}, t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c_start, c_end) AS i FROM c),
-k AS (SELECT user_id, i, c_start AS a, c_end AS b, 1 AS region FROM t WHERE i = 1 UNION ALL SELECT t.user_id, t.i, CASE WHEN t.c_start - k.b <= 3600 AND greatest(k.b, t.c_end) - k.a <= 90000 THEN k.a ELSE t.c_start END, CASE WHEN t.c_start - k.b <= 3600 AND greatest(k.b, t.c_end) - k.a <= 90000 THEN greatest(k.b, t.c_end) ELSE t.c_end END,
-  CASE WHEN t.c_start - k.b <= 3600 AND greatest(k.b, t.c_end) - k.a <= 90000 THEN k.region ELSE k.region + 1 END FROM k JOIN t ON t.user_id = k.user_id AND t.i = k.i + 1), base AS (SELECT user_id, max(a) AS a, max(b) AS b FROM k GROUP BY user_id, region), spent AS (SELECT user_id, sum(b - a) AS spent FROM base GROUP BY 1),
-lo AS (SELECT *, max(l_end) OVER (PARTITION BY user_id ORDER BY l_start, l_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM l), lr AS (SELECT *, sum((reach IS NULL OR l_start > reach)::INT) OVER (PARTITION BY user_id ORDER BY l_start, l_end) AS run FROM lo), o AS (SELECT user_id, min(l_start) AS a, max(l_end) AS b FROM lr GROUP BY user_id, run),
-x AS (SELECT o.user_id, o.a, o.b, o.b - o.a - coalesce((SELECT sum(greatest(0, least(o.b, base.b) - greatest(o.a, base.a))) FROM base WHERE base.user_id = o.user_id), 0) AS adds FROM o), y AS (SELECT x.*, coalesce(spent, 0) AS spent, sum(adds) OVER (PARTITION BY x.user_id ORDER BY a, b) AS total FROM x LEFT JOIN spent USING (user_id)),
-z AS (SELECT user_id, a, b FROM base UNION ALL SELECT user_id, a, b FROM y WHERE spent + total <= greatest(600000, spent)), zo AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM z), zr AS (SELECT *, sum((reach IS NULL OR a > reach)::INT) OVER (PARTITION BY user_id ORDER BY a, b) AS run FROM zo)
-SELECT user_id, round(min(a), 3)::DOUBLE AS start, round(max(b), 3)::DOUBLE AS "end" FROM zr GROUP BY user_id, run""")
+#: DuckDB: the union of a list of spans, in order of start, under a gap and a bound.
+_UNION = """list_reduce(list_transform(list_sort({x}), lambda v: [{{'a': v.a, 'b': least(v.b, v.a + 90000)}}]), lambda acc, v: CASE WHEN v[1].a <= acc[len(acc)].b + 3600 AND greatest(v[1].b, acc[len(acc)].b) - acc[len(acc)].a <= 90000
+  THEN list_append(acc[:len(acc) - 1], {{'a': acc[len(acc)].a, 'b': greatest(v[1].b, acc[len(acc)].b)}}) ELSE list_append(acc, v[1]) END)"""
+_LENGTH = "list_sum(list_transform({x}, lambda v: v.b - v.a))"
+
+
+@P.add(f"""WITH RECURSIVE {spans._sql(*spans.CLIPS)}, {spans._sql(*spans.LINES)}, f AS (SELECT user_id, list({{'a': c_start, 'b': c_end}}) AS x FROM c GROUP BY 1), base AS (SELECT user_id, {_UNION.format(x="x")} AS chosen FROM f),
+o AS (SELECT user_id, l_start AS a, l_end AS b, row_number() OVER (PARTITION BY user_id ORDER BY l_start, l_end) AS i FROM l),
+k AS (SELECT user_id, 0::BIGINT AS i, chosen, greatest(600000, {_LENGTH.format(x="chosen")}) AS room FROM base
+ UNION ALL SELECT user_id, i, CASE WHEN {_LENGTH.format(x="tried")} <= room + 1e-6 THEN tried ELSE chosen END, room FROM (SELECT o.user_id, o.i, k.chosen, k.room, {_UNION.format(x="list_append(k.chosen, {'a': o.a, 'b': o.b})")} AS tried FROM k JOIN o ON o.user_id = k.user_id AND o.i = k.i + 1)),
+d AS (SELECT user_id, arg_max(chosen, i) AS chosen FROM k GROUP BY 1), s AS (SELECT user_id, unnest(chosen) AS x FROM d)
+SELECT user_id, round(x.a, 3)::DOUBLE AS start, round(x.b, 3)::DOUBLE AS "end" FROM s UNION ALL SELECT user_id, round(a, 3), round(b, 3) FROM o WHERE user_id NOT IN (SELECT user_id FROM base)""")
 def priority_regions(spark, sf_dir):
     c = _C(spark, sf_dir).select("user_id", F.col("c_start").alias("start"), F.col("c_end").alias("end"))
     l = _L(spark, sf_dir).select("user_id", F.col("l_start").alias("start"), F.col("l_end").alias("end"))

@@ -62,18 +62,25 @@ def ranker_features(spark, sf_dir):
     return r.select("id", e(f["mean_intensity"], "mean"), f["game_tier"].alias("tier"), f["is_win"].alias("win"), e(f["peak_position"], "peak_place"), e(f["payoff_position"], "payoff_place"), f["moment_type"].alias("kind"), e(mo.display_score(f), "shown"), F.round(w["start"], 3).alias("judge_start"), F.round(w["end"].cast("double"), 3).alias("judge_end"))
 
 
-_TIMES = "list_transform([a0, a1, a2, a3, a4, a5], lambda v: round(greatest(start + least(0.15, d * 0.02), least(\"end\" - least(0.15, d * 0.02), v)), 3))"
-
-
-@P.add(f"""WITH r AS (SELECT event_id AS id, 0.0::DOUBLE AS start, CAST(1 + event_id % 70 AS DOUBLE) AS "end", CAST(event_id % 60 AS DOUBLE) + 0.3 AS peak, CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 40 AS DOUBLE) END AS witness, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 50 AS DOUBLE) END AS anchor FROM events), d AS (SELECT *, "end" - start AS d, coalesce(witness, anchor + 1) AS seen FROM r),
-p AS (SELECT *, CASE WHEN peak BETWEEN start AND "end" THEN peak ELSE start + d * 0.55 END AS pk FROM d), a AS (SELECT *, start + least(0.5, d * 0.05) AS a0, start + d / 6 AS a1, pk - least(1.0, d * 0.08) AS a2, pk AS a3, CASE WHEN seen BETWEEN start AND "end" THEN seen ELSE start + d * 4 / 6 END AS a4, start + d * 5 / 6 AS a5 FROM p),
-t AS (SELECT id, list_sort({_TIMES}) AS t FROM a), u AS (SELECT id, list_reduce(list_transform(t, lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[len(acc)] >= 0.05 THEN list_append(acc, x[1]) ELSE acc END) AS t FROM t)
-SELECT id, len(t)::INT AS n, t[1]::DOUBLE AS first, t[len(t)]::DOUBLE AS last FROM u""")
+_LOOKS = [2, 3, 6, 8]
+_LOOK = [("id", "event_id"), ("start", "floor(s) % 5000"), ("end", "floor(s) % 5000 + 1 + event_id % 70"), ("peak", "floor(s) % 5000 + user_id % 60 + 0.3"), ("witness", "CASE WHEN event_id % 5 = 0 THEN floor(s) % 5000 + value / 4 END"), ("expected", "CASE WHEN event_id % 3 = 0 THEN floor(s) % 5000 + user_id % 50 END")]
+
+
+@P.add(f"""WITH r AS (SELECT {sql_columns([(n, f"CAST({e} AS DOUBLE)" if n != "id" else e) for n, e in _LOOK])} FROM {EVENTS_SQL}), n AS (SELECT *, "end" - start AS d, coalesce(witness, expected + 1) AS shown, unnest({_LOOKS}) AS n FROM r),
+c AS (SELECT *, CASE WHEN peak BETWEEN start AND "end" THEN peak ELSE start + d * 0.55::DOUBLE END AS centre FROM n),
+k AS (SELECT *, unnest(range(0, n)) AS slot FROM c),
+w AS (SELECT *, CASE WHEN n > 2 AND slot = least(n - 1, n // 2 + 1) AND shown BETWEEN start AND "end" THEN 'banner' WHEN slot = n // 2 THEN 'peak' WHEN n > 2 AND slot = greatest(1, n // 2 - 1) THEN 'approach' WHEN slot = 0 THEN 'opening' ELSE 'spread' END AS role FROM k),
+t AS (SELECT id, n, role, round(greatest(start + least(0.15, d * 0.02::DOUBLE), least("end" - least(0.15, d * 0.02::DOUBLE),
+  CASE role WHEN 'banner' THEN shown WHEN 'peak' THEN centre WHEN 'approach' THEN centre - least(1.0, d * 0.08::DOUBLE) WHEN 'opening' THEN start + CASE WHEN n = 2 THEN 0.5 ELSE least(0.5, d * 0.05::DOUBLE) END ELSE start + d * (slot / n::DOUBLE) END)), 3)::DOUBLE AS t FROM w),
+l AS (SELECT id, n, list_sort(list({{'t': t, 'role': role}})) AS x FROM t GROUP BY 1, 2),
+u AS (SELECT id, n, list_reduce(list_transform(x, lambda v: [v]), lambda acc, v: CASE WHEN v[1].t - acc[len(acc)].t >= 0.05 THEN list_append(acc, v[1]) ELSE acc END) AS x FROM l),
+f AS (SELECT id, n, unnest(range(1, len(x) + 1)) AS place, x FROM u) SELECT id, n::INT AS looks, place::INT AS place, x[place].role AS role, x[place].t AS t FROM f""")
 def sampled_times(spark, sf_dir):
-    i = F.col("event_id")
-    r = table(spark, sf_dir, "events").select(i.alias("id"), F.lit(0.0).alias("start"), (1 + i % 70).cast("double").alias("end"), ((i % 60).cast("double") + 0.3).alias("peak"), F.when(i % 5 == 0, (i % 40).cast("double")).alias("witness"), F.when(i % 3 == 0, (i % 50).cast("double")).alias("anchor"))
-    x = mo.sample_times(*[F.col(c) for c in ("start", "end", "peak", "witness", "anchor")])
-    return r.select("id", x.alias("t")).select("id", F.size("t").alias("n"), F.element_at("t", 1).alias("first"), F.array_max("t").alias("last"))
+    """Every look at every window, for several numbers of looks."""
+    r = events(spark, sf_dir).select(*spark_columns([(n, f"CAST({e} AS DOUBLE)" if n != "id" else e) for n, e in _LOOK]))
+    args = [F.col(c) for c in ("start", "end", "peak", "witness", "expected")]
+    looks = F.array(*[F.struct(F.lit(n).alias("looks"), mo.look_times(*args, n).alias("x")) for n in _LOOKS])
+    return r.select("id", F.inline(looks)).select("id", "looks", F.posexplode("x").alias("place", "x")).select("id", "looks", (F.col("place") + 1).alias("place"), "x.role", "x.t")
 
 
 @P.add(f"""WITH r AS (SELECT event_id AS id, CAST(event_id % 90 AS DOUBLE) / 2 AS a, CAST(event_id % 90 AS DOUBLE) / 2 + CAST(event_id % 37 AS DOUBLE) / 8 AS b FROM events), n AS (SELECT *, b - a AS span, floor((b - a - 1.5 + 1e-6) / 0.75) + 1 AS n FROM r)

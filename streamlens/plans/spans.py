@@ -135,6 +135,19 @@ def bounded_regions(spark, sf_dir):
     return m.select("user_id", F.round("c_start", 3).alias("start"), F.round("c_end", 3).alias("end"))
 
 
+_CUT = "t.c_start - k.b <= 3600 AND greatest(k.b, t.c_end) - k.a <= 50000"
+
+
+@P.add(f"""WITH RECURSIVE {_sql(*CLIPS)}, t AS (SELECT user_id, c_start, least(c_end, c_start + 50000) AS c_end, row_number() OVER (PARTITION BY user_id ORDER BY c_start, least(c_end, c_start + 50000)) AS i FROM c),
+k AS (SELECT user_id, i, c_start AS a, c_end AS b, 1 AS region FROM t WHERE i = 1
+ UNION ALL SELECT t.user_id, t.i, CASE WHEN {_CUT} THEN k.a ELSE t.c_start END, CASE WHEN {_CUT} THEN greatest(k.b, t.c_end) ELSE t.c_end END, CASE WHEN {_CUT} THEN k.region ELSE k.region + 1 END FROM k JOIN t ON t.user_id = k.user_id AND t.i = k.i + 1)
+SELECT user_id, round(max(a), 3) AS start, round(max(b), 3) AS "end" FROM k GROUP BY user_id, region""")
+def cut_regions(spark, sf_dir):
+    """The same, where a span beyond the bound is cut to it before it is merged."""
+    m = intervals.bounded_merge(_spans(spark, sf_dir, *CLIPS), ["user_id"], "c_start", "c_end", 3600.0, 50000.0, cut=True)
+    return m.select("user_id", F.round("c_start", 3).alias("start"), F.round("c_end", 3).alias("end"))
+
+
 @P.add(f"""WITH RECURSIVE {_sql(*CLIPS)}, t AS (SELECT *, c_end - c_start AS len, row_number() OVER (PARTITION BY user_id ORDER BY c_value DESC, c_id) AS i FROM c),
 k AS (SELECT user_id, i, c_id, CASE WHEN len <= 120000 THEN len ELSE 0 END AS used, len <= 120000 AS kept, 0::DOUBLE AS before FROM t WHERE i = 1
  UNION ALL SELECT t.user_id, t.i, t.c_id, CASE WHEN k.used + len <= 120000 THEN k.used + len ELSE k.used END, k.used + len <= 120000, k.used FROM k JOIN t ON t.user_id = k.user_id AND t.i = k.i + 1)
