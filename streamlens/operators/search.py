@@ -203,6 +203,22 @@ def tf_idf(counts: DataFrame, n: DataFrame) -> DataFrame:
     return x.select("id", "feature", (F.col("value") / norm).alias("value"))
 
 
+def hashed_rows(docs: DataFrame, id_: str, terms: Column, bucket=crc_bucket) -> DataFrame:
+    """id and row (array of (feature, value), in order of feature) of hashed_counts: what follows works within rows. Texts without terms have none."""
+    return hashed_counts(docs, id_, terms, bucket).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("row"))
+
+
+def weighted_rows(rows: DataFrame, n: DataFrame, features: int = FEATURES) -> DataFrame:
+    """rows (written once: they are read twice) with tf_idf's values. Frequencies are one dense array of as many places as there are features, broadcast as a single row."""
+    df = rows.select(F.explode("row.feature").alias("feature")).groupBy("feature").agg(F.count("*").alias("df")).join(F.broadcast(n.agg(F.max("n").alias("n"))), F.lit(True))
+    idf = rows.sparkSession.range(features).select(F.col("id").alias("feature")).join(df.select("feature", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "feature", "left")
+    dense = idf.agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", F.coalesce("idf", F.lit(0.0)).alias("idf")))), lambda x: x["idf"]).alias("__idf"))
+    x = rows.join(F.broadcast(dense), F.lit(True))
+    scaled = F.transform("row", lambda v: F.struct(v["feature"].alias("feature"), (v["value"] * F.get("__idf", v["feature"].cast("int"))).alias("value")))
+    x = x.select("id", scaled.alias("row")).withColumn("__norm", F.sqrt(F.aggregate("row", F.lit(0.0), lambda s, v: s + v["value"] * v["value"])))
+    return x.select("id", F.transform("row", lambda v: F.struct(v["feature"].alias("feature"), (v["value"] / F.col("__norm")).alias("value"))).alias("row"))
+
+
 def neighbours(rows: DataFrame, keys: list[str], index: str, text: str, reach: int, out: str, by_value: bool = True) -> DataFrame:
     """The texts around a row in order: by distance of the index value, or by position."""
     w = W.partitionBy(*keys).orderBy(index)

@@ -12,6 +12,7 @@ from streamlens.functions import structures as su
 from streamlens.operators import search
 from streamlens.plans.base import Plans
 from streamlens.session import table
+from streamlens.shared import written
 
 P = Plans()
 TOKEN = r"[\p{L}\p{N}_']+"
@@ -155,8 +156,10 @@ SELECT x.id, count(*)::BIGINT AS n_features, round(max(v / norm), 6)::DOUBLE AS
 def hashed_vectors(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     bucket = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % search.FEATURES
-    x = search.tf_idf(search.hashed_counts(d, "doc_id", st.terms(F.col("text"), ["the", "de"]), bucket), d.agg(F.count("*").alias("n")))
-    return x.groupBy("id").agg(F.count("*").alias("n_features"), F.round(F.max("value"), 6).alias("top"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("length"))
+    rows = written(search.hashed_rows(d, "doc_id", st.terms(F.col("text"), ["the", "de"]), bucket), "rows")
+    x = search.weighted_rows(rows, d.agg(F.count("*").alias("n")))
+    length = F.aggregate("row", F.lit(0.0), lambda s, v: s + v["value"] * v["value"])
+    return x.select("id", F.size("row").cast("long").alias("n_features"), F.round(F.array_max("row.value"), 6).alias("top"), F.round(length, 6).alias("length"))
 
 
 @P.add(f"""WITH b AS (SELECT item_id, list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '{TOKEN.replace("'", "''")}'), lambda w: left(sha256(w), 8))))[1:24] AS k FROM benchmark)
