@@ -76,17 +76,19 @@ def _texts(values: list[str]) -> Column:
 def plan_filters(queries: DataFrame, text: str, today: Column, given: dict[str, str] | None = None) -> DataFrame:
     """queries with kind, decision, exported, origin, sort, month, date_from, date_to and rest (the words left over).
 
-    given: filters set beside the text; they win over the text's, whose words are taken out all the same.
+    given: filters and dates (yyyy-MM-dd) set beside the text; they win over the text's, whose words are taken out all the same. Of several months named the first rule's counts, and only its words go.
     """
     names = ["kind", "decision", "exported", "origin", "sort", "month"]
     given = given or {}
     df = queries.withColumn("rest", clean(F.col(text))).withColumns({n: F.lit(given.get(n)).cast("string") for n in names})
     for pattern, name, value in FILTERS:
         found = F.col("rest").rlike("(?i)" + pattern)
-        df = df.withColumns({name: F.when(found, F.coalesce(name, F.lit(value))).otherwise(F.col(name)), "rest": F.regexp_replace("rest", "(?i)" + pattern, " ")})
+        found = found & F.col("month").isNull() if name == "month" else found
+        df = df.withColumns({name: F.when(found, F.coalesce(name, F.lit(value))).otherwise(F.col(name)), "rest": F.when(found, F.regexp_replace("rest", "(?i)" + pattern, " ")).otherwise(F.col("rest"))})
     last, this = times.month_bounds(today, -1), times.month_bounds(today, 0)
     bound = lambda k: F.when(F.col("month") == "last", last[k]).when(F.col("month") == "this", this[k])
-    return df.withColumns({"rest": clean(F.col("rest")), "date_from": bound(0), "date_to": bound(1)})
+    dates = {n: F.coalesce(F.lit(given.get(n)).cast("date"), bound(k)) for k, n in enumerate(("date_from", "date_to"))}
+    return df.withColumns({"rest": clean(F.col("rest")), **dates})
 
 
 def plan_clauses(queries: DataFrame, text: str, marker: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from streamlens.functions.strings import tokens
+from streamlens.shared import written
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -69,22 +71,48 @@ def field_lengths(docs: DataFrame, id_: str, fields: dict[str, Column]) -> DataF
     return every.join(F.broadcast(stats), "field")
 
 
-def bm25(docs: DataFrame, id_: str, fields: dict[str, Column], weights: dict[str, float], query: list[str]) -> DataFrame:
-    """id and score (higher is better) of rows with any query word: BM25 per field, weighted and summed.
+def counted(docs: DataFrame, id_: str, fields: dict[str, Column], query: list[str], *keep: Column | str) -> DataFrame:
+    """id, the kept columns, and per field its length in words and how often each query word stands in it: one row a document, one pass over the texts."""
+    words = [tokens(text).alias(f"__w{k}") for k, text in enumerate(fields.values())]
+    tf = lambda k: [F.size(F.filter(F.col(f"__w{k}"), _equals(q))).alias(f"tf{k}_{i}") for i, q in enumerate(query)]
+    kept = [F.col(c) if isinstance(c, str) else c for c in keep]
+    held = docs.select(F.col(id_).alias("id"), *kept, *words)
+    return held.select("id", *held.columns[1 : 1 + len(keep)], *[c for k in range(len(fields)) for c in (F.size(f"__w{k}").alias(f"length{k}"), *tf(k))])
+
+
+def bm25_scores(rows: DataFrame, weights: list[float], words: int) -> DataFrame:
+    """rows of counted (written: they are read twice) with score: BM25 per field (higher is better), weighted and summed; 0 without any query word.
 
-    Only the query's words are counted and joined; one aggregate over the texts.
+    Mean lengths and document frequencies are one row, broadcast.
     """
-    counts = []
-    for name, text in fields.items():
-        words = tokens(text)
-        tf = [F.size(F.filter(F.col("__w"), _equals(q))).alias(f"tf{i}") for i, q in enumerate(query)]
-        counts.append(docs.select(F.col(id_).alias("id"), F.lit(name).alias("field"), F.lit(weights[name]).alias("weight"), words.alias("__w")).select("id", "field", "weight", F.size("__w").alias("length"), *tf))
-    every = reduce(DataFrame.unionByName, counts)
-    stats = every.groupBy("field").agg(F.avg("length").alias("mean"), F.count("*").alias("n"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
-    x = every.join(F.broadcast(stats), "field")
-    part = lambda i: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    score = sum((F.when(F.col(f"tf{i}") > 0, part(i)).otherwise(0.0) for i in range(1, len(query))), F.when(F.col("tf0") > 0, part(0)).otherwise(0.0))
-    return x.groupBy("id").agg(F.sum(score * F.col("weight")).alias("score")).where("score > 0")
+    fields = range(len(weights))
+    stats = rows.agg(F.count("*").alias("__n"), *[x for k in fields for x in (F.avg(f"length{k}").alias(f"__mean{k}"), *[F.count_if(F.col(f"tf{k}_{i}") > 0).alias(f"__df{k}_{i}") for i in range(words)])])
+
+    def part(k: int, i: int) -> Column:
+        tf, df, n = F.col(f"tf{k}_{i}"), F.col(f"__df{k}_{i}"), F.col("__n")
+        value = F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"length{k}") / F.col(f"__mean{k}")))
+        return F.when(tf > 0, value).otherwise(0.0)
+
+    score = sum(reduce(lambda a, b: a + b, [part(k, i) for i in range(words)]) * weights[k] for k in fields)
+    return rows.join(F.broadcast(stats), F.lit(True)).select(*rows.columns, score.alias("score"))
+
+
+def bm25(docs: DataFrame, id_: str, fields: dict[str, Column], weights: dict[str, float], query: list[str]) -> DataFrame:
+    """id and score (higher is better) of rows with any query word."""
+    rows = written(counted(docs, id_, fields, query), "counted")
+    return bm25_scores(rows, [weights[f] for f in fields], len(query)).where("score > 0").select("id", "score")
+
+
+def asked(text: str, stop: list[str] = (), families: list[list[str]] = ()) -> tuple[list[list[str]], list[list[str]]]:
+    """What a query's text asks for, as matches reads it: an OR-group of prefixes for each meaningful word outside quotes (its family, or itself), and the words of each quoted phrase."""
+    word = r"[^\W]+(?:['_][^\W]+)*"
+    clean_text = re.sub(r"\s+", " ", text.replace("\0", " ")).strip()
+    phrases = [re.findall(word, p.lower()) for p in re.findall(r'"([^"]+)"', clean_text)]
+    rest = [w for w in re.findall(word, re.sub(r'"[^"]+"', " ", clean_text).lower()) if w not in stop]
+    groups = [next((sorted(v for v in f if " " not in v and "-" not in v) for f in families if w in f), [w]) for w in rest]
+    if not groups and not any(phrases):
+        raise ValueError("search for at least one word")
+    return groups, [p for p in phrases if p]
 
 
 def matches(words: Column, prefixes: list[list[str]], phrases: list[list[str]] = ()) -> Column:
@@ -174,9 +202,9 @@ def unit(v: Column) -> Column:
 
 
 def cosine_top(vectors: DataFrame, id_: str, vector: str, query: list[float], k: int, floor: float = 0.02, allowed: DataFrame | None = None) -> DataFrame:
-    """id and score of the k nearest rows by cosine above floor; only allowed ids, when given."""
+    """id and score of the k nearest rows by cosine above floor; only allowed ids, when given. No row is near an empty query."""
     rows = vectors if allowed is None else vectors.join(allowed, id_, "left_semi")
-    q = F.array(*map(F.lit, query))
+    q = F.array(*map(F.lit, query)).cast("array<double>")
     scored = rows.select(F.col(id_).alias("id"), dot(unit(F.col(vector)), unit(q)).alias("score"))
     return scored.where(F.col("score") > floor).orderBy(F.desc("score"), "id").limit(k)
 

@@ -5,6 +5,9 @@ The query texts are put together from phrases by a customer's number; evidence b
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamlens.functions.structures import first_reason
@@ -12,6 +15,7 @@ from streamlens.operators import planning, search
 from streamlens.plans import retrieval
 from streamlens.plans.base import EVENTS_SQL, Plans, events, spark_columns, sql_columns
 from streamlens.session import table
+from streamlens.shared import written
 
 P = Plans()
 WORDS = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_'']+')"
@@ -42,16 +46,34 @@ def _filters_sql() -> str:
     """One CTE per filter, each taking its words out of the text that the one before left."""
     out = ["f0 AS (SELECT id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS rest, NULL::VARCHAR AS kind, NULL::VARCHAR AS decision, NULL::VARCHAR AS exported, NULL::VARCHAR AS origin, NULL::VARCHAR AS sort, NULL::VARCHAR AS month FROM q)"]
     for i, (pattern, name, value) in enumerate(planning.FILTERS):
-        out.append(f"f{i + 1} AS (SELECT * REPLACE (CASE WHEN regexp_matches(rest, '{pattern}', 'i') THEN coalesce({name}, '{value}') ELSE {name} END AS {name}, {_taken_out('rest', [pattern])} AS rest) FROM f{i})")
+        out.append(f"f{i + 1} AS (SELECT * REPLACE (CASE WHEN regexp_matches(rest, '{pattern}', 'i') THEN coalesce({name}, '{value}') ELSE {name} END AS {name}, {_taken_out('rest', [pattern])} AS rest) FROM f{i})" if name != "month" else f"f{i + 1} AS (SELECT * REPLACE (CASE WHEN month IS NULL AND regexp_matches(rest, '{pattern}', 'i') THEN '{value}' ELSE month END AS month, CASE WHEN month IS NULL THEN {_taken_out('rest', [pattern])} ELSE rest END AS rest) FROM f{i})")
     return ", ".join(out)
 
 
-@P.add(f"""WITH {_QUERIES}, {_filters_sql()} SELECT id, trim(regexp_replace(rest, '\\s+', ' ', 'g')) AS rest, kind, decision, exported, origin, sort,
-CASE month WHEN 'last' THEN '2024-02-01' WHEN 'this' THEN '2024-03-01' END AS date_from, CASE month WHEN 'last' THEN '2024-02-29' WHEN 'this' THEN '2024-03-31' END AS date_to FROM f{len(planning.FILTERS)}""")
+_GIVEN = {"kind": "moment", "date_from": "2024-02-10"}
+
+
+@P.add(f"""WITH {_QUERIES}, {_filters_sql()}, p AS (SELECT id, trim(regexp_replace(rest, '\\s+', ' ', 'g')) AS rest, kind, decision, exported, origin, sort,
+CASE month WHEN 'last' THEN '2024-02-01' WHEN 'this' THEN '2024-03-01' END AS date_from, CASE month WHEN 'last' THEN '2024-02-29' WHEN 'this' THEN '2024-03-31' END AS date_to FROM f{len(planning.FILTERS)})
+SELECT FALSE AS given, * FROM p UNION ALL SELECT TRUE, * REPLACE ('moment' AS kind, '2024-02-10' AS date_from) FROM p""")
 def planned_queries(spark, sf_dir):
-    p = planning.plan_filters(_queries(spark, sf_dir), "text", F.lit("2024-03-12").cast("date"))
+    """The filters that each query's text holds, alone and beside a kind and a date that were given with it."""
+    today, q = F.lit("2024-03-12").cast("date"), _queries(spark, sf_dir)
+    x = planning.plan_filters(q, "text", today).withColumn("given", F.lit(False)).unionByName(planning.plan_filters(q, "text", today, _GIVEN).withColumn("given", F.lit(True)))
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
-    return p.select("id", "rest", "kind", "decision", "exported", "origin", "sort", day("date_from"), day("date_to"))
+    return x.select("given", "id", "rest", "kind", "decision", "exported", "origin", "sort", day("date_from"), day("date_to"))
+
+
+_QUOTED = 'the "under the" licensed "license"'
+
+
+@P.add(f"""WITH t AS (SELECT doc_id AS id, {WORDS.format('lower(text)')} AS w FROM documents) SELECT id, len(w)::INT AS words FROM t
+WHERE len(list_filter(w, lambda x: starts_with(x, 'licensed'))) > 0 AND contains(' ' || array_to_string(w, ' ') || ' ', ' under the ') AND contains(' ' || array_to_string(w, ' ') || ' ', ' license ')""")
+def quoted_search(spark, sf_dir):
+    """Texts with every phrase that a query quotes and a word for each of its other words that carry meaning."""
+    groups, phrases = search.asked(_QUOTED, planning.STOP, planning.FAMILIES)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), search.tokens(F.col("text")).alias("w"))
+    return d.where(search.matches(F.col("w"), groups, phrases)).select("id", F.size("w").alias("words"))
 
 
 def _clauses_sql() -> str:
@@ -161,7 +183,6 @@ def source_copies(spark, sf_dir):
 
 
 _CONCEPT = ["crazy", "erst", "lice", "wild"]
-_LINES, _CLIPS = 1800, 60
 _HYBRID = f"""
 {retrieval._ENTRIES.strip()}, {retrieval._BM25.strip()},
 cs AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)) AS score FROM embeddings),
@@ -187,21 +208,25 @@ judged AS (SELECT *, CASE WHEN id % 17 = 0 THEN 'not_relevant' WHEN id % 13 = 0
 SELECT id, why, by_bridge, round(total, 7) AS score, place::INT AS place FROM o WHERE place <= 100""")
 def hybrid_search(spark, sf_dir):
     """Five lanes fused, the latent one gated by the others, clips raised by what is spoken in them, facets and priors after the fusion, the reviewer's feedback last."""
-    e = retrieval._entries(spark, sf_dir)
-    bm = retrieval._bm25(spark, sf_dir)
-    clips = e.where("kind = 'clip'").select("id")
-    words = F.size(F.filter(search.tokens(F.col("text")), lambda w: F.lit(False) | F.startswith(w, F.lit(_CONCEPT[0])) | F.startswith(w, F.lit(_CONCEPT[1])) | F.startswith(w, F.lit(_CONCEPT[2])) | F.startswith(w, F.lit(_CONCEPT[3]))))
-    hits = e.select("id", words.alias("score")).where("score > 0")
-    lanes = [search.lane(bm, "keyword", 200), search.lane(bm.join(clips, "id", "left_semi"), "keyword_clip", 200), search.lane(hits, "concept", 200), search.lane(hits.join(clips, "id", "left_semi"), "concept_clip", 200)]
+    entries = retrieval._entries(spark, sf_dir)
+    begins = lambda w: reduce(lambda a, b: a | b, [F.startswith(w, F.lit(c)) for c in _CONCEPT])
+    concept = F.size(F.filter(search.tokens(F.col("text")), begins)).alias("concept")
+    fields = {"text": F.col("text"), "session": F.col("source"), "game": F.col("game")}
+    rows = search.counted(entries, "id", fields, retrieval.QUERY, "kind", "source", "kept", "passed", "maybe", "exported", "origin", "game", "source_date", concept, F.contains("text", F.lit("Licensed")).alias("licensed"))
+    e = search.bm25_scores(written(rows, "rows"), [1.0, 3.0, 2.0], len(retrieval.QUERY))  # the only pass over the texts
+    e = written(e.drop(*[c for c in e.columns if c.startswith(("tf", "length"))]), "entries")
+    clip = F.col("kind") == "clip"
+    words, hits = e.where("score > 0").select("id", "kind", "score"), e.where("concept > 0").select("id", "kind", F.col("concept").alias("score"))
+    lanes = [search.lane(x, name, 200) for x, name in ((words, "keyword"), (words.where(clip), "keyword_clip"), (hits, "concept"), (hits.where(clip), "concept_clip"))]
+    lanes = [written(reduce(DataFrame.unionByName, lanes), "lanes")]  # at most 800 rows
     v = table(spark, sf_dir, "embeddings")
-    q = [float(x) for x in v.where("vec_id = 3").first()["embedding"]]
-    latent = search.gated_lane(search.lane(search.cosine_top(v, "vec_id", "embedding", q, 200), "semantic", 200), lanes)
-    fused = search.fuse([*lanes, latent], {"keyword": 1.40, "keyword_clip": 1.65, "concept": 1.05, "concept_clip": 1.20, "semantic": 0.55})
-    place = e.select("id", "kind", "source", F.floor(F.col("id") / 10).alias("a"), (F.floor(F.col("id") / 10) + F.when(F.col("kind") == "clip", 2).otherwise(4)).alias("b"))
+    latent = search.gated_lane(search.lane(search.cosine_top(v, "vec_id", "embedding", retrieval.query_vector(v), 200), "semantic", 200), lanes)
+    fused = written(search.fuse([*lanes, latent], {"keyword": 1.40, "keyword_clip": 1.65, "concept": 1.05, "concept_clip": 1.20, "semantic": 0.55}), "fused")
+    place = e.select("id", "kind", "source", F.floor(F.col("id") / 10).alias("a"), (F.floor(F.col("id") / 10) + F.when(clip, 2).otherwise(4)).alias("b"))
     spoken = place.where("kind = 'transcript'").join(fused.select("id"), "id", "left_semi").select("source", F.col("id").alias("line"), F.col("a").alias("la"), F.col("b").alias("lb"))
-    near = search_pairs(spoken, place.where("kind = 'clip'").select("source", F.col("id").alias("clip"), "a", "b"))
-    x = search.bridged(fused, near).join(e, "id").where(search.result_facets() & (F.coalesce("origin", F.lit("")) != "compilation"))
-    why = first_reason((F.col("by_bridge") | (F.col("kind") == "transcript"), "creator_speech"), (F.contains("text", F.lit("Licensed")), "clip_details"), (F.coalesce("exported", F.lit(0)) == 1, "on_screen_text"), (F.lit(True), "related_meaning"))
+    near = search_pairs(spoken, place.where(clip).select("source", F.col("id").alias("clip"), "a", "b"))
+    x = search.bridged(fused, near).join(e.drop("score"), "id").where(search.result_facets() & (F.coalesce("origin", F.lit("")) != "compilation"))
+    why = first_reason((F.col("by_bridge") | (F.col("kind") == "transcript"), "creator_speech"), (F.col("licensed"), "clip_details"), (F.coalesce("exported", F.lit(0)) == 1, "on_screen_text"), (F.lit(True), "related_meaning"))
     x = x.withColumn("why", why).withColumn("total", F.col("score") + search.ranking_bonus(F.col("why"), True))
     feedback = e.select("id", F.when(F.col("id") % 17 == 0, "not_relevant").when(F.col("id") % 13 == 0, "relevant").alias("verdict"))
     ranked = x.select("id", "why", "by_bridge", "total", F.struct((-F.round("total", 9)).alias("t"), "id").alias("rank"))

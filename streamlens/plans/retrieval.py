@@ -19,6 +19,12 @@ TOKEN = r"[\p{L}\p{N}_']+"
 QUERY = ["licensed", "the", "erst"]
 
 
+def query_vector(vectors, vec_id: int = 3) -> list[float]:
+    """The vector that stands for a query; without it nothing is near (an empty list)."""
+    row = vectors.where(F.col("vec_id") == vec_id).select("embedding").head()
+    return [float(x) for x in row[0]] if row and row[0] else []
+
+
 def _entries(spark, sf_dir):
     """Documents with the facets' columns."""
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -99,7 +105,7 @@ s AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS sco
 SELECT id, round(score, 6) AS score FROM s WHERE score > 0.02 ORDER BY score DESC, id LIMIT 50""")
 def cosine_nearest(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = [float(x) for x in e.where("vec_id = 3").first()["embedding"]]
+    q = query_vector(e)
     return search.cosine_top(e, "vec_id", "embedding", q, 50).select("id", F.round("score", 6).alias("score"))
 
 
@@ -113,7 +119,7 @@ lanes AS (
 SELECT id, round(sum((CASE lane WHEN 'keyword' THEN 1.4 WHEN 'semantic' THEN 0.55 ELSE 0.6 END) / (60 + rank)), 8) AS score, string_agg(lane, ',' ORDER BY lane) AS lanes FROM lanes GROUP BY id""")
 def fused_search(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = [float(x) for x in e.where("vec_id = 3").first()["embedding"]]
+    q = query_vector(e)
     recent = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("score"))
     lanes = [search.lane(_bm25(spark, sf_dir), "keyword", 100), search.lane(search.cosine_top(e, "vec_id", "embedding", q, 100), "semantic", 100), search.lane(recent, "recent", 100)]
     return search.fuse(lanes, {"keyword": 1.4, "semantic": 0.55, "recent": 0.6}).select("id", F.round("score", 8).alias("score"), "lanes")
