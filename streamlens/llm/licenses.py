@@ -9,9 +9,9 @@ the window has a Jaccard similarity of at least 0.8 / 4.2 with it, so with BANDS
 row a window misses it with probability below (1 - 0.19) ** 64 < 2e-6. A block's MinHashes come
 from those of its halves, so all scales together cost twice the first.
 
-A candidate is verified on the window widened by half a block on both sides: the share of the
-template's distinct shingles that occur there must be at least CONTAINMENT. Overlapping
-matches of one template are one row, that with the highest share.
+Candidates are verified on their windows widened by half a block on both sides, overlapping ones together. An occurrence is the
+first stretch that holds at least CONTAINMENT of the template's distinct shingles, lengthened by those further on in the template that follow about as soon as there (at most twice as
+far and SLACK more) and by what follows word by word as there, and shortened from its left end by those that stand before the place where the template would begin and occur again; the next one is looked for behind its end. Every occurrence is a row.
 
 Templates are a parameter of bounded size, sent with the code: by default short notices and the whole texts in the folder license_texts;
 read_templates() takes more from a folder of one text file a license. Texts are read and matched in place: no shuffle.
@@ -38,6 +38,8 @@ from streamlens.llm import text as tx
 SHINGLE = 5
 BANDS = 64
 CONTAINMENT = 0.8
+#: Shingles by which the rest of an occurrence may come later than twice as far as in the template.
+SLACK = 8
 
 #: Notices as their publishers word them (license, name of the notice, text).
 TEMPLATES: list[tuple[str, str, str]] = [
@@ -107,13 +109,17 @@ class Scanner:
         self.containment = containment
         self.salts = tx.mix(np.arange(1, bands + 1, dtype=np.uint64)) | np.uint64(1)
         self.sets: list[np.ndarray] = []
+        self.orders: list[np.ndarray] = []  # of each shingle of the set, its first place in the template
+        self.firsts: list[list[int]] = []  # the template itself, as the first places of its shingles
         by_scale: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
         for t, (_, _, text) in enumerate(self.templates):
             raw = np.frombuffer(text.encode(), np.uint8)
-            own = np.unique(shingles(raw, np.array([0, len(raw)]))[0])
+            own, place, number = np.unique(shingles(raw, np.array([0, len(raw)]))[0], return_index=True, return_inverse=True)
             if not len(own):
                 raise ValueError(f"template {t} has fewer than {SHINGLE} words")
             self.sets.append(own)
+            self.orders.append(place)
+            self.firsts.append(place[number].tolist())
             scale = (len(own) - 1).bit_length()
             for band, value in enumerate((own[:, None] * self.salts).min(0).tolist()):
                 by_scale[scale][band, value].append(t)
@@ -152,27 +158,51 @@ class Scanner:
         return self._verify(h, first, candidates)
 
     def _verify(self, h: np.ndarray, first: np.ndarray, candidates) -> list[tuple[int, int, int, int, float]]:
-        found: dict[tuple[int, int], list[list]] = defaultdict(list)
-        for d, t, block, j in sorted(candidates):
-            half = 1 << j >> 1
-            a = max(0, (block << j) - half)
-            b = min(int(first[d + 1] - first[d]), ((block + 2) << j) + half)
-            own = h[first[d] + a : first[d] + b]
-            at = np.flatnonzero(np.isin(own, self.sets[t]))
-            if not len(at):
-                continue
-            # the template's occurrence is the run of its shingles that is densest: split at gaps longer than the template
-            for run in np.split(at, np.flatnonzero(np.diff(at) > max(1, len(self.sets[t]))) + 1):
-                share = len(np.unique(own[run])) / len(self.sets[t])
-                if share >= self.containment:
-                    match = [a + int(run[0]), a + int(run[-1]) + 1, share]
-                    same = found[d, t]
-                    if same and match[0] < same[-1][1]:
-                        if match[2] > same[-1][2] or (match[2] == same[-1][2] and match[1] - match[0] < same[-1][1] - same[-1][0]):
-                            same[-1] = match
-                    elif match not in same:
-                        same.append(match)
-        return [(d, t, *m) for (d, t), matches in sorted(found.items()) for m in matches]
+        regions: dict[tuple[int, int], list[list[int]]] = defaultdict(list)
+        for d, t, a, b in sorted((d, t, max(0, (block << j) - (1 << j >> 1)), min(int(first[d + 1] - first[d]), ((block + 2) << j) + (1 << j >> 1))) for d, t, block, j in candidates):
+            same = regions[d, t]
+            if same and a <= same[-1][1]:
+                same[-1][1] = max(same[-1][1], b)
+            else:
+                same.append([a, b])
+        out = []
+        for (d, t), spans in sorted(regions.items()):
+            for a, b in spans:
+                own = h[first[d] + a : first[d] + b]
+                place = np.searchsorted(self.sets[t], own)
+                at = np.flatnonzero(self.sets[t][np.minimum(place, len(self.sets[t]) - 1)] == own)
+                for i, j, share in occurrences(at.tolist(), self.orders[t][place[at]].tolist(), self.firsts[t], len(self.sets[t]), self.containment):
+                    out.append((d, t, a + int(at[i]), a + int(at[j]) + 1, share))
+        return out
+
+
+def occurrences(at: list[int], order: list[int], template: list[int], size: int, containment: float = CONTAINMENT) -> Iterator[tuple[int, int, float]]:
+    """(first, last, share) of the occurrences among a text's template shingles, given by their places in the text and their first places in the template (itself given so; size distinct ones)."""
+    need, begin, end = int(np.ceil(containment * size - 1e-9)), 0, 0
+    seen: dict[int, int] = defaultdict(int)
+    while end < len(order):
+        seen[order[end]] += 1
+        if len(seen) < need:
+            end += 1
+            continue
+        front = max(range(begin, end + 1), key=lambda k: (order[k], -k))
+        ahead = end + 1
+        while ahead < len(order) and at[ahead] - at[front] <= 2 * size + SLACK:
+            if order[ahead] > order[front] and at[ahead] - at[front] <= 2 * (order[ahead] - order[front]) + SLACK:
+                for k in range(end + 1, ahead + 1):
+                    seen[order[k]] += 1
+                front = end = ahead
+            ahead += 1
+        end, place = max(end, front), order[front] + end - front
+        while end + 1 < len(order) and at[end + 1] == at[end] + 1 and at[end] - at[front] == place - order[front] and place + 1 < len(template) and order[end + 1] == template[place + 1]:
+            end, place = end + 1, place + 1
+            seen[order[end]] += 1
+        while seen[order[begin]] > 1 and at[begin] < at[front] - order[front]:
+            seen[order[begin]] -= 1
+            begin += 1
+        yield begin, end, len(seen) / size
+        seen.clear()
+        begin = end = end + 1
 
 
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", templates=None, bands: int = BANDS, containment: float = CONTAINMENT) -> DataFrame:
@@ -195,16 +225,27 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, schema)
 
 
-def brute_force(text: str | None, templates=None, containment: float = CONTAINMENT) -> set[tuple[str, str]]:
-    """(license, template) of the templates whose shingles occur together in the text; for tests, word by word."""
-    words = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    grams = [tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
-    found = set()
+def brute_force(text: str | None, templates=None, containment: float = CONTAINMENT) -> list[tuple[str, str, int, int]]:
+    """(license, template, first word, end word) of every occurrence, over the whole text and word by word; for tests."""
+    grams = lambda x: [tuple(w[i : i + SHINGLE]) for w in [re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))] for i in range(len(w) - SHINGLE + 1)]
+    own, found = grams(text), []
     for license_, name, body in TEMPLATES if templates is None else templates:
-        own = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), body))
-        shape = {tuple(own[i : i + SHINGLE]) for i in range(len(own) - SHINGLE + 1)}
-        for i in range(len(grams)):
-            if grams[i] in shape and len(shape & set(grams[i : i + 2 * len(shape)])) >= containment * len(shape):
-                found.add((license_, name))
+        order = {g: i for i, g in reversed(list(enumerate(grams(body))))}
+        at, i = [k for k, g in enumerate(own) if g in order], 0
+        while i < len(at):
+            j = next((j for j in range(i, len(at)) if len({own[k] for k in at[i : j + 1]}) >= containment * len(order) - 1e-9), None)
+            if j is None:
                 break
-    return found
+            places = lambda k: order[own[at[k]]]  # noqa: B023, E731
+            front = min((k for k in range(i, j + 1)), key=lambda k: (-places(k), k))
+            for k in range(j + 1, len(at)):
+                if places(k) > places(front) and at[k] - at[front] <= min(2 * (places(k) - places(front)), 2 * len(order)) + SLACK:
+                    front = j = k
+            whole, p = grams(body), places(front) + j - front
+            while j + 1 < len(at) and at[j + 1] == at[j] + 1 and at[j] - at[front] == p - places(front) and p + 1 < len(whole) and own[at[j + 1]] == whole[p + 1]:
+                j, p = j + 1, p + 1
+            while own[at[i]] in {own[k] for k in at[i + 1 : j + 1]} and at[i] < at[front] - places(front):
+                i += 1
+            found.append((license_, name, at[i], at[j] + SHINGLE))
+            i = j + 1
+    return sorted(found)

@@ -170,11 +170,23 @@ def test_licenses_match_brute_force():
     damaged = licenses.TEMPLATES[2][2].split()
     del damaged[30]
     texts.append(filler() + " " + " ".join(damaged) + " " + filler())
+    for body in [x for _, _, x in licenses.TEMPLATES if len(x.split()) > 12]:  # copies side by side, whole, broken off or with words left out
+        words = body.split()
+        part = lambda: words[: rng.choice([len(words), len(words), len(words) * 9 // 10, 6])]  # noqa: E731, B023
+        texts.append(" ".join([*part(), *part(), *part(), *rng.choice([[], ["x"] * 5]), *part()]))
     scanner, got = licenses.Scanner(licenses.TEMPLATES), {}
-    for d, t, *_ in scanner.scan(*tx.buffers(pa.array(texts))):
-        got.setdefault(d, set()).add(scanner.templates[t][:2])
-    assert got == {i: f for i, f in enumerate(map(licenses.brute_force, texts)) if f}
-    assert ("MIT", "grant") in got[len(texts) - 1]
+    for d, t, a, b, _ in scanner.scan(*tx.buffers(pa.array(texts))):
+        got.setdefault(d, []).append((*scanner.templates[t][:2], a, b + licenses.SHINGLE - 1))
+    assert {i: sorted(f) for i, f in got.items()} == {i: f for i, f in enumerate(map(licenses.brute_force, texts)) if f}
+    assert ("MIT", "grant") in {x[:2] for x in got[len(texts) - 1]} | {x[:2] for f in got.values() for x in f}
+
+
+def test_neighbouring_copies_have_a_row_each(spark):
+    grant = licenses.TEMPLATES[2][2]
+    n = len(licenses.re.findall(r"[0-9A-Za-z]+", grant))
+    df = spark.createDataFrame([(k, " ".join([grant] * k)) for k in (1, 2, 5)], "doc_id long, text string")
+    got = licenses.scan_licenses(df).where("template = 'grant'").collect()
+    assert sorted((r.doc_id, r.first_word, r.end_word) for r in got) == [(k, i * n, (i + 1) * n) for k in (1, 2, 5) for i in range(k)]
 
 
 def test_license_scan_rows(spark):
@@ -197,7 +209,7 @@ def test_whole_licenses_are_found_where_they_stand(spark, tmp_path):
     for i, x in want.items():
         assert x in [(r.license, r.first_word, r.end_word) for r in got if r.doc_id == i]
     assert {r.license for r in got if r.doc_id == [n for n, _, _ in every].index("BSD-3-Clause")} >= {"BSD-3-Clause"}
-    assert {(x, y) for x, y in licenses.brute_force(rows[0][1], every)} == {(r.license, r.template) for r in licenses.scan_licenses(spark.createDataFrame(rows[:1], "doc_id long, text string"), templates=every).collect()}
+    assert {x[:2] for x in licenses.brute_force(rows[0][1], every)} == {(r.license, r.template) for r in licenses.scan_licenses(spark.createDataFrame(rows[:1], "doc_id long, text string"), templates=every).collect()}
     (tmp_path / "Own-1.0.txt").write_text("these are the terms of a license of our own making")
     assert licenses.read_templates(spark, str(tmp_path)) == [("Own-1.0", "text", "these are the terms of a license of our own making")]
 
