@@ -234,17 +234,11 @@ def game_segments(hits: DataFrame, bounds: DataFrame, keys: list[str], width: fl
     n = n.withColumn("top", F.max("n").over(w)).withColumn("all", F.sum("n").over(w))
     won = n.groupBy(*keys, "hop").agg(F.count_if(F.col("n") == F.col("top")).alias("leaders"), F.max("top").alias("top"), F.max("all").alias("all"), F.max_by("game", "n").alias("game")).where("leaders = 1 AND top >= 2 AND top >= 0.4 * all")
     x = hops.join(won.select(*keys, "hop", "game"), [*keys, "hop"], "left").withColumn("game", F.coalesce("game", F.lit("generic")))
-    rows = x.groupBy(*keys).agg(F.max("length").alias("length"), F.transform(F.array_sort(F.collect_list(F.struct("hop", "game"))), lambda v: v["game"]).alias("won"))
-    start = F.struct(F.element_at("won", 1).alias("now"), F.lit("").alias("next"), F.lit(0).alias("streak"), F.array().cast("array<string>").alias("out"))
-
-    def vote(acc: Column, g: Column) -> Column:
-        streak = F.when(g == acc["now"], F.lit(0)).when(g == acc["next"], acc["streak"] + 1).otherwise(1)
-        taken = (g != acc["now"]) & (streak >= votes)
-        now = F.when(taken, g).otherwise(acc["now"])
-        calm = (g == acc["now"]) | taken
-        return F.struct(now.alias("now"), F.when(calm, F.lit("")).otherwise(g).alias("next"), F.when(calm, F.lit(0)).otherwise(streak).alias("streak"), F.array_append(acc["out"], now).alias("out"))
-
-    smooth = rows.select(*keys, "length", F.posexplode(F.aggregate("won", start, vote, lambda a: a["out"])).alias("hop", "game"))
+    # a game is taken up at the place in its run of wins that makes votes of them; until then the one before goes on
+    won = islands(x, keys, ["hop"], lambda o: F.col("game") != F.lag("game").over(o), "__run")
+    place, hop_ = F.row_number().over(W.partitionBy(*keys, "__run").orderBy("hop")), W.partitionBy(*keys).orderBy("hop")
+    won = won.withColumn("__taken", F.when((place >= votes) | F.lag("hop").over(hop_).isNull(), F.col("game")))
+    smooth = won.select(*keys, "length", "hop", F.last("__taken", ignorenulls=True).over(hop_.rowsBetween(W.unboundedPreceding, 0)).alias("game"))
     runs = islands(smooth, keys, ["hop"], lambda o: F.col("game") != F.lag("game").over(o)).groupBy(*keys, "island", "length").agg(F.first("game").alias("game"), F.min("hop").alias("a"), F.count("*").alias("n"))
     o = W.partitionBy(*keys).orderBy("a")
     dip = (F.col("game") == "generic") & (F.col("n") <= bridge) & (F.lag("game").over(o) != "generic") & (F.lag("game").over(o) == F.lead("game").over(o))

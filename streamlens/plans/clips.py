@@ -155,6 +155,12 @@ def crowd_vetoes(spark, sf_dir):
     return g.select("id", F.array_join(r, ",").alias("reasons"))
 
 
+@P.add(f"WITH {_CANDIDATES} SELECT id, array_to_string(list_filter(reasons, lambda x: x IN ('housekeeping', 'terminal_non_content', 'routine_non_gameplay', 'routine_non_gameplay_ocr', 'incomplete_beat', 'visual_filler', 'non_event_chatter', 'unpublishable_beat')), ',') AS reasons FROM gated")
+def creator_vetoes(spark, sf_dir):
+    """What would still keep out each candidate if its creator had marked it."""
+    return _gated(spark, sf_dir).select("id", F.array_join(candidates.creator_reasons(F.col("reasons")), ",").alias("reasons"))
+
+
 @P.add(f"""WITH {_CANDIDATES}, r AS (SELECT unnest(reasons) AS reason FROM gated) SELECT reason, count(*)::BIGINT AS n FROM r GROUP BY reason""")
 def gate_funnel(spark, sf_dir):
     return _gated(spark, sf_dir).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))

@@ -164,10 +164,11 @@ def top_signals(spark, sf_dir):
     return r.where("place <= 3").select("g", "signal", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
-@P.add("""WITH i AS (SELECT l_suppkey AS source, o_orderpriority AS session, min(l_orderkey * 10 + l_linenumber) AS first, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey % 5 <> 0 GROUP BY 1, 2) SELECT source, sum(n)::BIGINT AS items, string_agg(session, ',' ORDER BY first) AS sessions FROM i GROUP BY 1""")
+@P.add("""WITH i AS (SELECT l_suppkey AS source, o_orderpriority AS session, min(l_orderkey * 10 + l_linenumber) AS first, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) GROUP BY 1, 2) SELECT source, sum(n)::BIGINT AS items, string_agg(session, ',' ORDER BY first) AS sessions FROM i GROUP BY 1""")
 def missing_sources(spark, sf_dir):
-    """Items by missing source, with the sessions they come from in the order in which they are first seen."""
-    l = table(spark, sf_dir, "lineitem").where("l_suppkey % 5 <> 0").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    """Items by missing source (no supplier in credit stands for it), with the sessions they come from in the order in which they are first seen."""
+    there = table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    l = table(spark, sf_dir, "lineitem").join(there, "l_suppkey", "left_anti").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     by = l.groupBy(F.col("l_suppkey").alias("source"), F.col("o_orderpriority").alias("session")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first"), F.count("*").alias("n"))
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "session"))), lambda x: x["session"]), ",")
     return by.groupBy("source").agg(F.sum("n").alias("items"), names.alias("sessions"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from streamlens.functions.strings import tokens
-from streamlens.operators import chains, directions, layout, profiles, speech
+from streamlens.operators import chains, directions, layout, networks, profiles, speech
 from streamlens.plans.base import EVENTS_SQL, Plans, events, spark_columns, sql_columns
 from streamlens.plans.retrieval import TOKEN
 from streamlens.session import table
@@ -135,4 +135,40 @@ def layout_regions(spark, sf_dir):
     return layout.chat_regions(b, ["user_id"], _RULE).select("user_id", "x", "y", "w", "h", "cells")
 
 
+#: Two small networks with weights from a rule, so that both engines can run them.
+_WIDE, _UNITS = 6, 4
+_NETS = [
+    networks.Network(
+        [k * 5.0 for k in range(_WIDE)], [4.0 + k for k in range(_WIDE)], [[((u * 7 + k * 3 + n) % 11 - 5) / 8 for k in range(_WIDE)] for u in range(_UNITS)], [(u - 1.5) / 4 for u in range(_UNITS)], [((u * 5 + n) % 7 - 3) / 2 for u in range(_UNITS)], n / 4 - 0.1
+    )
+    for n in range(2)
+]
+_CARD = ["value / 8", "CAST(event_id % 30 AS DOUBLE)", "CAST(user_id % 20 AS DOUBLE)", "CAST(event_id % 7 AS DOUBLE) * 3", "CASE WHEN event_id % 13 <> 0 THEN value / 20 END", "CAST(event_id % 40 AS DOUBLE)"]
+
+
+def _net_sql(m: networks.Network) -> str:
+    units = [f"tanh({' + '.join(f'(x[{k + 1}] - {m.mean[k]}::DOUBLE) / {m.scale[k]}::DOUBLE * {m.inner[u][k]}::DOUBLE' for k in range(_WIDE))} + {m.inner_bias[u]}::DOUBLE)" for u in range(_UNITS)]
+    return f"greatest(-{networks.LIMIT}, least({networks.LIMIT}, {' + '.join(f'{t} * {m.outer[u]}::DOUBLE' for u, t in enumerate(units))} + {m.outer_bias}::DOUBLE))"
+
+
+@P.add(f"""WITH c AS (SELECT event_id AS id, [{", ".join(_CARD)}] AS x, event_id % 17 = 0 AS protected FROM events), p AS (SELECT *, CASE WHEN len(list_filter(x, lambda v: v IS NULL)) = 0 THEN 1 / (1 + exp(-(1.2::DOUBLE * ({" + ".join(_net_sql(m) for m in _NETS)}) / 2 - 0.3::DOUBLE))) END AS p FROM c)
+SELECT id, round(p, 6)::DOUBLE AS p, CASE WHEN NOT protected AND p < 0.35 THEN 'predictable_pass' END AS reason FROM p""")
+def keep_probability(spark, sf_dir):
+    """The chance that each second-look card is kept, null where a feature is missing, and which cards are held back."""
+    c = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.array(*[F.expr(x) for x in _CARD]).alias("x"), (F.col("event_id") % 17 == 0).alias("protected"))
+    c = c.withColumn("p", networks.keep_probability(_NETS, F.col("x"), 1.2, -0.3))
+    return c.select("id", F.round("p", 6).alias("p"), networks.rejected(F.col("p"), F.col("protected"), 0.35).alias("reason"))
+
+
+@P.add()
+def left_out_keeps(spark, sf_dir):
+    """Every labelled document's chance of being good, by networks that have not seen its source."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    words = tokens(F.col("text"))
+    stats = F.array(F.log1p(F.size(words)), F.size(F.array_distinct(words)) / F.greatest(F.lit(1), F.size(words)), F.length("text") / F.greatest(F.lit(1), F.size(words)), F.log1p(F.size(F.split("text", "\n"))))
+    x = written(d.select(F.coalesce("source", F.lit("none")).alias("source"), F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y"), F.lit(1.0).alias("w"), stats.alias("f")), "labelled")
+    models = networks.train_folds(x, "source", "id", "y", "w", "f", [1, 2], steps=60, hidden=4)
+    return networks.left_out_probabilities(x, "source", "id", "f", written(models, "models")).select("id", F.round("p", 6).alias("p"))
+
+
 QUERIES, ORACLE = P.queries, P.oracle

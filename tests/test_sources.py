@@ -81,3 +81,10 @@ def test_rankers_learn_the_order(spark):
     assert min(r.s for r in scored if r.y) > max(r.s for r in scored if not r.y)
     out = learning.leave_one_out(df, "g", "id", "y", "f", folds=4).collect()
     assert sorted(r.id for r in out) == sorted(r[1] for r in rows) and all(0 <= r.p <= 1 for r in out)
+
+
+def test_json_arrays_are_read_record_by_record(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": 1, "x": "a"}, {"id": 2}]')
+    (tmp_path / "b.json").write_text("[]")
+    got = readers.read_json_array(spark, str(tmp_path), "id long, x string").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "a"), (2, None)]
