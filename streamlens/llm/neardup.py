@@ -23,7 +23,7 @@ refusing a true pair below 1e-8), then verified exactly on the whole texts.
 
 Defined cases: null and empty texts have no words and are copies of each other; a null doc_id takes no
 part and has no row (deduplicate() keeps its row); repeated rows give one row per row; of a class the smallest id stays, of several rows with
-that id any one; very long texts are handled whole, a text being the smallest unit of work; an empty table gives no rows; other columns are
+that id the one with the smallest digest of its text (equal texts: any); very long texts are handled whole, a text being the smallest unit of work; an empty table gives no rows; other columns are
 not looked at and may have any name.
 """
 
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamlens.llm import text as tx
@@ -280,7 +280,9 @@ def near_links(docs: DataFrame, reps: DataFrame, threshold: float = SIMILARITY)
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """The rows of docs whose id is the smallest of their class, one row for each; rows with a null id stay."""
-    kept = free_name(docs.columns, "kept")
+    kept, first = free_name(docs.columns, "kept"), free_name(docs.columns, "first")
     found = classes(docs, id_column, text_column, threshold).where("doc_id = class_id").select(F.col("doc_id").alias(kept)).distinct()
-    stay = docs.where(F.col(id_column).isNotNull()).join(found, F.col(id_column).cast("long") == F.col(kept), "left_semi").dropDuplicates([id_column])
+    stay = docs.where(F.col(id_column).isNotNull()).join(found, F.col(id_column).cast("long") == F.col(kept), "left_semi")
+    order = Window.partitionBy(id_column).orderBy(F.sha2(F.coalesce(text_column, F.lit("")), 256))
+    stay = stay.withColumn(first, F.row_number().over(order)).where(F.col(first) == 1).drop(first)
     return stay.unionByName(docs.where(F.col(id_column).isNull()))

@@ -282,3 +282,12 @@ def test_near_duplicate_stage(spark):
     assert got.columns == df.columns
     assert sorted((str(r.doc_id), r.weight) for r in got.collect()) == [("1", "y"), ("2", "z"), ("5", "e"), ("None", "n")]
     assert neardup.classes(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_of_rows_with_one_id_the_smallest_digest_stays(spark):
+    rows = [(1, "one text about ships and harbours and tides"), (1, "another text on bread and salt and ovens"), (1, None), (2, "a third text of its own that nobody copies")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    want = {(1, min((t for i, t in rows if i == 1), key=digest)), (2, rows[3][1])}
+    for parts in (1, 4):
+        assert {(r.doc_id, r.text) for r in neardup.deduplicate(df.repartition(parts)).collect()} == want
