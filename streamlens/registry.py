@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "burst_arcs"
-MODULES: list[str] = ["signals", "retrieval", "spans", "clips", "memory", "details", "building", "decks", "moments", "moment_decks", "indexing", "speaking"]
+MODULES: list[str] = ["signals", "retrieval", "spans", "clips", "memory", "details", "building", "decks", "moments", "moment_decks", "indexing", "speaking", "boundary_chain"]
 
 
 def _modules():
