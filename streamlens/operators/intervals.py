@@ -7,8 +7,9 @@ and no bucket needs another's rows. bucket should be near the intervals' usual l
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -164,8 +165,25 @@ def bounded_merge(df: DataFrame, keys: list[str], start: str, end: str, max_gap:
 
 
 def budget_fill(df: DataFrame, keys: list[str], order: Column, seconds: str, budget: float, item: str) -> DataFrame:
-    """In order, take every item that still fits the budget of seconds (skip, do not stop): keys, item, taken_seconds before it."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(item).alias("item"), F.col(seconds).cast("double").alias("s")))).alias("__x"))
-    start = F.struct(F.lit(0.0).alias("used"), F.array().cast(f"array<struct<item:{df.schema[item].dataType.simpleString()},at:double>>").alias("kept"))
-    folded = F.aggregate("__x", start, lambda acc, x: F.when(acc["used"] + x["s"] <= budget, F.struct((acc["used"] + x["s"]).alias("used"), F.concat(acc["kept"], F.array(F.struct(x["item"].alias("item"), acc["used"].alias("at")))).alias("kept"))).otherwise(acc))
-    return rows.select(*keys, F.inline(folded["kept"])).withColumnsRenamed({"item": item, "at": "taken_seconds"})
+    """In order, take every item that still fits the budget of seconds (skip, do not stop): keys, item, taken_seconds before it.
+
+    Rows stream by key in order; what is held is the sum so far.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*keys, item]), "taken_seconds double"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used = None, 0.0
+        for pdf in batches:
+            out = []
+            for row in pdf[[*keys, item, "__s"]].itertuples(index=False, name=None):
+                own, s = row[:-2], row[-1]
+                if own != now:
+                    now, used = own, 0.0
+                if used + s <= budget:
+                    out.append((*row[:-1], used))
+                    used += s
+            yield pd.DataFrame(out, columns=[*keys, item, "taken_seconds"])
+
+    rows = df.select(*keys, item, F.col(seconds).cast("double").alias("__s"), order.alias("__o")).where("__s IS NOT NULL")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "__o").drop("__o").mapInPandas(run, schema)

@@ -184,10 +184,12 @@ def without_copies(ranked: DataFrame, limit: int, near_start: float = 5.0, near_
     return rows.select(F.explode(kept).alias("k")).select("k.id", "k.rank")
 
 
-def with_feedback(ranked: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Ranked rows without those judged not relevant; relevant ones first, otherwise in order. feedback: id and verdict."""
+def with_feedback(ranked: DataFrame, feedback: DataFrame, most: int = 1000) -> DataFrame:
+    """The best rows (most of them) of ranked without those judged not relevant; relevant ones first, otherwise in order; place counts from 1. feedback: id and verdict."""
     x = ranked.join(feedback, "id", "left").where(F.coalesce("verdict", F.lit("")) != "not_relevant")
-    return x.withColumn("place", F.row_number().over(W.orderBy(F.coalesce((F.col("verdict") != "relevant").cast("int"), F.lit(1)), "rank")))
+    x = x.withColumn("__later", F.coalesce((F.col("verdict") != "relevant").cast("int"), F.lit(1)))
+    best = x.orderBy("__later", "rank").limit(most)
+    return best.withColumn("place", F.row_number().over(W.orderBy("__later", "rank"))).drop("__later")
 
 
 def dot(a: Column, b: Column) -> Column:

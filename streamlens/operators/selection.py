@@ -81,31 +81,38 @@ def suppress(df: DataFrame, keys: list[str], limit: float = 0.30, near_gap: floa
 
 def diverse_top(df: DataFrame, keys: list[str], per_source: int, max_overlap: float, seconds: float) -> DataFrame:
     """A compilation per key: in order of rank, score, id take rows under a cap per source and a budget of seconds, skipping
-    repeated titles and spans that overlap a taken one of their source; the result is in order of time.
+    repeated titles and spans that overlap a taken one of their source; the result is in order of source and time.
 
-    df: keys, id, source, title, start, end, rank (may be null), score. Gives keys, id, position.
+    df: keys, id, source, title, start, end, rank (may be null), score. Gives keys, id, position. Rows stream by key in their order; a task holds the rows taken so far of one key, which the budget bounds.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*keys, "id"]), "position int"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__r=pdf["rank"].fillna(1 << 30)).sort_values(["__r", "score", "id"], ascending=[True, False, True], kind="stable")
-        taken, titles, used, count = [], set(), 0.0, {}
-        for row in pdf.itertuples(index=False):
-            title, length = (row.title or "").strip().lower(), float(row.end - row.start)
-            same = [t for t in taken if t.source == row.source]
-            if count.get(row.source, 0) >= per_source or (title and title in titles) or used + length > seconds:
-                continue
-            if any(_overlap((row.start, row.end), (t.start, t.end)) >= max_overlap for t in same):
-                continue
-            taken.append(row)
-            titles.add(title)
-            used += length
-            count[row.source] = count.get(row.source, 0) + 1
-        order = sorted(taken, key=lambda t: (str(t.source), t.start, t.id))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(order) for k in keys}, "id": [t.id for t in order], "position": range(len(order))}).astype({"position": "int32"})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, taken, titles, used = None, {}, set(), 0.0
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+        def finish() -> list[tuple]:
+            rows = sorted((str(source), a, name) for source, spans in taken.items() for a, _, name in spans)
+            return [(*now, name, i) for i, (_, _, name) in enumerate(rows)]
+
+        for pdf in batches:
+            out = []
+            for row in pdf[[*keys, "id", "source", "title", "start", "end"]].itertuples(index=False, name=None):
+                own, (name, source, title, a, b) = row[: len(keys)], row[len(keys) :]
+                if own != now:
+                    out += finish() if now is not None else []
+                    now, taken, titles, used = own, {}, set(), 0.0
+                title, same = (title or "").strip().lower(), taken.get(source, [])
+                if len(same) >= per_source or (title and title in titles) or used + (b - a) > seconds or any(_overlap((a, b), x[:2]) >= max_overlap for x in same):
+                    continue
+                taken.setdefault(source, []).append((a, b, name))
+                titles.add(title)
+                used += b - a
+            yield pd.DataFrame(out, columns=[*keys, "id", "position"]).astype({"position": "int32"})
+        yield pd.DataFrame(finish() if now is not None else [], columns=[*keys, "id", "position"]).astype({"position": "int32"})
+
+    rows = df.select(*keys, "id", "source", "title", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.coalesce("rank", F.lit(1 << 30)).alias("__r"), (-F.col("score")).alias("__s"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "__r", "__s", "id").mapInPandas(run, schema)
 
 
 def sessionise(df: DataFrame, keys: list[str], max_gap: float = 300.0, min_moments: int = 2) -> DataFrame:
