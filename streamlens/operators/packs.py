@@ -168,6 +168,7 @@ def content_shape(candidates: DataFrame, keys: list[str]) -> DataFrame:
         F.avg("peak_value").alias("peak"), F.avg("face_max").alias("face"), F.avg("voice").alias("voice"), F.avg((F.col("startle") >= 0.45).cast("double")).alias("startled"), F.avg(F.col("is_event").cast("double")).alias("events"),
         rate(F.col("moment_type") == "story").alias("story"), rate(F.col("moment_type").isin("funny", "fail", "rage")).alias("comic"), rate(F.col("verbal_payoff") & F.col("context_complete") & ~F.col("routine_only")).alias("verbal"),
     )
+    # What speaks for which shape, and how much.
     rules = [
         ("narrative", 1.0, "low_mean_peak", F.col("peak") < 1.35), ("narrative", 2.0, "story_moment_density", F.col("story") >= 0.20), ("narrative", 1.5, "verbal_complete_density", F.col("verbal") >= 0.15), ("narrative", 0.75, "sparse_ocr_events", (F.col("events") < 0.08) & (F.col("peak") < 1.6)),
         ("chaos_comedy", 1.5, "face_or_startle_density", (F.col("face") >= 0.12) | (F.col("startled") >= 0.05)), ("chaos_comedy", 1.25, "high_mean_peak", F.col("peak") >= 1.8), ("chaos_comedy", 2.0, "funny_fail_density", F.col("comic") >= 0.20), ("chaos_comedy", 0.75, "voice_face_reaction", (F.col("voice") >= 0.25) & (F.col("face") >= 0.08)),

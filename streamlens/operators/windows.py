@@ -19,6 +19,8 @@ CHANNELS = {"face": 0.12, "voice": 0.25, "speech": 0.20, "burst": 0.12, "chat":
 #: Evidence of an event's tier, and the tiers that make a spot dense (fixed values).
 TIERS = {"terminal_win": 1.0, "elimination": 0.7, "knock": 0.5, "rank_progress": 0.3, "generic_highlight": 0.2}
 DENSE = ["elimination", "knock", "terminal_win"]
+#: Words that a phrase of the hype lexicon may have.
+MOST_WORDS = 12
 
 
 def window_statistics(windows: DataFrame, frames: DataFrame, keys: list[str], hook: float = 5.0, quiet: float = 0.15, bucket: float = 60.0) -> DataFrame:
@@ -99,10 +101,12 @@ def event_evidence(frames: DataFrame, hits: DataFrame, keys: list[str], reach: f
 
 def hype_track(words: DataFrame, keys: list[str], lexicon: DataFrame, reach: float = 1.5, step: float = 1.0) -> DataFrame:
     """keys, t and hype: phrases of the lexicon (phrase, weight) among the words in order, spread as triangles over whole steps; the greatest counts.
-    words: keys, i (order), word (lower case) and at. Phrases of every length meet the run of as many words by an equi-join."""
+    words: keys, i (order), word (lower case) and at. Phrases of every length meet the run of as many words by an equi-join; longer ones than MOST_WORDS are refused."""
     w = W.partitionBy(*keys).orderBy("i")
     lex = lexicon.select(F.lower("phrase").alias("phrase"), "weight", F.size(F.split("phrase", " ")).alias("n"))
-    sizes = sorted(r[0] for r in lex.select("n").distinct().collect())
+    sizes = sorted(r[0] for r in lex.select("n").distinct().limit(MOST_WORDS + 1).collect())
+    if sizes and sizes[-1] > MOST_WORDS:
+        raise ValueError(f"a phrase has {sizes[-1]} words, more than {MOST_WORDS}")
     x = words
     for k in range(1, max(sizes, default=1)):
         x = x.withColumn(f"w{k}", F.lead("word", k).over(w))

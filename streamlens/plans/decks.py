@@ -132,10 +132,12 @@ x AS (SELECT *, (CASE WHEN peak < 1.35 THEN 1.0::DOUBLE ELSE 0 END) + (CASE WHEN
   (CASE WHEN face >= 0.12 OR startled >= 0.05 THEN 1.5::DOUBLE ELSE 0 END) + (CASE WHEN peak >= 1.8 THEN 1.25 ELSE 0 END) + (CASE WHEN comic >= 0.2 THEN 2 ELSE 0 END) + (CASE WHEN voice >= 0.25 AND face >= 0.08 THEN 0.75 ELSE 0 END) AS h,
   (CASE WHEN ev >= 0.1 THEN 2.0::DOUBLE ELSE 0 END) + (CASE WHEN peak BETWEEN 1 AND 2.2 AND comic < 0.25 THEN 0.75 ELSE 0 END) AS m FROM s),
 y AS (SELECT *, greatest(n, h, m) AS top, list_sort([n, h, m])[2] AS second FROM x)
-SELECT user_id, CASE WHEN top < 0.75 THEN 'competitive_mixed' WHEN n = top THEN 'narrative' WHEN h = top THEN 'chaos_comedy' ELSE 'competitive_mixed' END AS shape, round(CASE WHEN top < 0.75 THEN 0.25 ELSE least(1, 0.35 + (top - second) * 0.25 + top * 0.15) END, 3)::DOUBLE AS confidence FROM y""")
+SELECT user_id, CASE WHEN top < 0.75 THEN 'competitive_mixed' WHEN n = top THEN 'narrative' WHEN h = top THEN 'chaos_comedy' ELSE 'competitive_mixed' END AS shape, round(CASE WHEN top < 0.75 THEN 0.25 ELSE least(1, 0.35 + (top - second) * 0.25 + top * 0.15) END, 3)::DOUBLE AS confidence, array_to_string(list_filter([CASE WHEN peak < 1.35 THEN 'low_mean_peak' END, CASE WHEN story >= 0.2 THEN 'story_moment_density' END, CASE WHEN verbal >= 0.15 THEN 'verbal_complete_density' END,
+  CASE WHEN ev < 0.08 AND peak < 1.6 THEN 'sparse_ocr_events' END, CASE WHEN face >= 0.12 OR startled >= 0.05 THEN 'face_or_startle_density' END, CASE WHEN peak >= 1.8 THEN 'high_mean_peak' END, CASE WHEN comic >= 0.2 THEN 'funny_fail_density' END, CASE WHEN voice >= 0.25 AND face >= 0.08 THEN 'voice_face_reaction' END,
+  CASE WHEN ev >= 0.1 THEN 'ocr_event_density' END, CASE WHEN peak BETWEEN 1 AND 2.2 AND comic < 0.25 THEN 'mid_arousal_band' END, CASE WHEN top < 0.75 THEN 'default_low_evidence' END], lambda x: x IS NOT NULL), ',') AS evidence FROM y""")
 def content_shapes(spark, sf_dir):
     x = editorial.with_evidence(candidates.with_score(clips._candidates(spark, sf_dir)))
-    return packs.content_shape(x, ["user_id"]).select("user_id", "shape", F.round("confidence", 3).alias("confidence"))
+    return packs.content_shape(x, ["user_id"]).select("user_id", "shape", F.round("confidence", 3).alias("confidence"), F.array_join("evidence", ",").alias("evidence"))
 
 
 _TRACE = [("user_id", "user_id"), ("id", "event_id"), ("start", "s"), ("end", "s + 9000 * (1 + event_id % 4)"), ("disposition", "CASE event_id % 5 WHEN 0 THEN 'selected' WHEN 1 THEN 'clip_ceiling' WHEN 2 THEN 'editorial_overflow_cutoff' WHEN 3 THEN 'selected_temporal_rescue' ELSE 'suppressed' END"), ("group", "CASE WHEN event_id % 4 <> 0 THEN concat('g', CAST(event_id % 60 AS VARCHAR(9))) END"), ("ranker", "CASE WHEN event_id % 3 <> 0 THEN value END"), ("rank", "event_id % 97"), ("consensus", "event_id % 2 = 0")]

@@ -83,24 +83,36 @@ def sampled_times(spark, sf_dir):
     return r.select("id", F.inline(looks)).select("id", "looks", F.posexplode("x").alias("place", "x")).select("id", "looks", (F.col("place") + 1).alias("place"), "x.role", "x.t")
 
 
-@P.add(f"""WITH r AS (SELECT event_id AS id, CAST(event_id % 90 AS DOUBLE) / 2 AS a, CAST(event_id % 90 AS DOUBLE) / 2 + CAST(event_id % 37 AS DOUBLE) / 8 AS b FROM events), n AS (SELECT *, b - a AS span, floor((b - a - 1.5 + 1e-6) / 0.75) + 1 AS n FROM r)
-SELECT id, CASE WHEN span >= 1.5 THEN n + (a + (n - 1) * 0.75 + 1.5 < b - 0.25)::INT WHEN span > 0 THEN 1 ELSE 0 END::INT AS windows, round(CASE WHEN span >= 1.5 THEN CASE WHEN a + (n - 1) * 0.75 + 1.5 < b - 0.25 THEN b ELSE a + (n - 1) * 0.75 + 1.5 END WHEN span >= 1 THEN b WHEN span > 0 THEN least(greatest(0, (a + b) / 2 - 0.5), 44) + 1 END, 4)::DOUBLE AS last FROM n""")
+_STRETCH = [("id", "event_id"), ("a", "CAST(floor(value * 4) AS DOUBLE) / 8"), ("b", "CAST(floor(value * 4) AS DOUBLE) / 8 + CAST(user_id % 37 AS DOUBLE) / 8")]
+
+
+@P.add(f"""WITH r AS (SELECT {sql_columns(_STRETCH)} FROM events), n AS (SELECT *, b - a AS span, floor((b - a - 1.5 + 1e-6) / 0.75)::BIGINT + 1 AS n, 45.0::DOUBLE AS length FROM r), c AS (SELECT *, least(greatest(0, (a + b) / 2 - 0.5), length - 1) AS mid FROM n),
+w AS (SELECT id, unnest(CASE WHEN span >= 1.5 THEN list_concat(list_transform(range(0, n), lambda k: {{'s': a + k * 0.75, 'e': a + k * 0.75 + 1.5}}), CASE WHEN a + (n - 1) * 0.75 + 1.5 < b - 0.25 THEN [{{'s': b - 1.5, 'e': b}}] ELSE [] END) WHEN span >= 1 THEN [{{'s': a, 'e': b}}] WHEN span > 0 THEN [{{'s': mid, 'e': mid + 1}}] ELSE [] END) AS x FROM c)
+SELECT id, round(x.s, 4)::DOUBLE AS start, round(x.e, 4)::DOUBLE AS "end" FROM w""")
 def speech_windows(spark, sf_dir):
-    i = F.col("event_id")
-    a, b = (i % 90).cast("double") / 2, (i % 90).cast("double") / 2 + (i % 37).cast("double") / 8
-    x = mo.speech_windows(F.col("a"), F.col("b"), F.lit(45.0))
-    return table(spark, sf_dir, "events").select(i.alias("id"), a.alias("a"), b.alias("b")).withColumn("w", x).select("id", F.size("w").alias("windows"), F.round(F.array_max(F.transform("w", lambda v: v["end"])), 4).alias("last"))
+    """Every window of every stretch of speech."""
+    r = table(spark, sf_dir, "events").select(*spark_columns(_STRETCH))
+    x = r.select("id", F.explode(mo.speech_windows(F.col("a"), F.col("b"), F.lit(45.0))).alias("w"))
+    return x.select("id", F.round("w.start", 4).alias("start"), F.round("w.end", 4).alias("end"))
 
 
-_JUDGE = ['{"hook_strength": 1.7, "self_contained": 0.5, "payoff": 0.25, "moment_type": "Funny", "verdict": "POST"}', 'Sure: {"hook_strength": 0.5, "moment_type": "story", "verdict": "skip"} done', 'nothing', '{"payoff": -1, "moment_type": "odd", "verdict": "post"}', '{"moment_type": "rage", "verdict": "maybe", "payoff": 0.75, "hook_str']
+#: A judge's answer about an event, in the order payoff, type, verdict, hook, contained; numbers may be out of range, types unknown.
+_NUMBER = {"payoff": "value / 40", "hook": "CAST(event_id % 15 - 2 AS DOUBLE) / 8", "contained": "CAST(user_id % 9 AS DOUBLE) / 8"}
+_TYPE, _SAYS = _pick("event_id", ["Funny", "story", "odd", "RAGE"]), _pick("user_id", ["POST", "maybe", "skip", "later"])
+_WHOLE = f"""concat('{{"payoff": ', CAST({_NUMBER["payoff"]} AS STRING), ', "moment_type": "', {_TYPE}, '", "verdict": "', {_SAYS}, '", "hook_strength": ', CAST({_NUMBER["hook"]} AS STRING), ', "self_contained": ', CAST({_NUMBER["contained"]} AS STRING), '}}')"""
 
 
-@P.add(f"""SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 4 THEN 0.0 END::DOUBLE AS hook, CASE event_id % 5 WHEN 0 THEN 0.25 WHEN 1 THEN 0.0 WHEN 4 THEN 0.75 END::DOUBLE AS payoff, CASE event_id % 5 WHEN 0 THEN 'funny' WHEN 1 THEN 'story' WHEN 4 THEN 'rage' END AS kind, CASE event_id % 5 WHEN 0 THEN 'post' WHEN 1 THEN 'skip' WHEN 4 THEN 'maybe' END AS verdict FROM events""")
+@P.add(f"""WITH j AS (SELECT event_id AS id, event_id % 5 AS form, {", ".join(f"{e} AS {n}" for n, e in _NUMBER.items())}, lower({_TYPE}) AS kind, lower({_SAYS}) AS verdict FROM events), k AS (SELECT *, form <> 3 AND kind <> 'odd' AND verdict <> 'later' AS fine, form <> 2 AS longer FROM j)
+SELECT id, CASE WHEN fine THEN CASE WHEN longer THEN greatest(0, least(1, hook)) ELSE 0 END END::DOUBLE AS hook, CASE WHEN fine THEN CASE WHEN longer AND form <> 4 THEN greatest(0, least(1, contained)) ELSE 0 END END::DOUBLE AS contained,
+  CASE WHEN fine THEN round(greatest(0, least(1, payoff)), 6) END::DOUBLE AS payoff, CASE WHEN fine THEN kind END AS kind, CASE WHEN fine THEN verdict END AS verdict FROM k""")
 def judge_verdicts(spark, sf_dir):
-    """A judge's answers, with words around them, broken off, out of range or unknown."""
-    text = F.element_at(F.array(*map(F.lit, _JUDGE)), (F.col("event_id") % 5 + 1).cast("int"))
+    """A judge's answers, with words around them, broken off behind a field, without an object, out of range or unknown."""
+    whole = F.expr(_WHOLE)
+    broken = lambda name: F.concat(F.substring_index(whole, f'"{name}', 1), F.lit(f'"{name[:4]}'))
+    form = F.col("event_id") % 5
+    text = F.when(form == 1, F.concat(F.lit("Sure, here it is: "), whole, F.lit(" done"))).when(form == 2, broken("hook_strength")).when(form == 3, "nothing").when(form == 4, broken("self_contained")).otherwise(whole)
     v = mo.verdict_struct(text, ["funny", "story", "rage"], ["post", "maybe", "skip"])
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), v.alias("v")).select("id", "v.hook", "v.payoff", "v.kind", "v.verdict")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), v.alias("v")).select("id", "v.hook", "v.contained", F.round("v.payoff", 6).alias("payoff"), "v.kind", "v.verdict")
 
 
 @P.add("""WITH r AS (SELECT event_id AS id, CAST(event_id % 5 AS DOUBLE) / 10 AS rate, 3600.0::DOUBLE AS length, CAST(event_id % 400 AS DOUBLE) AS elapsed, CAST(event_id % 21 AS DOUBLE) / 20 AS progress, CAST(event_id % 700 AS DOUBLE) AS later FROM events), x AS (SELECT *, rate * length AS expected, CASE WHEN progress > 0.1 AND elapsed > 5 THEN elapsed / progress END AS measured FROM r),
