@@ -128,11 +128,13 @@ def lane(scored: DataFrame, name: str, limit: int) -> DataFrame:
     return best.select("id", F.lit(name).alias("lane"), F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("rank"))
 
 
-def fuse(lanes: list[DataFrame], weights: dict[str, float], k: int = RRF_K) -> DataFrame:
-    """Reciprocal-rank fusion: id, score = sum of weight / (k + rank), lanes in order of name."""
+def fuse(lanes: list[DataFrame], weights: dict[str, float | tuple[float, float]], k: int = RRF_K) -> DataFrame:
+    """Reciprocal-rank fusion: id, score = sum of weight / (k + rank), lanes in order of name. A weight may be two: of a lane's first row, and of its others."""
     every = reduce(DataFrame.unionByName, lanes)
-    w = F.create_map(*[x for n, v in weights.items() for x in (F.lit(n), F.lit(float(v)))])
-    return every.groupBy("id").agg(F.sum(w[F.col("lane")] / (k + F.col("rank"))).alias("score"), F.array_join(F.array_sort(F.collect_set("lane")), ",").alias("lanes"))
+    pair = {n: v if isinstance(v, tuple) else (v, v) for n, v in weights.items()}
+    w = [F.create_map(*[x for n, v in pair.items() for x in (F.lit(n), F.lit(float(v[i])))])[F.col("lane")] for i in (0, 1)]
+    weight = F.when(F.col("rank") == 1, w[0]).otherwise(w[1])
+    return every.groupBy("id").agg(F.sum(weight / (k + F.col("rank"))).alias("score"), F.array_join(F.array_sort(F.collect_set("lane")), ",").alias("lanes"))
 
 
 #: What the field that explains a match adds to a score, and the reviewer's decision about a clip.

@@ -183,45 +183,57 @@ def source_copies(spark, sf_dir):
 
 
 _CONCEPT = ["crazy", "erst", "lice", "wild"]
+_COMPOUND = ([["licensed", "released"]], [["under", "the"]])
+#: What each lane weighs in the fusion; the newest match of a concept weighs more than those behind it.
+WEIGHTS = {"keyword": 1.40, "keyword_clip": 1.65, "compound": 1.85, "compound_clip": 2.00, "concept": 1.05, "concept_clip": 1.20, "recent": (1.60, 0.60), "recent_clip": (1.70, 0.70), "semantic": 0.55, "semantic_clip": 0.70}
 _HYBRID = f"""
 {retrieval._ENTRIES.strip()}, {retrieval._BM25.strip()},
 cs AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)) AS score FROM embeddings),
-found AS (SELECT id, kind, len(list_filter({WORDS.format('lower(text)')}, lambda w: {' OR '.join(f"starts_with(w, '{c}')" for c in _CONCEPT)})) AS n FROM entries),
+found AS (SELECT id, kind, source_date, len(list_filter({WORDS.format('lower(text)')}, lambda w: {' OR '.join(f"starts_with(w, '{c}')" for c in _CONCEPT)})) AS n,
+  len(list_filter({WORDS.format('lower(text)')}, lambda w: starts_with(w, 'licensed') OR starts_with(w, 'released'))) > 0 AND contains(' ' || array_to_string({WORDS.format('lower(text)')}, ' ') || ' ', ' under the ') AS together FROM entries),
 ranked AS (
   SELECT id, 'keyword' AS lane, 1.40 AS weight, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, score FROM bm WHERE score > 0 ORDER BY score DESC, id LIMIT 200)
   UNION ALL SELECT id, 'keyword_clip', 1.65, row_number() OVER (ORDER BY score DESC, id) FROM (SELECT bm.id, score FROM bm JOIN entries e ON e.id = bm.id AND e.kind = 'clip' WHERE score > 0 ORDER BY score DESC, bm.id LIMIT 200)
   UNION ALL SELECT id, 'concept', 1.05, row_number() OVER (ORDER BY n DESC, id) FROM (SELECT id, n FROM found WHERE n > 0 ORDER BY n DESC, id LIMIT 200)
-  UNION ALL SELECT id, 'concept_clip', 1.20, row_number() OVER (ORDER BY n DESC, id) FROM (SELECT id, n FROM found WHERE n > 0 AND kind = 'clip' ORDER BY n DESC, id LIMIT 200)),
+  UNION ALL SELECT id, 'concept_clip', 1.20, row_number() OVER (ORDER BY n DESC, id) FROM (SELECT id, n FROM found WHERE n > 0 AND kind = 'clip' ORDER BY n DESC, id LIMIT 200)
+  UNION ALL SELECT id, 'compound', 1.85, row_number() OVER (ORDER BY score DESC, id) FROM (SELECT bm.id, score FROM bm JOIN found USING (id) WHERE score > 0 AND together ORDER BY score DESC, bm.id LIMIT 200)
+  UNION ALL SELECT id, 'compound_clip', 2.00, row_number() OVER (ORDER BY score DESC, id) FROM (SELECT bm.id, score FROM bm JOIN found USING (id) WHERE score > 0 AND together AND kind = 'clip' ORDER BY score DESC, bm.id LIMIT 200)
+  UNION ALL SELECT id, 'recent', CASE WHEN r = 1 THEN 1.60 ELSE 0.60 END, r FROM (SELECT id, row_number() OVER (ORDER BY source_date DESC, n DESC, id) AS r FROM found WHERE n > 0 AND kind = 'transcript') WHERE r <= 200
+  UNION ALL SELECT id, 'recent_clip', CASE WHEN r = 1 THEN 1.70 ELSE 0.70 END, r FROM (SELECT id, row_number() OVER (ORDER BY source_date DESC, n DESC, id) AS r FROM found WHERE n > 0 AND kind = 'clip') WHERE r <= 200),
 latent AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, score FROM cs WHERE score > 0.02 ORDER BY score DESC, id LIMIT 200)),
-lanes AS (SELECT * FROM ranked UNION ALL SELECT id, 'semantic', 0.55, row_number() OVER (ORDER BY rank) FROM latent WHERE id IN (SELECT id FROM ranked)),
+latent_clip AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, score FROM cs WHERE score > 0.02 AND id IN (SELECT id FROM entries WHERE kind = 'clip') ORDER BY score DESC, id LIMIT 200)),
+lanes AS (SELECT * FROM ranked UNION ALL SELECT id, 'semantic', 0.55, row_number() OVER (ORDER BY rank) FROM latent WHERE id IN (SELECT id FROM ranked) UNION ALL SELECT id, 'semantic_clip', 0.70, row_number() OVER (ORDER BY rank) FROM latent_clip WHERE id IN (SELECT id FROM ranked)),
 fused AS (SELECT id, sum(weight::DOUBLE / (60 + rank)) AS score FROM lanes GROUP BY id),
 place AS (SELECT id, kind, source, id // 10 AS start, id // 10 + CASE WHEN kind = 'clip' THEN 2 ELSE 4 END AS stop FROM entries),
 bridge AS (SELECT c.id, max(f.score * 1.18 + 0.0025::DOUBLE / (1 + greatest(0, c.start - l.stop, l.start - c.stop))) AS bridge FROM fused f JOIN place l ON l.id = f.id AND l.kind = 'transcript' JOIN place c ON c.kind = 'clip' AND c.source = l.source AND c.start <= l.stop + 3 AND c.stop >= l.start - 3 GROUP BY c.id),
 scored AS (SELECT coalesce(f.id, b.id) AS id, greatest(f.score, b.bridge) AS score, coalesce(b.bridge, 0) > coalesce(f.score, 0) AS by_bridge FROM fused f FULL JOIN bridge b ON b.id = f.id),
-final AS (SELECT e.id, e.kind, by_bridge, CASE WHEN by_bridge OR e.kind = 'transcript' THEN 'creator_speech' WHEN contains(text, 'Licensed') THEN 'clip_details' WHEN coalesce(exported, 0) = 1 THEN 'on_screen_text' ELSE 'related_meaning' END AS why, score, kept, passed FROM scored JOIN entries e ON e.id = scored.id WHERE coalesce(origin, '') <> 'compilation'),
+final AS (SELECT e.id, e.kind, by_bridge, CASE WHEN by_bridge OR e.kind = 'transcript' THEN 'creator_speech' WHEN contains(text, 'Licensed') THEN 'clip_details' WHEN coalesce(exported, 0) = 1 THEN 'on_screen_text' ELSE 'related_meaning' END AS why, score, kept, passed, game, source, source_date FROM scored JOIN entries e ON e.id = scored.id WHERE coalesce(origin, '') <> 'compilation'),
 bonus AS (SELECT *, score + CASE why WHEN 'creator_speech' THEN 0.008 WHEN 'clip_details' THEN 0.006 WHEN 'on_screen_text' THEN -0.0015 ELSE 0 END + CASE WHEN kind = 'clip' THEN 0.004 + CASE WHEN coalesce(kept, 0) = 1 THEN 0.006 WHEN coalesce(passed, 0) = 1 THEN -0.003 ELSE 0 END ELSE 0 END AS total FROM final),
 judged AS (SELECT *, CASE WHEN id % 17 = 0 THEN 'not_relevant' WHEN id % 13 = 0 THEN 'relevant' END AS verdict FROM bonus)
 """
 
 
-@P.add(f"""WITH {_HYBRID}, o AS (SELECT id, why, by_bridge, total, row_number() OVER (ORDER BY CASE WHEN verdict = 'relevant' THEN 0 ELSE 1 END, round(total, 9) DESC, id) AS place FROM judged WHERE verdict IS NULL OR verdict <> 'not_relevant')
-SELECT id, why, by_bridge, round(total, 7) AS score, place::INT AS place FROM o WHERE place <= 100""")
+@P.add(f"""WITH {_HYBRID}, o AS (SELECT id, why, by_bridge, total, game, source, source_date, row_number() OVER (ORDER BY CASE WHEN verdict = 'relevant' THEN 0 ELSE 1 END, round(total, 9) DESC, id) AS place FROM judged WHERE verdict IS NULL OR verdict <> 'not_relevant')
+SELECT id, why, by_bridge, round(total, 7) AS score, place::INT AS place, game, source, source_date FROM o WHERE place <= 100""")
 def hybrid_search(spark, sf_dir):
-    """Five lanes fused, the latent one gated by the others, clips raised by what is spoken in them, facets and priors after the fusion, the reviewer's feedback last."""
+    """Ten lanes fused, the latent ones gated by the others, clips raised by what is spoken in them, facets and priors after the fusion, the reviewer's feedback last."""
     entries = retrieval._entries(spark, sf_dir)
     begins = lambda w: reduce(lambda a, b: a | b, [F.startswith(w, F.lit(c)) for c in _CONCEPT])
     concept = F.size(F.filter(search.tokens(F.col("text")), begins)).alias("concept")
     fields = {"text": F.col("text"), "session": F.col("source"), "game": F.col("game")}
-    rows = search.counted(entries, "id", fields, retrieval.QUERY, "kind", "source", "kept", "passed", "maybe", "exported", "origin", "game", "source_date", concept, F.contains("text", F.lit("Licensed")).alias("licensed"))
+    rows = search.counted(entries, "id", fields, retrieval.QUERY, "kind", "source", "kept", "passed", "maybe", "exported", "origin", "game", "source_date", concept, F.contains("text", F.lit("Licensed")).alias("licensed"), search.matches(search.tokens(F.col("text")), *_COMPOUND).alias("together"))
     e = search.bm25_scores(written(rows, "rows"), [1.0, 3.0, 2.0], len(retrieval.QUERY))  # the only pass over the texts
     e = written(e.drop(*[c for c in e.columns if c.startswith(("tf", "length"))]), "entries")
     clip = F.col("kind") == "clip"
     words, hits = e.where("score > 0").select("id", "kind", "score"), e.where("concept > 0").select("id", "kind", F.col("concept").alias("score"))
-    lanes = [search.lane(x, name, 200) for x, name in ((words, "keyword"), (words.where(clip), "keyword_clip"), (hits, "concept"), (hits.where(clip), "concept_clip"))]
-    lanes = [written(reduce(DataFrame.unionByName, lanes), "lanes")]  # at most 800 rows
+    both = e.where("score > 0 AND together").select("id", "kind", "score")
+    recent = e.where("concept > 0").select("id", "kind", F.struct("source_date", "concept").alias("score"))
+    kinds = [(words, "keyword"), (words.where(clip), "keyword_clip"), (both, "compound"), (both.where(clip), "compound_clip"), (hits, "concept"), (hits.where(clip), "concept_clip"), (recent.where("kind = 'transcript'"), "recent"), (recent.where(clip), "recent_clip")]
+    lanes = [written(reduce(DataFrame.unionByName, [search.lane(x, name, 200) for x, name in kinds]), "lanes")]  # at most 1,600 rows
     v = table(spark, sf_dir, "embeddings")
-    latent = search.gated_lane(search.lane(search.cosine_top(v, "vec_id", "embedding", retrieval.query_vector(v), 200), "semantic", 200), lanes)
-    fused = written(search.fuse([*lanes, latent], {"keyword": 1.40, "keyword_clip": 1.65, "concept": 1.05, "concept_clip": 1.20, "semantic": 0.55}), "fused")
+    q, clips = retrieval.query_vector(v), e.where(clip).select(F.col("id").alias("vec_id"))
+    latent = [search.gated_lane(search.lane(search.cosine_top(v, "vec_id", "embedding", q, 200, allowed=a), n, 200), lanes) for n, a in (("semantic", None), ("semantic_clip", clips))]
+    fused = written(search.fuse([*lanes, *latent], WEIGHTS), "fused")
     place = e.select("id", "kind", "source", F.floor(F.col("id") / 10).alias("a"), (F.floor(F.col("id") / 10) + F.when(clip, 2).otherwise(4)).alias("b"))
     spoken = place.where("kind = 'transcript'").join(fused.select("id"), "id", "left_semi").select("source", F.col("id").alias("line"), F.col("a").alias("la"), F.col("b").alias("lb"))
     near = search_pairs(spoken, place.where(clip).select("source", F.col("id").alias("clip"), "a", "b"))
@@ -229,8 +241,8 @@ def hybrid_search(spark, sf_dir):
     why = first_reason((F.col("by_bridge") | (F.col("kind") == "transcript"), "creator_speech"), (F.col("licensed"), "clip_details"), (F.coalesce("exported", F.lit(0)) == 1, "on_screen_text"), (F.lit(True), "related_meaning"))
     x = x.withColumn("why", why).withColumn("total", F.col("score") + search.ranking_bonus(F.col("why"), True))
     feedback = e.select("id", F.when(F.col("id") % 17 == 0, "not_relevant").when(F.col("id") % 13 == 0, "relevant").alias("verdict"))
-    ranked = x.select("id", "why", "by_bridge", "total", F.struct((-F.round("total", 9)).alias("t"), "id").alias("rank"))
-    return search.with_feedback(ranked, feedback).where("place <= 100").select("id", "why", "by_bridge", F.round("total", 7).alias("score"), "place")
+    ranked = x.select("id", "why", "by_bridge", "total", "game", "source", "source_date", F.struct((-F.round("total", 9)).alias("t"), "id").alias("rank"))
+    return search.with_feedback(ranked, feedback).where("place <= 100").select("id", "why", "by_bridge", F.round("total", 7).alias("score"), "place", "game", "source", "source_date")
 
 
 def search_pairs(lines, clips):
