@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from streamlens.operators import candidates, decks, editorial
+from streamlens.operators import candidates, decks, editorial, features
 from streamlens.plans.base import Plans
 from streamlens.plans.clips import _CANDIDATES, _candidates
 from streamlens.shared import written
@@ -91,6 +91,25 @@ def deck_rows(spark, sf_dir):
     return x.withColumns({"passes": F.size("reasons") == 0, "exempt": exempt, "ordinary": editorial.event_rich_allowed(), "face_rescue": F.coalesce("face_rescue", F.lit(False)) & F.col("face_spike")})
 
 
+_ORDINAL = "CASE game_label WHEN 'elimination' THEN 0.8 WHEN 'terminal_win' THEN 1.0 ELSE 0 END"
+_SEEN = "v <> ''"
+_VECTOR = [
+    "0", "voice", "0", "game_evidence", "peak_value", "reaction_auc / d", "reaction_auc", "d", _ORDINAL, "coalesce((game_label = 'terminal_win')::INT, 0)", "greatest(0, least(1, (peak - start) / d))", "greatest(0, least(1, (anchor - start) / d))", "0", "0", "dead_air_ratio", "signal_agreement",
+    "coalesce(hook, 0)", "coalesce(self_contained, 0)", "coalesce(payoff, 0)", "0", "0", "0", "active_channels", "0", "0", f"CASE WHEN {_SEEN} THEN win::INT ELSE 0 END", f"CASE WHEN {_SEEN} THEN routine_only::INT ELSE 0 END",
+    f"CASE WHEN {_SEEN} THEN CASE o WHEN 'match_win' THEN win::INT WHEN 'elimination' THEN 0.6 WHEN 'death_or_fail' THEN 0.5 ELSE 0 END ELSE 0 END",
+    "CASE WHEN v NOT IN ('', 'skip') THEN greatest(CASE o WHEN 'match_win' THEN CASE WHEN win THEN 1.0::DOUBLE ELSE 0 END WHEN 'elimination' THEN 0.6 WHEN 'death_or_fail' THEN 0.5 ELSE 0 END, CASE WHEN verbal AND NOT chatty THEN visual_payoff * (0.6 + 0.4 * visual_contained) ELSE 0 END) ELSE 0 END",
+    f"CASE WHEN {_SEEN} THEN anchored::INT ELSE 0 END", "0", "0",
+]
+
+
+@P.add(f"""WITH {_CANDIDATES}, x AS (SELECT id, [{", ".join(f"({e})::DOUBLE" for e in _VECTOR)}] AS f FROM evidence), y AS (SELECT id, f, unnest(range(1, 33)) AS place FROM x) SELECT id, place::INT AS place, round(f[place] + 1e-9, 6)::DOUBLE AS value FROM y""")
+def candidate_vectors(spark, sf_dir):
+    """Every candidate's 32 features, by place."""
+    x = editorial.with_evidence(candidates.with_score(_candidates(spark, sf_dir)))
+    v = features.candidate_features(x).select("id", F.posexplode("features").alias("place", "value"))
+    return v.select("id", (F.col("place") + 1).alias("place"), F.round(F.col("value") + 1e-9, 6).alias("value"))
+
+
 @P.add()
 def whole_deck(spark, sf_dir):
     """Every candidate's group, place, disposition and window, from gates and floors to the ceiling and rescues."""
