@@ -225,23 +225,13 @@ def hashed_counts(docs: DataFrame, id_: str, terms: Column, bucket=crc_bucket) -
     return x.select("id", "feature", (1 + F.log("tf")).alias("value"))
 
 
-def tf_idf(counts: DataFrame, n: DataFrame) -> DataFrame:
-    """Values times ln((1 + n) / (1 + df)) + 1, over each row's length; n: a frame with the number of documents in its column n, of which the greatest counts.
-    Document frequencies are at most FEATURES rows, so they are broadcast."""
-    df = counts.groupBy("feature").agg(F.count("*").alias("df")).join(F.broadcast(n.agg(F.max("n").alias("n"))), F.lit(True))
-    idf = df.select("feature", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    x = counts.join(F.broadcast(idf), "feature").withColumn("value", F.col("value") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(W.partitionBy("id")))
-    return x.select("id", "feature", (F.col("value") / norm).alias("value"))
-
-
 def hashed_rows(docs: DataFrame, id_: str, terms: Column, bucket=crc_bucket) -> DataFrame:
     """id and row (array of (feature, value), in order of feature) of hashed_counts: what follows works within rows. Texts without terms have none."""
     return hashed_counts(docs, id_, terms, bucket).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("row"))
 
 
 def weighted_rows(rows: DataFrame, n: DataFrame, features: int = FEATURES) -> DataFrame:
-    """rows (written once: they are read twice) with tf_idf's values. Frequencies are one dense array of as many places as there are features, broadcast as a single row."""
+    """rows (written once: they are read twice) with values times ln((1 + n) / (1 + df)) + 1, over each row's length; n: a frame with the number of documents in its column n. Frequencies are one dense array of as many places as there are features, broadcast as a single row."""
     df = rows.select(F.explode("row.feature").alias("feature")).groupBy("feature").agg(F.count("*").alias("df")).join(F.broadcast(n.agg(F.max("n").alias("n"))), F.lit(True))
     idf = rows.sparkSession.range(features).select(F.col("id").alias("feature")).join(df.select("feature", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "feature", "left")
     dense = idf.agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", F.coalesce("idf", F.lit(0.0)).alias("idf")))), lambda x: x["idf"]).alias("__idf"))
