@@ -135,7 +135,7 @@ def test_entry_survives_removal(monkeypatch):
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)}
     monkeypatch.setattr(entry.importlib.util, "find_spec", lambda name: None)
     assert not {n for n in entry.queries() if n.startswith("op") and n[2].isdigit()} and set(entry.oracle_sql()) <= set(entry.queries())
     assert importlib.import_module("streamlens.registry") and "pyspark" in sys.modules
