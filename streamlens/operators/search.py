@@ -237,8 +237,10 @@ def weighted_rows(rows: DataFrame, n: DataFrame, features: int = FEATURES) -> Da
     dense = idf.agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", F.coalesce("idf", F.lit(0.0)).alias("idf")))), lambda x: x["idf"]).alias("__idf"))
     x = rows.join(F.broadcast(dense), F.lit(True))
     scaled = F.transform("row", lambda v: F.struct(v["feature"].alias("feature"), (v["value"] * F.get("__idf", v["feature"].cast("int"))).alias("value")))
-    x = x.select("id", scaled.alias("row")).withColumn("__norm", F.sqrt(F.aggregate("row", F.lit(0.0), lambda s, v: s + v["value"] * v["value"])))
-    return x.select("id", F.transform("row", lambda v: F.struct(v["feature"].alias("feature"), (v["value"] / F.col("__norm")).alias("value"))).alias("row"))
+    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, v: s + v["value"] * v["value"]))
+    # the norm stands beside the values: inside the function of an element it would be summed anew for each
+    whole = F.zip_with(scaled, F.array_repeat(norm, F.size("row")), lambda v, m: F.struct(v["feature"].alias("feature"), (v["value"] / m).alias("value")))
+    return x.select("id", whole.alias("row"))
 
 
 def neighbours(rows: DataFrame, keys: list[str], index: str, text: str, reach: int, out: str, by_value: bool = True) -> DataFrame:
