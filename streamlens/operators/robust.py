@@ -1,8 +1,9 @@
-"""Median and MAD per group, robust scores and thresholds; exact percentiles, two aggregates."""
+"""Median and MAD per group, robust scores and thresholds (exact percentiles, two aggregates); means added in a given order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from streamlens.functions.scoring import MAD_SCALE, robust_z, saturate
@@ -24,6 +25,16 @@ def with_saturation(df: DataFrame, keys: list[str], value: str, out: str = "leve
     return with_robust_z(df, keys, value, out).withColumn(out, saturate(F.col(out)))
 
 
+def with_saturations(df: DataFrame, keys: list[str], outs: dict[str, str]) -> DataFrame:
+    """with_saturation for several columns (value: out). Rows are dealt by their keys once, however many columns there are: joins with one column's
+    statistics after another would meet in one stage, whose sorts outgrow a task's memory. Rows without a key drop out, as in a join."""
+    w = W.partitionBy(*keys)
+    x = df.dropna(subset=keys).withColumns({f"__median_{out}": F.percentile(value, 0.5).over(w) for value, out in outs.items()})
+    x = x.withColumns({f"__mad_{out}": F.percentile(F.abs(F.col(value) - F.col(f"__median_{out}")), 0.5).over(w) for value, out in outs.items()})
+    levels = {out: saturate(robust_z(F.col(value), F.col(f"__median_{out}"), F.col(f"__mad_{out}"))) for value, out in outs.items()}
+    return x.withColumns(levels).drop(*[f"__{s}_{out}" for s in ("median", "mad") for out in outs.values()])
+
+
 def thresholds(df: DataFrame, keys: list[str], value: str, k: float) -> DataFrame:
     """keys and theta = median + k * 1.4826 * MAD."""
     return median_mad(df, keys, value).select(*keys, (F.col("median") + k * MAD_SCALE * F.col("mad")).alias("theta"))

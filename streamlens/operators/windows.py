@@ -71,10 +71,12 @@ def voice_arousal(frames: DataFrame, keys: list[str], t: str, rms: str, pitch: s
     w = W.partitionBy(*keys).orderBy(t)
     before = F.lag(pitch).over(w)
     df = frames.withColumn("__rise", F.when((F.col(pitch) > 0) & (before > 0), F.greatest(F.lit(0.0), F.col(pitch) - before)).otherwise(0.0))
+    weights = {rms: 0.45, "__rise": 0.30, crossings: 0.15, variance: 0.10}
+    levels = {column: f"__level{i}" for i, column in enumerate(weights)}
+    df = robust.with_saturations(df, keys, levels)
     total = F.lit(0.0)
-    for i, (column, weight) in enumerate([(rms, 0.45), ("__rise", 0.30), (crossings, 0.15), (variance, 0.10)]):
-        df = robust.with_saturation(df, keys, column, f"__level{i}")
-        total = total + weight * F.col(f"__level{i}")
+    for column, weight in weights.items():
+        total = total + weight * F.col(levels[column])
     return df.select(*frames.columns, clip(total, 0.0, 1.0).alias(out))
 
 
