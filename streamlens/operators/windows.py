@@ -123,7 +123,8 @@ def chat_windows(messages: DataFrame, keys: list[str], width: float, phrases: in
     """keys, start, messages, emotes, intents, repeated (phrases said twice or more, at most so many, with counts) and strength of chat windows that hold
     something; of each recording the strongest. messages: keys, t, emotes, intent, weight and phrase (null: not to be kept).
 
-    Counts per phrase come before counts per window, so a window's messages never meet in one place; no message said once is kept.
+    Counts per phrase come before counts per window, so a window's messages never meet in one place; no message said once is kept. Strengths equal to six
+    places are equal and the earlier window leads: what is left of a sum beyond them depends on the order in which tasks add.
     """
     m = messages.withColumn("bin", F.floor(F.col("t") / width))
     totals = m.groupBy(*keys, "bin").agg(F.count("*").alias("messages"), F.sum("emotes").alias("emotes"), F.count_if("intent").alias("intents"), F.sum("weight").alias("weight"))
@@ -132,7 +133,7 @@ def chat_windows(messages: DataFrame, keys: list[str], width: float, phrases: in
     top = said.groupBy(*keys, "bin").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "phrase", "n"))), lambda x: F.concat(x["phrase"], F.lit(":"), x["n"].cast("string"))).alias("repeated"), F.sum("n").alias("votes"))
     x = totals.join(top, [*keys, "bin"], "left").where("repeated IS NOT NULL OR intents > 0 OR messages >= 8 OR emotes >= 6")
     x = x.withColumn("strength", F.col("weight") + 1.5 * F.coalesce("votes", F.lit(0)) + 3.0 * F.col("intents")).withColumn("start", F.col("bin") * width)
-    return x.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("strength"), "start"))).where(F.col("r") <= most).select(*keys, "start", "messages", "emotes", "intents", F.coalesce("repeated", F.array().cast("array<string>")).alias("repeated"), "strength")
+    return x.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(F.round("strength", 6)), "start"))).where(F.col("r") <= most).select(*keys, "start", "messages", "emotes", "intents", F.coalesce("repeated", F.array().cast("array<string>")).alias("repeated"), "strength")
 
 
 def action_onsets(anchors: DataFrame, frames: DataFrame, keys: list[str], reach: float = 40.0, gap: float = 12.0, factor: float = 1.8, pad: float = 2.0, bucket: float = 60.0) -> DataFrame:

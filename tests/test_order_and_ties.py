@@ -40,3 +40,11 @@ def test_arousal_deals_frames_once_and_equals_a_plain_walk(spark):
             total = total + weight * (1 - np.exp(-np.clip(z, 0, 6) / 2))
         want |= {(k, t): v for t, v in zip(f[:, 0], total, strict=True)}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_equally_strong_chat_windows_come_in_order_of_time(spark):
+    """.1 + .2 + .3 is 0.6000000000000001, or .6 the other way round: neither is the stronger window."""
+    says = [(1, 0.0, w) for w in (0.3, 0.2, 0.1)] + [(1, 10.0, w) for w in (0.1, 0.2, 0.3)]
+    m = spark.createDataFrame(says, "k int, t double, weight double").coalesce(1).withColumns({"emotes": F.lit(2), "intent": F.lit(False), "phrase": F.lit(None).cast("string")})
+    assert added([0.3, 0.2, 0.1]) < added([0.1, 0.2, 0.3])
+    assert [r.start for r in win.chat_windows(m, ["k"], 10.0, 5, 1).collect()] == [0.0]
