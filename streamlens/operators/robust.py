@@ -45,3 +45,12 @@ def spikes(df: DataFrame, keys: list[str], value: str, limit: float = 2.5, share
     stats = median_mad(df, keys, value)
     scale = F.greatest(F.col("mad") * MAD_SCALE, F.abs(F.col("median")) * share, F.lit(1e-6))
     return df.join(stats, keys).withColumn("z", (F.col(value) - F.col("median")) / scale).where(F.col("z") > limit).drop("median", "mad")
+
+
+def ordered_means(df: DataFrame, keys: list[str], order: list[str], columns: list[str], *others: Column) -> DataFrame:
+    """keys, the means of columns, and other aggregates. Numbers are added in the given order: what is held against a bar that a mean may meet exactly must not
+    depend on the order in which rows arrive."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    held = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    x = df.withColumns({"__n": F.row_number().over(w), **{f"__mean_{c}": F.avg(c).over(held) for c in columns}})
+    return x.groupBy(*keys).agg(*[F.max_by(f"__mean_{c}", "__n").alias(c) for c in columns], *others)

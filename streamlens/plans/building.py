@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from streamlens.functions import moments
 from streamlens.operators import windows as win
 from streamlens.plans import details
 from streamlens.plans.base import EVENTS_SQL, Plans, events, spark_columns, sql_columns
@@ -226,7 +227,7 @@ m AS (SELECT r.*, (SELECT avg(motion) FROM f WHERE f.user_id = r.user_id AND t B
 SELECT user_id, round(a, 3)::DOUBLE AS start, round(z, 3)::DOUBLE AS "end", round(top, 5)::DOUBLE AS top FROM o WHERE r <= 3""")
 def combat_encounters(spark, sf_dir):
     x = win.encounters(_frames(spark, sf_dir).select("user_id", "t", "game_audio", "motion"), ["user_id"], 0.1, 60000.0, 50000.0, 3)
-    return x.select("user_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.round("top", 5).alias("top"))
+    return x.select("user_id", moments.milli(F.col("start")).alias("start"), moments.milli(F.col("end")).alias("end"), F.round("top", 5).alias("top"))
 
 
 QUERIES, ORACLE = P.queries, P.oracle

@@ -48,3 +48,14 @@ def test_equally_strong_chat_windows_come_in_order_of_time(spark):
     m = spark.createDataFrame(says, "k int, t double, weight double").coalesce(1).withColumns({"emotes": F.lit(2), "intent": F.lit(False), "phrase": F.lit(None).cast("string")})
     assert added([0.3, 0.2, 0.1]) < added([0.1, 0.2, 0.3])
     assert [r.start for r in win.chat_windows(m, ["k"], 10.0, 5, 1).collect()] == [0.0]
+
+
+def test_mean_motion_at_the_bar_is_added_in_order_of_time(spark):
+    """Run 1's motion of .1, .2 and .3 is the median, .2, on the average when added in time; the same run backwards falls short by a rounding error."""
+    for motion, kept in (([0.1, 0.2, 0.3], True), ([0.3, 0.2, 0.1], False)):
+        frames = [(1, float(t), 1.0, m) for t, m in enumerate(motion)] + [(1, 100.0 + t, 0.0, 0.2) for t in range(8)]
+        for given in (frames, frames[::-1]):
+            df = spark.createDataFrame(given, "k int, t double, game_audio double, motion double").coalesce(1)
+            assert bool(win.encounters(df, ["k"], 0.1, 2.0, 1.0, 3).count()) == (added(motion) / 3 >= 0.2) == kept
+            x = df.repartition(3)
+            assert bool(win.encounters(x, ["k"], 0.1, 2.0, 1.0, 3).count()) == kept
