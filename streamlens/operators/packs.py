@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from streamlens.functions.intervals import overlap, overlap_of_shorter
 from streamlens.functions.structures import labels
 from streamlens.operators.intervals import islands, merge_spans, points_in, range_join
+from streamlens.operators.robust import ordered_means
 
 
 def matching_candidate(entries: DataFrame, candidates: DataFrame, keys: list[str], reach: float = 4.0, bucket: float = 60.0) -> DataFrame:
@@ -161,13 +162,13 @@ def priority_regions(first: DataFrame, others: DataFrame, keys: list[str], budge
 
 
 def content_shape(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, shape, confidence and evidence of a recording, from rates over its candidates (rows of editorial.with_evidence)."""
+    """keys, shape, confidence and evidence of a recording, from rates over its candidates (rows of editorial.with_evidence with an id, in whose order means are added)."""
     seen = F.coalesce("verdict", F.lit("")) != ""
     rate = lambda c: F.coalesce(F.avg(F.when(seen, c.cast("double"))), F.lit(0.0))
-    s = candidates.groupBy(*keys).agg(
-        F.avg("peak_value").alias("peak"), F.avg("face_max").alias("face"), F.avg("voice").alias("voice"), F.avg((F.col("startle") >= 0.45).cast("double")).alias("startled"), F.avg(F.col("is_event").cast("double")).alias("events"),
+    s = ordered_means(
+        candidates, keys, ["id"], ["peak_value", "face_max", "voice"], F.avg((F.col("startle") >= 0.45).cast("double")).alias("startled"), F.avg(F.col("is_event").cast("double")).alias("events"),
         rate(F.col("moment_type") == "story").alias("story"), rate(F.col("moment_type").isin("funny", "fail", "rage")).alias("comic"), rate(F.col("verbal_payoff") & F.col("context_complete") & ~F.col("routine_only")).alias("verbal"),
-    )
+    ).withColumnsRenamed({"peak_value": "peak", "face_max": "face"})
     # What speaks for which shape, and how much.
     rules = [
         ("narrative", 1.0, "low_mean_peak", F.col("peak") < 1.35), ("narrative", 2.0, "story_moment_density", F.col("story") >= 0.20), ("narrative", 1.5, "verbal_complete_density", F.col("verbal") >= 0.15), ("narrative", 0.75, "sparse_ocr_events", (F.col("events") < 0.08) & (F.col("peak") < 1.6)),

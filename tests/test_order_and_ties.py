@@ -59,3 +59,19 @@ def test_mean_motion_at_the_bar_is_added_in_order_of_time(spark):
             assert bool(win.encounters(df, ["k"], 0.1, 2.0, 1.0, 3).count()) == (added(motion) / 3 >= 0.2) == kept
             x = df.repartition(3)
             assert bool(win.encounters(x, ["k"], 0.1, 2.0, 1.0, 3).count()) == kept
+
+
+def test_mean_voice_at_the_bar_is_added_in_order_of_id(spark):
+    """Ten voices of .1, .2 ... whose sum meets .25 on the average, or falls short, by the order in which they are added."""
+    draw = random.Random(1)
+    while True:
+        v = [draw.randint(0, 18) / 30 for _ in range(12)]
+        if len({added(v) / 12 >= 0.25, added(v[::-1]) / 12 >= 0.25}) == 2:
+            break
+    for voices in (v, v[::-1]):
+        rows = [(1, i, x) for i, x in enumerate(voices)]
+        for given in (rows, rows[::-1]):
+            df = spark.createDataFrame(given, "k int, id int, voice double").coalesce(1)
+            off = {c: F.lit(False) for c in ("is_event", "verbal_payoff", "context_complete", "routine_only")}
+            df = df.withColumns({**off, "verdict": F.lit(""), "moment_type": F.lit(""), "peak_value": F.lit(1.5), "face_max": F.lit(0.1), "startle": F.lit(0.0)})
+            assert ("voice_face_reaction" in packs.content_shape(df, ["k"]).first().evidence) == (added(voices) / 12 >= 0.25)
