@@ -102,7 +102,7 @@ def look_times(start: Column, end: Column, peak: Column, witness: Column, expect
     inset = lambda most, part: F.least(F.lit(most), length * part)
     when = {"opening": start + (F.lit(0.5) if n == 2 else inset(0.5, 0.05)), "peak": centre, "approach": centre - inset(1.0, 0.08), "banner": F.when(shown.between(start, end), shown)}
     roles = [(r, slot(n)) for r, slot in LOOKS if n > 2 or r in ("opening", "peak")]
-    held = lambda t: F.round(F.greatest(start + inset(0.15, 0.02), F.least(end - inset(0.15, 0.02), t)), 3)
+    held = lambda t: milli(F.greatest(start + inset(0.15, 0.02), F.least(end - inset(0.15, 0.02), t)))
 
     def look(slot: int) -> Column:
         own = [F.when(when[r].isNotNull(), F.struct(held(when[r]).alias("t"), F.lit(r).alias("role"))) for r, s in roles if s == slot]

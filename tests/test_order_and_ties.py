@@ -75,3 +75,11 @@ def test_mean_voice_at_the_bar_is_added_in_order_of_id(spark):
             off = {c: F.lit(False) for c in ("is_event", "verbal_payoff", "context_complete", "routine_only")}
             df = df.withColumns({**off, "verdict": F.lit(""), "moment_type": F.lit(""), "peak_value": F.lit(1.5), "face_max": F.lit(0.1), "startle": F.lit(0.0)})
             assert ("voice_face_reaction" in packs.content_shape(df, ["k"]).first().evidence) == (added(voices) / 12 >= 0.25)
+
+
+def test_looks_round_the_double_and_not_its_decimals(spark):
+    """4166.7125 as a double lies below the tie: times 1000 it is 4166712.4999999995."""
+    t = 4166.7125
+    looks = moments.look_times(F.lit(4100.0), F.lit(4200.0), F.lit(4150.0), F.lit(t), F.lit(None).cast("double"), 3)
+    got = spark.range(1).select(looks.alias("x")).first().x
+    assert [v.t for v in got if v.role == "banner"] == [round(t * 1000) / 1000] == [4166.712]
