@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -145,11 +146,22 @@ def retime(words: list[dict], text: str | None) -> list[dict]:
     return out
 
 
+#: Lines that a task holds as Python objects at once; a batch of Arrow's has many more.
+LINES = 128
+_WORDS = pa.list_(pa.struct([("word", pa.string()), ("start", pa.float64()), ("end", pa.float64())]))
+
+
 def retimed_words(words: Column | str, text: Column | str) -> Column:
     """retime for columns of word arrays (word, start, end) and edited texts; a null array has no words."""
 
-    @F.pandas_udf("array<struct<word:string,start:double,end:double>>")
-    def run(lists: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([retime([dict(x) for x in w] if w is not None else [], t) for w, t in zip(lists, texts, strict=True)], dtype=object)
+    @F.arrow_udf("array<struct<word:string,start:double,end:double>>")
+    def run(lists: pa.Array, texts: pa.Array) -> pa.Array:
+        out = [pa.array([], _WORDS)]
+        for k in range(0, len(lists), LINES):
+            part = lists.slice(k, LINES)
+            heard = [{"word": w, "start": s, "end": e} for w, s, e in zip(*(part.flatten().field(c).to_pylist() for c in ("word", "start", "end")), strict=True)]
+            ends = np.cumsum(part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            out.append(pa.array([retime(heard[a:b], t) for a, b, t in zip([0, *ends], ends, texts.slice(k, LINES).to_pylist(), strict=False)], _WORDS))
+        return pa.concat_arrays(out)
 
     return run(words, text)

@@ -5,6 +5,7 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,21 @@ def test_edited_words_keep_or_share_times(spark):
     assert got[100] == got[101] == got[102] == got[103] == [] and got[104] == [("p", 1.0, 1.0), ("qq", 1.0, 1.0)]
 
 
+def test_edited_words_hold_few_lines_at_once(spark, monkeypatch):
+    """A batch's lines become Python objects a slice at a time; results of slices stand in order."""
+    monkeypatch.setattr(speech, "LINES", 3)
+    made = []
+    udf = F.arrow_udf
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda f: made.append(f) or udf(kind)(f))
+    speech.retimed_words(F.col("w"), F.col("t"))
+    held, retime = [], speech.retime
+    monkeypatch.setattr(speech, "retime", lambda w, t: held.append(t) or retime(w, t))
+    lists = pa.array([[{"word": "a", "start": float(k), "end": k + 1.0}] if k % 4 else None for k in range(10)])
+    got = made[0](lists, pa.array(["A b"] * 10)).to_pylist()
+    assert len(held) == 10 and got == [retime([{"word": "a", "start": float(k), "end": k + 1.0}] if k % 4 else [], "A b") for k in range(10)]
+    assert made[0](lists.slice(0, 0), pa.array([], pa.string())).to_pylist() == []
+
+
 def plain_centre(v, rounds, share):
     v = v / np.linalg.norm(v, axis=1, keepdims=True)
     centre = v.mean(axis=0)
