@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -213,6 +215,10 @@ def cosine_top(vectors: DataFrame, id_: str, vector: str, query: list[float], k:
     return scored.where(F.col("score") > floor).orderBy(F.desc("score"), "id").limit(k)
 
 
+#: Rows of counted features that a task hands on at once.
+ROWS = 500
+
+
 def crc_bucket(term: Column) -> Column:
     return F.crc32(term) % FEATURES
 
@@ -226,8 +232,44 @@ def hashed_counts(docs: DataFrame, id_: str, terms: Column, bucket=crc_bucket) -
 
 
 def hashed_rows(docs: DataFrame, id_: str, terms: Column, bucket=crc_bucket) -> DataFrame:
-    """id and row (array of (feature, value), in order of feature) of hashed_counts: what follows works within rows. Texts without terms have none."""
-    return hashed_counts(docs, id_, terms, bucket).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("row"))
+    """id and row (array of (feature, value), in order of feature) of hashed_counts: what follows works within rows. Texts without terms have none.
+
+    Each text's features are counted by themselves, rows of one id together, as they stream by in order of id: no term becomes a row, so no aggregate outgrows memory and spills.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.withColumnRenamed(id_, "id").repartition(n, "id").sortWithinPartitions("id").select("id", F.transform(terms, bucket).alias("features"))
+    kind = dealt.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []  # the id that may go on, and the features of its rows
+
+        def packed(rows: list[tuple], of: pa.DataType) -> pa.RecordBatch:
+            starts = np.cumsum([0, *(len(f) for _, f, _ in rows)])
+            items = pa.StructArray.from_arrays([np.concatenate([f for _, f, _ in rows]), 1 + np.log(np.concatenate([c for _, _, c in rows]))], names=["feature", "value"])
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], of), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), items)], names=["id", "row"])
+
+        for batch in batches:
+            of, lists, out = batch.column("id").type, batch.column("features"), []
+            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            for i, a, b in zip(batch.column("id").to_pylist(), ends - sizes, ends, strict=True):
+                if i != now and held:
+                    out.append((now, *np.unique(np.concatenate(held), return_counts=True)))
+                    held = []
+                    if len(out) == ROWS:
+                        yield packed(out, of)
+                        out = []
+                now = i
+                if b > a:
+                    held.append(flat[a:b])
+            if held:
+                held[-1] = held[-1].copy()  # not the whole batch
+            if out:
+                yield packed(out, of)
+        if held:
+            yield packed([(now, *np.unique(np.concatenate(held), return_counts=True))], of)
+
+    return dealt.mapInArrow(run, f"id {kind}, row array<struct<feature:bigint,value:double>>")
 
 
 def weighted_rows(rows: DataFrame, n: DataFrame, features: int = FEATURES) -> DataFrame:

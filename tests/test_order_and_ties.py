@@ -2,14 +2,17 @@
 
 import contextlib
 import io
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from streamlens.functions import moments
-from streamlens.operators import packs
+from streamlens.functions.strings import tokens
+from streamlens.operators import packs, search
 from streamlens.operators import windows as win
 
 
@@ -83,3 +86,25 @@ def test_looks_round_the_double_and_not_its_decimals(spark):
     looks = moments.look_times(F.lit(4100.0), F.lit(4200.0), F.lit(4150.0), F.lit(t), F.lit(None).cast("double"), 3)
     got = spark.range(1).select(looks.alias("x")).first().x
     assert [v.t for v in got if v.role == "banner"] == [round(t * 1000) / 1000] == [4166.712]
+
+
+def test_hashed_rows_count_within_texts_and_join_rows_of_one_id(spark):
+    """No term becomes a row; an id whose rows come in several batches has one row, texts without terms none."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        texts = [(k % 5 if k % 6 else None, " ".join(f"w{(k * j) % 7}" for j in range(k))) for k in range(17)] + [(9, ""), (10, None)]
+        d = spark.createDataFrame(texts, "doc_id long, text string")
+        x = search.hashed_rows(d, "doc_id", tokens(F.col("text")))
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            x.explain()
+        assert "Generate" not in plan.getvalue() and "Aggregate" not in plan.getvalue()
+        got = {r.id: [(v.feature, round(v.value, 9)) for v in r.row] for r in x.collect()}
+        counts = {}
+        for i, t in texts:
+            for w in (t or "").split():
+                own = counts.setdefault(i, {})
+                f = zlib.crc32(w.encode()) % search.FEATURES
+                own[f] = own.get(f, 0) + 1
+        assert got == {i: [(f, round(1 + math.log(n), 9)) for f, n in sorted(c.items())] for i, c in counts.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
