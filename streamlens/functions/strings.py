@@ -19,9 +19,10 @@ def clean(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.coalesce(x, F.lit("")), "\0", " "), r"\s+", " "))
 
 
-def tokens(x: Column) -> Column:
-    """Lower-cased words with apostrophes, accents kept."""
-    return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(WORD), F.lit(0))
+def tokens(x: Column, begins: list[str] | None = None) -> Column:
+    """Lower-cased words with apostrophes, accents kept; only those that begin with one of begins, when given."""
+    word = WORD if begins is None else rf"(?U)(?<![\w'])(?:{'|'.join(map(re.escape, begins))})[\w']*"
+    return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(word), F.lit(0))
 
 
 def phrase_text(x: Column, limit: int | None = 240) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -73,13 +74,19 @@ def field_lengths(docs: DataFrame, id_: str, fields: dict[str, Column]) -> DataF
     return every.join(F.broadcast(stats), "field")
 
 
-def counted(docs: DataFrame, id_: str, fields: dict[str, Column], query: list[str], *keep: Column | str) -> DataFrame:
-    """id, the kept columns, and per field its length in words and how often each query word stands in it: one row a document, one pass over the texts."""
-    words = [tokens(text).alias(f"__w{k}") for k, text in enumerate(fields.values())]
-    tf = lambda k: [F.size(F.filter(F.col(f"__w{k}"), _equals(q))).alias(f"tf{k}_{i}") for i, q in enumerate(query)]
+def counted(docs: DataFrame, id_: str, fields: dict[str, Column], query: list[str], *keep: Column | str, begins: list[str] = (), found: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+    """id, the kept columns, and per field its length in words and how often each query word stands in it: one row a document, one pass over the texts.
+
+    found: more columns by name, each a function of the first field's words and of the few among them that begin with a query word or with one of begins.
+    Words are cut once and stand as columns: within the function of an element, or as the argument of several, they would be cut anew for each.
+    """
+    few = sorted({*query, *begins})
+    words = [c for k, text in enumerate(fields.values()) for c in (tokens(text).alias(f"__w{k}"), tokens(text, few).alias(f"__f{k}"))]
+    tf = lambda k: [F.size(F.filter(F.col(f"__f{k}"), _equals(q))).alias(f"tf{k}_{i}") for i, q in enumerate(query)]
     kept = [F.col(c) if isinstance(c, str) else c for c in keep]
     held = docs.select(F.col(id_).alias("id"), *kept, *words)
-    return held.select("id", *held.columns[1 : 1 + len(keep)], *[c for k in range(len(fields)) for c in (F.size(f"__w{k}").alias(f"length{k}"), *tf(k))])
+    more = [f(F.col("__w0"), F.col("__f0")).alias(name) for name, f in (found or {}).items()]
+    return held.select("id", *held.columns[1 : 1 + len(keep)], *more, *[c for k in range(len(fields)) for c in (F.size(f"__w{k}").alias(f"length{k}"), *tf(k))])
 
 
 def bm25_scores(rows: DataFrame, weights: list[float], words: int) -> DataFrame:
@@ -203,15 +210,16 @@ def dot(a: Column, b: Column) -> Column:
 def unit(v: Column) -> Column:
     """The vector as doubles over its length; a zero vector stays zero."""
     d = v.cast("array<double>")
-    norm = F.sqrt(dot(d, d))
-    return F.transform(d, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    # the length stands beside the values: inside the function of an element it would be summed anew for each
+    return F.zip_with(d, F.array_repeat(F.sqrt(dot(d, d)), F.size(d)), lambda x, norm: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
 
 
 def cosine_top(vectors: DataFrame, id_: str, vector: str, query: list[float], k: int, floor: float = 0.02, allowed: DataFrame | None = None) -> DataFrame:
     """id and score of the k nearest rows by cosine above floor; only allowed ids, when given. No row is near an empty query."""
     rows = vectors if allowed is None else vectors.join(allowed, id_, "left_semi")
-    q = F.array(*map(F.lit, query)).cast("array<double>")
-    scored = rows.select(F.col(id_).alias("id"), dot(unit(F.col(vector)), unit(q)).alias("score"))
+    norm = math.sqrt(reduce(lambda s, x: s + x * x, query, 0.0))
+    q = F.array(*[F.lit(x / norm if norm > 0 else 0.0) for x in query]).cast("array<double>")  # of length 1 once, not for each row
+    scored = rows.select(F.col(id_).alias("id"), dot(unit(F.col(vector)), q).alias("score"))
     return scored.where(F.col("score") > floor).orderBy(F.desc("score"), "id").limit(k)
 
 
