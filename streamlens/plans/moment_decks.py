@@ -21,15 +21,26 @@ _ANCHOR = "CASE WHEN id % 3 <> 0 THEN anchor END"
 _ASKED, _CREATOR, _AGREED = "crowd_clip >= 3 OR id % 17 = 3", "id % 17 = 3", "consensus OR id % 4 = 1"
 
 
-def _rows(spark, sf_dir):
-    """Candidates with evidence, in the order of their score."""
-    x = editorial.with_evidence(candidates.with_score(_candidates(spark, sf_dir)))
+#: What groups, representatives and rescues read; rows of a hundred columns and more would leave Spark's compiled code and be written whole at each step.
+_ROW = ["user_id", "id", "start", "end", "peak", "anchor", "label", "tokens", "score", "creator", "protected", "crowd_clip", "payoff", "visual_payoff", "consensus", "terminal", "anchored_win", "is_event", *decks.EVIDENCE[1:]]
+#: What a whole deck's gates, floors and face rescues read besides.
+_GATED = ["reasons", "text_rescue", "lobby_reaction", "content_anchor", "publishable", "profile", "verdict", "grounded", "reaction_landed", "face_delta", "face_run", "face_max"]
+
+
+def _named(x, *more: str):
+    """Scored rows with evidence as the deck's steps name them: _ROW and more of their columns."""
     at = F.col("start")
-    x = x.withColumn("score", F.round("signal_score", 9)).withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("score"), "id")).cast("long"))
-    return x.withColumns({
-        "end": at + (F.col("end") - at) * 600, "anchor": F.expr(_ANCHOR), "label": F.col("game_label"), "tokens": F.array(*[F.expr(f"CAST({w} AS STRING)") for w in _WORDS]), "creator": F.expr(_CREATOR), "protected": F.expr(_ASKED),
+    named = x.withColumns({
+        "score": F.round("signal_score", 9), "end": at + (F.col("end") - at) * 600, "anchor": F.expr(_ANCHOR), "label": F.col("game_label"), "tokens": F.array(*[F.expr(f"CAST({w} AS STRING)") for w in _WORDS]), "creator": F.expr(_CREATOR), "protected": F.expr(_ASKED),
         "consensus": F.expr(_AGREED), "terminal": F.coalesce(F.col("game_label") == "terminal_win", F.lit(False)), "anchored_win": F.col("visual_win") & F.col("content_anchor"),
     })
+    return named.select(*_ROW, *more)
+
+
+def _rows(spark, sf_dir):
+    """Candidates with evidence, in the order of their score."""
+    x = _named(editorial.with_evidence(candidates.with_score(_candidates(spark, sf_dir))))
+    return x.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("score"), "id")).cast("long"))
 
 
 _BASE = f"""{_CANDIDATES}, base AS (SELECT user_id, id, start, {_END} AS "end", round(score, 9) AS score, {_ANCHOR} AS anchor, game_label AS label, [{", ".join(_WORDS)}] AS tokens, {_CREATOR} AS creator, {_ASKED} AS protected, agreed OR id % 4 = 1 AS consensus, coalesce(game_label = 'terminal_win', FALSE) AS terminal_event,
@@ -81,14 +92,14 @@ def rebalanced_deck(spark, sf_dir):
 
 
 def deck_rows(spark, sf_dir):
-    """What the whole deck reads: gates, exemptions from floors, rescues by faces, admission among many events."""
-    x = candidates.with_gates(candidates.with_score(_candidates(spark, sf_dir)))
-    x = written(x, "gated")
-    rescue = editorial.face_spike_events(x, ["user_id"], "peak", 86400.0, 3).distinct().withColumn("face_rescue", F.lit(True))
-    ours = _rows(spark, sf_dir).select("user_id", "id", *[c for c in ("end", "anchor", "label", "tokens", "creator", "protected", "consensus", "terminal", "anchored_win", "score")])
+    """What the whole deck reads: gates, exemptions from floors, rescues by faces, admission among many events. Rows without a recording or a number take no part."""
+    x = candidates.with_gates(candidates.with_score(_candidates(spark, sf_dir))).where("user_id IS NOT NULL AND id IS NOT NULL")
+    x = _named(x.withColumn("ordinary", editorial.event_rich_allowed()), "ordinary", *_GATED)
     exempt = F.col("text_rescue") | F.col("strong_startle") | F.col("crowd_anchor") | F.col("lobby_reaction") | F.col("content_anchor")
-    x = x.drop("end", "anchor", "terminal", "consensus").join(ours, ["user_id", "id"]).join(rescue, ["user_id", "peak"], "left")
-    return x.withColumns({"passes": F.size("reasons") == 0, "exempt": exempt, "ordinary": editorial.event_rich_allowed(), "face_rescue": F.coalesce("face_rescue", F.lit(False)) & F.col("face_spike")})
+    x = written(x.withColumns({"passes": F.size("reasons") == 0, "exempt": exempt}).drop("reasons", "text_rescue", "lobby_reaction", "content_anchor"), "gated")
+    rescue = editorial.face_spike_events(x, ["user_id"], "peak", 86400.0, 3).distinct().withColumn("face_rescue", F.lit(True))
+    x = x.join(rescue, ["user_id", "peak"], "left").withColumn("face_rescue", F.coalesce("face_rescue", F.lit(False)) & F.col("face_spike"))
+    return x.drop("face_delta", "face_run", "face_max")
 
 
 _ORDINAL = "CASE game_label WHEN 'elimination' THEN 0.8 WHEN 'terminal_win' THEN 1.0 ELSE 0 END"
