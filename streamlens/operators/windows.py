@@ -227,14 +227,14 @@ def label_anchors(frames: DataFrame, windows: DataFrame, keys: list[str], label:
     return runs.join(held.select(*keys, "island"), [*keys, "island"], "left_anti").select(*keys, F.col("first").alias("start"), F.col("last").alias("end"), F.col("t").alias("anchor"))
 
 
-def encounters(frames: DataFrame, keys: list[str], level: float = 0.10, gap: float = 4.0, least: float = 12.0, most: int = 6) -> DataFrame:
+def encounters(frames: DataFrame, keys: list[str], level: float = 0.10, gap: float = 4.0, least: float = 12.0, most: int = 6, order: tuple[str, ...] = ("t", "motion")) -> DataFrame:
     """keys, start, end and top of the strongest sustained encounters: runs of game audio above half its near-maximum with pauses up to gap, long enough and with at
-    least the recording's median motion over all their frames, added in order of time. frames: keys, t, game_audio, motion."""
+    least the recording's median motion over all their frames, added in the given order. frames: keys, t, game_audio, motion and what order names."""
     bar = frames.groupBy(*keys).agg(F.greatest(F.lit(level), 0.5 * F.percentile("game_audio", 0.995)).alias("bar"), F.percentile("motion", 0.5).alias("usual"))
     x = frames.join(bar, keys).withColumn("hot", F.col("game_audio") >= F.col("bar"))
     runs = islands(x.where("hot"), keys, ["t"], lambda w: F.col("t") - F.lag("t").over(w) > gap).groupBy(*keys, "island").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.max("game_audio").alias("top")).where(F.col("end") - F.col("start") >= least)
-    moving = points_in(x.select(*keys, "t", "motion", "usual"), runs, keys, "t", ("start", "end"), 0.0, max(least, gap))
-    moving = robust.ordered_means(moving, [*keys, "island", "usual"], ["t", "motion"], ["motion"]).where("motion >= usual")
+    moving = points_in(x.select(*keys, *dict.fromkeys(["t", "motion", *order]), "usual"), runs, keys, "t", ("start", "end"), 0.0, max(least, gap))
+    moving = robust.ordered_means(moving, [*keys, "island", "usual"], list(order), ["motion"]).where("motion >= usual")
     kept = runs.join(moving, [*keys, "island"], "left_semi").withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("top"), "start")))
     return kept.where(F.col("r") <= most).select(*keys, "start", "end", "top")
 

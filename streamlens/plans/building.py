@@ -226,7 +226,7 @@ g AS (SELECT *, sum(CASE WHEN t - before <= 60000 THEN 0 ELSE 1 END) OVER (PARTI
 m AS (SELECT r.*, (SELECT avg(motion) FROM f WHERE f.user_id = r.user_id AND t BETWEEN a AND z) AS motion FROM r), o AS (SELECT m.*, row_number() OVER (PARTITION BY m.user_id ORDER BY top DESC, a) AS r FROM m JOIN b USING (user_id) WHERE motion >= usual)
 SELECT user_id, round(a, 3)::DOUBLE AS start, round(z, 3)::DOUBLE AS "end", round(top, 5)::DOUBLE AS top FROM o WHERE r <= 3""")
 def combat_encounters(spark, sf_dir):
-    x = win.encounters(_frames(spark, sf_dir).select("user_id", "t", "game_audio", "motion"), ["user_id"], 0.1, 60000.0, 50000.0, 3)
+    x = win.encounters(_frames(spark, sf_dir).select("user_id", "id", "t", "game_audio", "motion"), ["user_id"], 0.1, 60000.0, 50000.0, 3, ("id",))
     return x.select("user_id", moments.milli(F.col("start")).alias("start"), moments.milli(F.col("end")).alias("end"), F.round("top", 5).alias("top"))
 
 

@@ -6,10 +6,12 @@ import math
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from streamlens import registry
 from streamlens.functions import moments
 from streamlens.functions.strings import tokens
 from streamlens.operators import packs, search
@@ -64,6 +66,18 @@ def test_mean_motion_at_the_bar_is_added_in_order_of_time(spark):
             assert bool(win.encounters(x, ["k"], 0.1, 2.0, 1.0, 3).count()) == kept
 
 
+def test_encounters_with_frames_of_one_time_equal_the_sql_on_one_thread(spark, tmp_path):
+    """Each user's times come six times, with other motions: of such frames the SQL adds that with the smaller id first, as the table has them."""
+    con = duckdb.connect(config={"threads": 1})
+    once = "SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds((i * 1103515245 + 12345) % 2592000) AS ts, i * 7 % 40 AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '{}' AS props FROM range(3000) r(i)"
+    con.execute(f"COPY (SELECT o.* REPLACE (event_id + 3001 * k AS event_id) FROM range(6) c(k), ({once}) o ORDER BY event_id) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    found = con.execute(registry.oracle_sql()["combat_encounters"])
+    names = [d[0] for d in found.description]
+    want = sorted(found.fetchall())
+    assert want and sorted(tuple(r[c] for c in names) for r in registry.queries()["combat_encounters"](spark, str(tmp_path)).collect()) == want
+
+
 def test_mean_voice_at_the_bar_is_added_in_order_of_id(spark):
     """Ten voices of .1, .2 ... whose sum meets .25 on the average, or falls short, by the order in which they are added."""
     draw = random.Random(1)
