@@ -63,3 +63,21 @@ def test_folds_leave_their_source_out(spark, monkeypatch):
     monkeypatch.setattr(nw, "MAX_CELLS", 100)
     with pytest.raises(ValueError):
         nw.train_folds(df, "source", "id", "y", "w", "f", [1])
+
+
+def test_folds_are_trained_where_their_rows_are(spark, monkeypatch):
+    """More numbers of rows than the driver may hold, in several blocks and turns, and rows of no source: every network is that of train()."""
+    x, y, w = data(300)
+    x[:, 3] = np.where(np.arange(300) % 3 == 1, x[:, 3], 0.1)  # without s1 all are equal
+    source = [None if i % 50 == 0 else f"s{i % 3}" for i in range(300)]
+    df = spark.createDataFrame([(source[i], i, float(y[i]), float(w[i]), x[i].tolist()) for i in range(300)], "source string, id long, y double, w double, f array<double>")
+    monkeypatch.setattr(nw, "MAX_CELLS", 1000)
+    monkeypatch.setattr(nw, "BLOCK", 600)
+    monkeypatch.setattr(nw, "TURN", 100)
+    got = {(r["fold"], r["seed"]): r for r in nw.train_folds(df, "source", "id", "y", "w", "f", [1, 2], steps=10, hidden=4).collect()}
+    assert got.keys() == {(f, s) for f in (None, "s0", "s1", "s2") for s in (1, 2)}
+    for (fold, seed), r in got.items():
+        use = np.array([fold is None or s != fold for s in source])
+        want = nw.train(x[use], y[use], w[use], seed, 4, 10)
+        assert (r["mean"], r["scale"]) == (pytest.approx(want.mean), pytest.approx(want.scale))
+        assert np.array(r["inner"]) == pytest.approx(np.array(want.inner)) and (r["inner_bias"], r["outer"], r["outer_bias"]) == (pytest.approx(want.inner_bias), pytest.approx(want.outer), pytest.approx(want.outer_bias))
