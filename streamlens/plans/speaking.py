@@ -163,10 +163,10 @@ def keep_probability(spark, sf_dir):
 @P.add()
 def left_out_keeps(spark, sf_dir):
     """Every labelled document's chance of being good, by networks that have not seen its source."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     words = tokens(F.col("text"))
     stats = F.array(F.log1p(F.size(words)), F.size(F.array_distinct(words)) / F.greatest(F.lit(1), F.size(words)), F.length("text") / F.greatest(F.lit(1), F.size(words)), F.log1p(F.size(F.split("text", "\n"))))
-    x = written(d.select(F.coalesce("source", F.lit("none")).alias("source"), F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y"), F.lit(1.0).alias("w"), stats.alias("f")), "labelled")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", stats.alias("f")).join(table(spark, sf_dir, "labels"), "doc_id")  # texts don't travel
+    x = written(d.select(F.coalesce("source", F.lit("none")).alias("source"), F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y"), F.lit(1.0).alias("w"), "f"), "labelled")
     models = networks.train_folds(x, "source", "id", "y", "w", "f", [1, 2], steps=60, hidden=4)
     return networks.left_out_probabilities(x, "source", "id", "f", written(models, "models")).select("id", F.round("p", 6).alias("p"))
 
